@@ -7,7 +7,8 @@ before, or the document's begin) scores c(v w) / c(v ...), or ``ALPHA`` * c(w) /
 
 Exploded bigrams are dealt to buckets by the hash of v, so that a bucket holds the count tables of its contexts and
 the bigrams to be joined with them; both meet in one shuffle, packed by bucket and batch (token hashes, runs of the
-context, a document number), about 11 bytes a token. Buckets are sized by the corpus (``BUCKET`` tokens each).
+context, a document number), about 11 bytes a token. Buckets are sized by the corpus (``BUCKET`` tokens
+each).
 
 Hot contexts (over ``BUCKET`` / 4 tokens and a ``SHARE`` of all, so at most 1 / SHARE of them) are counted beforehand
 by a pre-aggregated sum; their bigrams are spread over all buckets by both words. Hot bigrams (the same bounds) are
@@ -29,10 +30,20 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ALPHA, BUCKET, SHARE = 0.4, 1_500_000, 1 / 1000
+ALPHA, BUCKET, SHARE, SLICE = 0.4, 750_000, 1 / 1000, 6_000_000
 BEGIN = xxhash.xxh64_intdigest(b"begin of document", 1)
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches cut into runs of rows with about SLICE characters, which bounds what a task holds."""
+    for x in batches:
+        if len(x):
+            part = x["text"].str.len().fillna(0).cumsum().to_numpy() // SLICE
+            cut = np.concatenate(([0], np.nonzero(np.diff(part))[0] + 1, [len(x)])).astype(int)
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                yield x.iloc[i:j]
+
+
 def token_hashes(text: str | None) -> np.ndarray:
     xx = xxhash.xxh64_intdigest
     return np.array([xx(w) for w in text.encode("utf-8", "surrogatepass").lower().split()], np.uint64) if text else np.empty(0, np.uint64)
@@ -51,7 +62,7 @@ def mix(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
 
 def tallied(batches: Iterator[pd.DataFrame], pair: bool, only: np.ndarray | None) -> Iterator[pd.DataFrame]:
     """Counts of contexts (or of the bigrams whose context is in ``only``) of each batch."""
-    for x in batches:
+    for x in slices(batches):
         w = [token_hashes(t) for t in x["text"]]
         v = np.concatenate([contexts(t) for t in w] or [np.empty(0, np.uint64)])
         w = np.concatenate(w or [np.empty(0, np.uint64)])
@@ -107,7 +118,7 @@ SCORED = "doc_id long, score double, n long, w long"
 
 
 def pack(batches: Iterator[pd.DataFrame], buckets: int, hot: Hot, counted: bool, scored: bool) -> Iterator[pd.DataFrame]:
-    for x in batches:
+    for x in slices(batches):
         ids = x["doc_id"].to_numpy()
         w = [token_hashes(t) for t in x["text"]]
         doc = np.repeat(np.arange(len(w), dtype=np.uint32), [len(t) for t in w])
@@ -196,7 +207,7 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
         parts = scratch.keep(parts, "parts")
 
         def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in batches:
+            for x in slices(batches):
                 u, n = np.unique(np.concatenate([token_hashes(t) for t in x["text"]] or [np.empty(0, np.uint64)]), return_counts=True)
                 yield pd.DataFrame({"w": u.view(np.int64), "c": n})
 
