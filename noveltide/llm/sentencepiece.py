@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLANK, PART, MOST_WORDS, MOST_PAIRS = "▁", 500_000, 400_000, 1 << 21
+BLANK, PART, MOST_WORDS, MOST_PAIRS = "▁", 800_000, 400_000, 1 << 21
 
 
 def chunk_pattern(pieces: list[str]) -> re.Pattern:
@@ -41,7 +41,8 @@ def chunk_pattern(pieces: list[str]) -> re.Pattern:
     inside = {c for p in pieces for c in p}
     signs = "".join(re.escape(chr(c)) for c in range(33, 127) if not re.match(r"\w", chr(c)) and chr(c) not in after_word) or "\0"
     lone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside) or "\0"
-    return re.compile(rf"{BLANK}*(?:[^{BLANK}{lone}\w]|\w(?![{signs}]))+\w?|{BLANK}*\w|{BLANK}+|[{lone}]")
+    # first the common case, a blank and a word up to a cut
+    return re.compile(rf"{BLANK}?\w++(?=[{BLANK}{signs}{lone}]|\Z)|{BLANK}*(?:[^{BLANK}{lone}\w]|\w(?![{signs}]))+\w?|{BLANK}*\w|{BLANK}+|[{lone}]")
 
 
 class Model:

@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 BOS, EOS, UNK_P = "<s>", "</s>", 1e-99
 
 
-def padded(symbols: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, w, c1, c2): each symbol and a final EOS, with the two before it (BOS where there is none)."""
+def padded(symbols: DataFrame, key: str = "doc_id", begin: str = "") -> DataFrame:
+    """(key, pos, w, c1, c2): each symbol and a final EOS, with the two before it: BOS before the first, ``begin`` before BOS.
+
+    Training pads with two BOS (begin=BOS). Scoring starts from one BOS, so a first token's context is BOS alone.
+    """
     w = Window.partitionBy(key).orderBy("pos")
     ends = symbols.groupBy(key).agg((F.max("pos") + 1).alias("pos")).select(key, "pos", F.lit(EOS).alias("sym"))
     s = symbols.select(key, "pos", "sym").unionByName(ends)
-    return s.select(key, "pos", F.col("sym").alias("w"), F.coalesce(F.lag("sym", 1).over(w), F.lit(BOS)).alias("c1"), F.coalesce(F.lag("sym", 2).over(w), F.lit(BOS)).alias("c2"))
+    return s.select(key, "pos", F.col("sym").alias("w"), F.coalesce(F.lag("sym", 1).over(w), F.lit(BOS)).alias("c1"), F.coalesce(F.lag("sym", 2).over(w), F.when(F.col("pos") == 0, begin).otherwise(BOS)).alias("c2"))
 
 
 def counts(symbols: DataFrame, key: str = "doc_id") -> DataFrame:
     """(n, ctx, w, c) for n = 1 to 3, with the begin-of-sequence n-grams that a trigram model pads."""
-    p = padded(symbols, key)
+    p = padded(symbols, key, BOS)
     grams = p.select(F.explode(F.array(
         F.struct(F.lit(1).alias("n"), F.lit("").alias("ctx"), "w"),
         F.struct(F.lit(2).alias("n"), F.col("c1").alias("ctx"), "w"),
@@ -68,6 +71,7 @@ def backoffs(c: DataFrame, p: DataFrame, normalized: bool = False) -> DataFrame:
 def token_bits(tokens: DataFrame, p: DataFrame, b: DataFrame) -> DataFrame:
     """``tokens`` (with w, c1, c2) plus bits: the longest n-gram known, times the backoffs passed on the way.
 
+    Each distinct triple is scored once; their number is bounded by the alphabet, and tokens meet them in one join.
     The model's tables are joined as Spark sees fit: small ones are broadcast by their measured size.
     """
     p3 = p.where("n = 3").select(F.col("ctx").alias("__x2"), "w", F.col("p").alias("p3"))
@@ -75,11 +79,11 @@ def token_bits(tokens: DataFrame, p: DataFrame, b: DataFrame) -> DataFrame:
     p1 = p.where("n = 1").select("w", F.col("p").alias("p1"))
     b2 = b.where("n = 2").select(F.col("ctx").alias("__x2"), F.col("bow").alias("b2"))
     b1 = b.where("n = 1").select(F.col("ctx").alias("c1"), F.col("bow").alias("b1"))
-    t = tokens.withColumn("__x2", F.concat_ws(" ", "c2", "c1"))
+    t = tokens.select("w", "c1", "c2").distinct().withColumn("__x2", F.concat_ws(" ", "c2", "c1"))
     t = t.join(p3, ["__x2", "w"], "left").join(p2, ["c1", "w"], "left").join(p1, "w", "left").join(b2, "__x2", "left").join(b1, "c1", "left")
     one = lambda c: F.coalesce(c, F.lit(1.0))
     prob = F.coalesce("p3", one("b2") * F.coalesce("p2", one("b1") * F.coalesce("p1", F.lit(UNK_P))))
-    return t.withColumn("bits", -F.log2(prob)).select(*tokens.columns, "bits")
+    return tokens.join(t.select("w", "c1", "c2", (-F.log2(prob)).alias("bits")).persist(), ["w", "c1", "c2"]).select(*tokens.columns, "bits")
 
 
 def sequence_bits(symbols: DataFrame, p: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -102,12 +106,12 @@ def novelty_by_tail(tail_rows: DataFrame, probes: DataFrame, p: DataFrame, b: Da
     """
     heads = padded(probes, probe_key).where("pos < 2").groupBy(probe_key).agg(F.max(F.when(F.col("pos") == 0, F.col("w"))).alias("h1"), F.max(F.when(F.col("pos") == 1, F.col("w"))).alias("h2"))
     heads = heads.groupBy("h1", "h2").agg(F.count("*").alias("k"))
-    states = tail_rows.select("t1", "t2").distinct().unionByName(tail_rows.sparkSession.createDataFrame([(BOS, BOS)], "t1 string, t2 string")).distinct()
+    states = tail_rows.select("t1", "t2").distinct().unionByName(tail_rows.sparkSession.createDataFrame([(BOS, "")], "t1 string, t2 string")).distinct()
     grid = states.crossJoin(F.broadcast(heads))  # both sides are bounded by the alphabet
     first = grid.select("t1", "t2", "k", F.col("h1").alias("w"), F.col("t1").alias("c1"), F.col("t2").alias("c2"))
     second = grid.where("h2 is not null").select("t1", "t2", "k", F.col("h2").alias("w"), F.col("h1").alias("c1"), F.col("t1").alias("c2"))
-    bits = token_bits(first.unionByName(second), p, b).groupBy("t1", "t2").agg(F.sum(F.col("bits") * F.col("k")).alias("bits"))
-    alone = bits.where((F.col("t1") == BOS) & (F.col("t2") == BOS)).select(F.col("bits").alias("alone"))
+    bits = token_bits(first.unionByName(second), p, b).groupBy("t1", "t2").agg(F.sum(F.col("bits") * F.col("k")).alias("bits")).persist()  # one row a state
+    alone = bits.where(F.col("t1") == BOS).select(F.col("bits").alias("alone"))
     return bits.crossJoin(F.broadcast(alone)).select("t1", "t2", (F.col("alone") - F.col("bits")).alias("r_d"))
 
 

@@ -35,9 +35,8 @@ def valid_pairs(rows: DataFrame, group: str, key: str, reward: str, eps: float)
 
 def pair_counts(rows: DataFrame, group: str, reward: str, eps: float) -> DataFrame:
     """(group, n_pairs): how many valid pairs each group has, by a range count over its sorted rewards, listing none."""
-    w = Window.partitionBy(group).orderBy(reward).rangeBetween(Window.unboundedPreceding, -2 * eps)
-    same = Window.partitionBy(group).orderBy(reward).rangeBetween(-2 * eps, -2 * eps)
-    c = rows.withColumn("__n", F.count("*").over(w) - F.count("*").over(same))
+    over = f"count(*) OVER (PARTITION BY `{group}` ORDER BY `{reward}` RANGE BETWEEN {{}} AND {2 * eps!r}D PRECEDING)"
+    c = rows.withColumn("__n", F.expr(over.format("UNBOUNDED PRECEDING")) - F.expr(over.format(f"{2 * eps!r}D PRECEDING")))
     return c.groupBy(group).agg(F.sum("__n").alias("n_pairs"))
 
 

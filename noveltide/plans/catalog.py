@@ -274,7 +274,7 @@ def boundary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- n-gram model
 
 
-_DOC_MODEL = f"sy AS ({O.symbols('documents', 'doc_id')}), pd AS ({O.padded('sy', 'doc_id')}),{O.model('pd')}"
+_DOC_MODEL = f"sy AS ({O.symbols('documents', 'doc_id')}), pd AS ({O.padded('sy', 'doc_id', '<s>')}),{O.model('pd')}"
 
 
 @query(f"WITH {_DOC_MODEL} SELECT n::INTEGER AS n, ctx, w, c::BIGINT AS c FROM cn")

@@ -15,9 +15,9 @@ def symbols(source: str, key: str, buckets: int = 32) -> str:
       'i' || (('0x' || substr(sha256(lower(unnest(spans))), 1, 8))::BIGINT % {buckets}) AS sym FROM ({spans(source, key)})"""
 
 
-def padded(name: str, key: str) -> str:
-    """Rows (key, pos, w, c1, c2) from the CTE ``name`` (key, pos, sym)."""
-    return f"""SELECT {key}, pos, sym AS w, coalesce(lag(sym, 1) OVER w, '<s>') AS c1, coalesce(lag(sym, 2) OVER w, '<s>') AS c2
+def padded(name: str, key: str, begin: str = "") -> str:
+    """Rows (key, pos, w, c1, c2) from the CTE ``name`` (key, pos, sym); ``begin`` stands before the first BOS."""
+    return f"""SELECT {key}, pos, sym AS w, coalesce(lag(sym, 1) OVER w, '<s>') AS c1, coalesce(lag(sym, 2) OVER w, CASE WHEN pos = 0 THEN '{begin}' ELSE '<s>' END) AS c2
       FROM (SELECT {key}, pos, sym FROM {name} UNION ALL SELECT {key}, max(pos) + 1, '</s>' FROM {name} GROUP BY {key})
       WINDOW w AS (PARTITION BY {key} ORDER BY pos)"""
 
@@ -50,7 +50,8 @@ def bits(tokens: str, columns: str) -> str:
 
 
 PROBE_MODEL = f"""ps AS ({symbols('benchmark', 'item_id')}),
-    pp AS ({padded('ps', 'item_id')}),{model('pp')}"""
+    pt AS ({padded('ps', 'item_id', '<s>')}),{model('pt')},
+    pp AS ({padded('ps', 'item_id')})"""
 
 TAILS = """tl AS (SELECT doc_id, max_by(sym, pos) AS t1, coalesce(max_by(prev, pos), '<s>') AS t2
       FROM (SELECT doc_id, pos, sym, lag(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM sy) GROUP BY doc_id)"""
