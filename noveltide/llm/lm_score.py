@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -38,7 +38,7 @@ def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The batches cut into runs of rows with about SLICE characters, which bounds what a task holds."""
     for x in batches:
         if len(x):
-            part = x["text"].str.len().fillna(0).cumsum().to_numpy() // SLICE
+            part = np.cumsum([len(t) if t else 0 for t in x["text"]]) // SLICE
             cut = np.concatenate(([0], np.nonzero(np.diff(part))[0] + 1, [len(x)])).astype(int)
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 yield x.iloc[i:j]
@@ -68,7 +68,8 @@ def tallied(batches: Iterator[pd.DataFrame], pair: bool, only: np.ndarray | None
         w = np.concatenate(w or [np.empty(0, np.uint64)])
         if not pair:
             u, n = np.unique(v, return_counts=True)
-            yield pd.DataFrame({"v": u.view(np.int64), "w": np.int64(0), "n": n})
+            # w = 1 marks the number of tokens
+            yield pd.DataFrame({"v": np.append(u.view(np.int64), 0), "w": np.append(np.zeros(len(u), np.int64), 1), "n": np.append(n, len(v))})
             continue
         keep = np.isin(v, only)
         order = np.lexsort((w[keep], v[keep]))
@@ -79,11 +80,12 @@ def tallied(batches: Iterator[pd.DataFrame], pair: bool, only: np.ndarray | None
 
 def heavy(texts: DataFrame, pair: bool, only: np.ndarray | None, scratch: Scratch, name: str, bucket: int, total: int | None) -> tuple[dict, int]:
     """({key: count} of the heavy ones, number of tokens counted)."""
-    seen = Observation()
-    part = texts.mapInPandas(lambda b: tallied(b, pair, only), "v long, w long, n long").observe(seen, F.sum("n").alias("n"))
-    sums = part.groupBy("v", "w").agg(F.sum("n").alias("n")).where(F.col("n") > bucket // 4)
-    sums = scratch.keep(sums, name)
-    total = int(seen.get["n"] or 0) if total is None else total
+    part = texts.mapInPandas(lambda b: tallied(b, pair, only), "v long, w long, n long")
+    most = F.col("n") > bucket // 4
+    sums = scratch.keep(part.groupBy("v", "w").agg(F.sum("n").alias("n")).where(most if pair else most | (F.col("w") == 1)), name)
+    if not pair:
+        row = sums.where("w = 1").first()
+        total, sums = row[2] if row else 0, sums.where("w = 0")
     got = sums.where(F.col("n") > int(total * SHARE)).collect()
     unsigned = lambda k: int(np.int64(k).view(np.uint64))
     return {((unsigned(r[0]), unsigned(r[1])) if pair else unsigned(r[0])): r[2] for r in got}, total
@@ -197,7 +199,8 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
     one, total = heavy(corpus, False, None, scratch, "contexts", bucket, None)
     two = heavy(corpus, True, np.array(sorted(one), np.uint64), scratch, "bigrams", bucket, total)[0] if one else {}
     hot, buckets = Hot(one, two), max(1, -(-total // bucket))
-    packed = corpus.mapInPandas(lambda b: pack(b, buckets, hot, True, train is None), PACKED)
+    own = train is None
+    packed = corpus.mapInPandas(lambda b: pack(b, buckets, hot, True, own), PACKED)
     if train is not None:
         packed = packed.union(texts.mapInPandas(lambda b: pack(b, buckets, hot, False, True), PACKED))
     parts = packed.groupBy("bucket").applyInPandas(lambda x: join_bucket(x, hot), SCORED)
