@@ -7,7 +7,7 @@ before, or the document's begin) scores c(v w) / c(v ...), or ``ALPHA`` * c(w) /
 
 Exploded bigrams are dealt to buckets by the hash of v, so that a bucket holds the count tables of its contexts and
 the bigrams to be joined with them; both meet in one shuffle, packed by bucket and batch (token hashes, runs of the
-context, a document number), about 11 bytes a token. Buckets are sized by the corpus (``BUCKET`` tokens
+context, a document number), about 11 bytes a token. A bucket returns sums packed by slice of the input. Buckets are sized by the corpus (``BUCKET`` tokens
 each).
 
 Hot contexts (over ``BUCKET`` / 4 tokens and a ``SHARE`` of all, so at most 1 / SHARE of them) are counted beforehand
@@ -115,13 +115,20 @@ class Hot:
         return out
 
 
-PACKED = "bucket int, docs binary, runs binary, v binary, w binary, doc binary, counted boolean, scored boolean"
+PACKED = "bucket int, slice long, docs binary, runs binary, v binary, w binary, doc binary, counted boolean, scored boolean"
+#: What a bucket returns: for each slice its documents' sums, packed; and, by row, bigrams never counted.
+SUMMED = "slice long, docs binary, sums binary, counts binary, doc_id long, w long, n long"
 SCORED = "doc_id long, score double, n long, w long"
 
 
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def pack(batches: Iterator[pd.DataFrame], buckets: int, hot: Hot, counted: bool, scored: bool) -> Iterator[pd.DataFrame]:
     for x in slices(batches):
         ids = x["doc_id"].to_numpy()
+        key = np.uint64(xxhash.xxh64_intdigest(ids.tobytes(), len(ids))).view(np.int64)
         w = [token_hashes(t) for t in x["text"]]
         doc = np.repeat(np.arange(len(w), dtype=np.uint32), [len(t) for t in w])
         v = np.concatenate([contexts(t) for t in w] or [np.empty(0, np.uint64)])
@@ -139,8 +146,8 @@ def pack(batches: Iterator[pd.DataFrame], buckets: int, hot: Hot, counted: bool,
             first = np.nonzero(np.concatenate(([True], v[i + 1 : j] != v[i : j - 1])))[0]
             own, number = np.unique(doc[i:j], return_inverse=True)
             number = number.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
-            out.append((int(at[i]), ids[own].astype(np.int64).tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), v[i:j][first].tobytes(), w[i:j].tobytes(), number.tobytes(), counted, scored))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
+            out.append((int(at[i]), int(key), ids[own].astype(np.int64).tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), v[i:j][first].tobytes(), w[i:j].tobytes(), number.tobytes(), counted, scored))
+        yield pd.DataFrame(out, columns=names(PACKED))
 
 
 def scan_hot(batches: Iterator[pd.DataFrame], hot: Hot) -> Iterator[pd.DataFrame]:
@@ -157,33 +164,43 @@ def scan_hot(batches: Iterator[pd.DataFrame], hot: Hot) -> Iterator[pd.DataFrame
 
 
 def join_bucket(x: pd.DataFrame, hot: Hot) -> pd.DataFrame:
-    """One bucket: count its bigrams and contexts, look up the scored ones, add up by document. w is set for bigrams never counted."""
-    v, w, doc, counted, scored = [], [], [], [], []
+    """One bucket: count its bigrams and contexts, look up the scored ones, add up by slice and document."""
+    v, w, at, counted, scored, ids, base = [], [], [], [], [], [], [0]
     for r in x.itertuples(index=False):
         own = np.repeat(np.frombuffer(r.v, np.uint64), np.frombuffer(r.runs, np.uint32))
-        ids = np.frombuffer(r.docs, np.int64)
-        kind = np.uint16 if len(r.doc) == 2 * len(own) else np.uint32
+        ids.append(np.frombuffer(r.docs, np.int64))
         v.append(own)
         w.append(np.frombuffer(r.w, np.uint64))
-        doc.append(ids[np.frombuffer(r.doc, kind)])
+        at.append(base[-1] + np.frombuffer(r.doc, np.uint16 if len(r.doc) == 2 * len(own) else np.uint32).astype(np.int64))
         counted.append(np.full(len(own), r.counted))
         scored.append(np.full(len(own), r.scored))
-    v, w, doc, counted, scored = map(np.concatenate, (v, w, doc, counted, scored))
+        base.append(base[-1] + len(ids[-1]))
+    v, w, at, counted, scored, ids = map(np.concatenate, (v, w, at, counted, scored, ids))
     order = np.lexsort((w, v))
-    v, w, doc, counted, scored = v[order], w[order], doc[order], counted[order], scored[order]
+    v, w, at, counted, scored = v[order], w[order], at[order], counted[order], scored[order]
     new_v = np.concatenate(([True], v[1:] != v[:-1]))
     group_v, group = np.cumsum(new_v) - 1, np.cumsum(new_v | np.concatenate(([True], w[1:] != w[:-1]))) - 1
     two = np.bincount(group, counted)[group]
     one = np.maximum(np.bincount(group_v, counted)[group_v], hot.context(v))
     ok = scored & (two > 0)
-    ids, number = np.unique(doc[ok], return_inverse=True)
-    gain = np.bincount(number, np.log(two[ok]) - np.log(one[ok]), len(ids))
-    out = pd.DataFrame({"doc_id": ids, "score": gain, "n": np.bincount(number, minlength=len(ids)), "w": pd.array([None] * len(ids), "Int64")})
+    sums = np.bincount(at[ok], np.log(two[ok]) - np.log(one[ok]), len(ids))
+    counts = np.bincount(at[ok], minlength=len(ids)).astype(np.int64)
+    out = [(int(k), ids[i:j].tobytes(), sums[i:j].tobytes(), counts[i:j].tobytes(), None, None, None) for k, i, j, s in zip(x["slice"], base[:-1], base[1:], x["scored"]) if s]
+    out = pd.DataFrame(out, columns=names(SUMMED))
     left = scored & (two == 0)
     if left.any():
-        more = pd.DataFrame({"doc_id": doc[left], "w": w[left].view(np.int64)}).groupby(["doc_id", "w"]).size().rename("n").reset_index().assign(score=0.0)
-        out = pd.concat([out, more.astype({"w": "Int64"})[["doc_id", "score", "n", "w"]]])
-    return out
+        more = pd.DataFrame({"doc_id": ids[at[left]], "w": w[left].view(np.int64)}).groupby(["doc_id", "w"]).size().rename("n").reset_index()
+        out = pd.concat([out, more.reindex(columns=names(SUMMED)).astype({"docs": object, "sums": object, "counts": object}).replace({np.nan: None})])
+    return out.astype({"slice": "Int64", "doc_id": "Int64", "w": "Int64", "n": "Int64"})
+
+
+def add_up(x: pd.DataFrame) -> pd.DataFrame:
+    """One slice: its documents' sums over all buckets."""
+    ids = np.concatenate([np.frombuffer(b, np.int64) for b in x["docs"]])
+    u, at = np.unique(ids, return_inverse=True)
+    sums = np.bincount(at, np.concatenate([np.frombuffer(b, np.float64) for b in x["sums"]]), len(u))
+    counts = np.bincount(at, np.concatenate([np.frombuffer(b, np.int64) for b in x["counts"]]), len(u)).astype(np.int64)
+    return pd.DataFrame({"doc_id": u, "score": sums, "n": counts, "w": pd.array([None] * len(u), "Int64")})
 
 
 #: Stands for a null doc_id inside the packed rows.
@@ -203,11 +220,12 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
     packed = corpus.mapInPandas(lambda b: pack(b, buckets, hot, True, own), PACKED)
     if train is not None:
         packed = packed.union(texts.mapInPandas(lambda b: pack(b, buckets, hot, False, True), PACKED))
-    parts = packed.groupBy("bucket").applyInPandas(lambda x: join_bucket(x, hot), SCORED)
+    got = packed.groupBy("bucket").applyInPandas(lambda x: join_bucket(x, hot), SUMMED)
+    got = got if own else scratch.keep(got, "joined")
+    parts = got.where("docs is not null").groupBy("slice").applyInPandas(add_up, SCORED)
     if two:
         parts = parts.union(texts.mapInPandas(lambda b: scan_hot(b, hot), SCORED))
     if train is not None:  # what backs off meets the table of single tokens
-        parts = scratch.keep(parts, "parts")
 
         def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in slices(batches):
@@ -215,9 +233,9 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
                 yield pd.DataFrame({"w": u.view(np.int64), "c": n})
 
         single = corpus.mapInPandas(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-        low = parts.where("w is not null").join(single, "w", "left")
+        low = got.where("docs is null").select("doc_id", "n", "w").join(single, "w", "left")
         gain = F.when(F.col("c").isNull(), F.lit(float(np.log(ALPHA / (total + 1))))).otherwise(F.log(F.lit(ALPHA) * F.col("c") / F.lit(max(1, total))))
-        parts = parts.where("w is null").select("doc_id", "score", "n").union(low.select("doc_id", (gain * F.col("n")).alias("score"), "n"))
+        parts = parts.select("doc_id", "score", "n").union(low.select("doc_id", (gain * F.col("n")).alias("score"), "n"))
     sums = parts.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
     out = texts.select("doc_id").distinct().join(sums, "doc_id", "left")
     n, s = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("score", F.lit(0.0))
