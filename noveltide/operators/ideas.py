@@ -117,6 +117,11 @@ def normalized_expansion(entropies: DataFrame, key: list[str], k: int) -> DataFr
     return entropies.groupBy(*key).agg(top.alias("r_b"))
 
 
+def symbol_array(text: Column, buckets: int = 32) -> Column:
+    """The symbols of a text's spans, in order."""
+    return F.transform(split_ideas(text), lambda s: F.concat(F.lit("i"), hash_bucket(F.lower(s), buckets).cast("string")))
+
+
 def symbols(df: DataFrame, key: str = "doc_id", column: str = "text", buckets: int = 32) -> DataFrame:
     """(key, pos, sym): each span's symbol, by hash of its lower-cased text."""
-    return explode_ideas(df, key, column).select(key, "pos", F.concat(F.lit("i"), hash_bucket(F.lower("span"), buckets).cast("string")).alias("sym"))
+    return df.select(key, F.posexplode(symbol_array(F.col(column), buckets)).alias("pos", "sym"))

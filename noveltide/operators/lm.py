@@ -98,6 +98,12 @@ def tails(symbols: DataFrame, key: str = "doc_id") -> DataFrame:
     return last.select(key, "t1").join(before, key, "left").select(key, "t1", F.coalesce("t2", F.lit(BOS)).alias("t2"))
 
 
+def array_tails(rows: DataFrame, key: str, syms: str) -> DataFrame:
+    """The same from a column of symbol arrays, without a shuffle."""
+    n = F.size(syms)
+    return rows.where(n > 0).select(key, F.get(syms, n - 1).alias("t1"), F.coalesce(F.get(syms, n - 2), F.lit(BOS)).alias("t2"))
+
+
 def novelty_by_tail(tail_rows: DataFrame, probes: DataFrame, p: DataFrame, b: DataFrame, probe_key: str = "item_id") -> DataFrame:
     """(t1, t2, r_d): bits of the probes alone less their bits after an output with this tail, summed over probes.
 
@@ -115,7 +121,6 @@ def novelty_by_tail(tail_rows: DataFrame, probes: DataFrame, p: DataFrame, b: Da
     return bits.crossJoin(F.broadcast(alone)).select("t1", "t2", (F.col("alone") - F.col("bits")).alias("r_d"))
 
 
-def structural_novelty(outputs: DataFrame, probes: DataFrame, p: DataFrame, b: DataFrame, key: str = "doc_id", probe_key: str = "item_id") -> DataFrame:
-    """(key, r_d) for outputs with symbols; an output without any has r_d 0 and no row here."""
-    t = tails(outputs, key)
-    return t.join(novelty_by_tail(t, probes, p, b, probe_key), ["t1", "t2"]).select(key, "r_d")
+def structural_novelty(tail_rows: DataFrame, probes: DataFrame, p: DataFrame, b: DataFrame, key: str = "doc_id", probe_key: str = "item_id") -> DataFrame:
+    """(key, r_d) from tails (key, t1, t2); an output without symbols has r_d 0 and no row here."""
+    return tail_rows.join(novelty_by_tail(tail_rows, probes, p, b, probe_key), ["t1", "t2"]).select(key, "r_d")

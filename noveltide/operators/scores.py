@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltide.functions import metrics as M
@@ -57,19 +57,24 @@ def judge_means(ratings: DataFrame, key: str = "response_id") -> DataFrame:
     return per.unionByName(overall).groupBy("criterion").agg(F.count("*").alias("n"), F.avg("m").alias("mean"))
 
 
-def calibrate_delta(scores: DataFrame) -> DataFrame:
-    """One row from (kind, r_d), kind 'paraphrase' or 'restructure': the novelty threshold.
+def calibrate_delta(scores: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """One row (for each group) from (kind, r_d), kind 'paraphrase' or 'restructure': the novelty threshold.
 
     Half-way where the smallest restructure exceeds the largest paraphrase; else the paraphrase at index
-    int(0.9 (n - 1)) in ascending order, plus 0.001.
+    int(0.9 (n - 1)) in ascending order, plus 0.001. That one is an exact discrete percentile, which is aggregated
+    by value: no list of a group's values is made.
     """
-    para, re_ = F.col("kind") == "paraphrase", F.col("kind") == "restructure"
-    a = scores.agg(
-        F.array_sort(F.collect_list(F.when(para, F.col("r_d")))).alias("p"), F.max(F.when(para, F.col("r_d"))).alias("hi"), F.min(F.when(re_, F.col("r_d"))).alias("lo"),
-        F.avg(F.when(para, F.col("r_d"))).alias("paraphrase_mean"), F.avg(F.when(re_, F.col("r_d"))).alias("restructure_mean"),
-    )
-    at = F.floor(F.lit(0.9) * (F.size("p") - 1)).cast("int")
-    return a.select((F.col("lo") > F.col("hi")).alias("separable"), F.when(F.col("lo") > F.col("hi"), 0.5 * (F.col("hi") + F.col("lo"))).otherwise(F.get("p", at) + 1e-3).alias("delta_d"), "paraphrase_mean", "restructure_mean")
+    para, re_ = F.when(F.col("kind") == "paraphrase", F.col("r_d")), F.when(F.col("kind") == "restructure", F.col("r_d"))
+    by = group or []
+    values = scores.where((F.col("kind") == "paraphrase") & F.col("r_d").isNotNull()).groupBy(*by, "r_d").agg(F.count("*").alias("__n"))
+    below = values.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("r_d")))
+    n = values.groupBy(*by).agg(F.sum("__n").alias("__t")) if by else values.agg(F.sum("__n").alias("__t"))
+    j = below.join(F.broadcast(n), by) if by else below.crossJoin(F.broadcast(n))
+    nth = j.where(F.col("__upto") > F.floor(F.lit(0.9) * (F.col("__t") - 1))).groupBy(*by).agg(F.min("r_d").alias("__at"))
+    a = scores.groupBy(*by).agg(F.max(para).alias("hi"), F.min(re_).alias("lo"), F.avg(para).alias("paraphrase_mean"), F.avg(re_).alias("restructure_mean"))
+    a = a.join(nth, by, "left") if by else a.crossJoin(nth)
+    apart = F.col("lo") > F.col("hi")
+    return a.select(*by, apart.alias("separable"), F.when(apart, 0.5 * (F.col("hi") + F.col("lo"))).otherwise(F.col("__at") + 1e-3).alias("delta_d"), "paraphrase_mean", "restructure_mean")
 
 
 def paraphrases(df: DataFrame, text: str = "text") -> DataFrame:

@@ -163,9 +163,8 @@ def idea_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH sy AS ({O.symbols('documents', 'doc_id')}), g AS (SELECT sym AS a, lead(sym, 1) OVER w AS b, lead(sym, 2) OVER w AS c FROM sy WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
   SELECT a || ' ' || b || ' ' || c AS gram, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY 1""")
 def span_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    syms = F.transform(T.split_ideas(F.col("text")), lambda s: F.concat(F.lit("i"), T.hash_bucket(F.lower(s), C.BUCKETS).cast("string")))
-    rows = table(spark, sf_dir, "documents").select(syms.alias("s"))
-    return rows.select(F.explode(ideas.ngrams(F.col("s"), 3)).alias("g")).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n"))
+    rows = C.document_symbols(spark, sf_dir)
+    return rows.select(F.explode(ideas.ngrams(F.col("syms"), 3)).alias("g")).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM benchmark),
@@ -296,26 +295,22 @@ def backoff_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH sy AS ({O.symbols('documents', 'doc_id')}), sd AS ({O.padded('sy', 'doc_id')}), {O.PROBE_MODEL} SELECT doc_id, round(sum(bits), 4) AS bits FROM ({O.bits('sd', 'doc_id')}) GROUP BY doc_id")
 def sequence_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = ideas.symbols(table(spark, sf_dir, "benchmark"), "item_id", buckets=C.BUCKETS)
-    m = C.train(probes, "item_id")
+    _, m = C.probe_model(spark, sf_dir)
     return rounded(lm.sequence_bits(ideas.symbols(table(spark, sf_dir, "documents"), buckets=C.BUCKETS), m.p, m.b), "bits", places=4)
 
 
 @query(f"WITH sy AS ({O.symbols('documents', 'doc_id')}), {O.PROBE_MODEL}, {O.TAILS}, {O.NOVELTY} SELECT t1, t2, round(r_d, 5) AS r_d FROM rt")
 def context_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The novelty of every state that documents leave the model in."""
-    probes = ideas.symbols(table(spark, sf_dir, "benchmark"), "item_id", buckets=C.BUCKETS)
-    m = C.train(probes, "item_id")
-    tails = lm.tails(ideas.symbols(table(spark, sf_dir, "documents"), buckets=C.BUCKETS))
+    probes, m = C.probe_model(spark, sf_dir)
+    tails = lm.array_tails(C.document_symbols(spark, sf_dir), "doc_id", "syms")
     states = tails.select("t1", "t2").distinct()
     return rounded(lm.novelty_by_tail(tails, probes, m.p, m.b).join(states, ["t1", "t2"], "left_semi"), "r_d", places=5)
 
 
 @query(f"WITH sy AS ({O.symbols('documents', 'doc_id')}), {O.PROBE_MODEL}, {O.TAILS}, {O.NOVELTY} SELECT doc_id, round(r_d, 5) AS r_d FROM rd")
 def structural_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = ideas.symbols(table(spark, sf_dir, "benchmark"), "item_id", buckets=C.BUCKETS)
-    m = C.train(probes, "item_id")
-    return rounded(lm.structural_novelty(ideas.symbols(table(spark, sf_dir, "documents"), buckets=C.BUCKETS), probes, m.p, m.b), "r_d", places=5)
+    return rounded(C.document_novelty(spark, sf_dir), "r_d", places=5)
 
 
 @query(f"""WITH sy AS ({O.symbols('documents', 'doc_id')}), {O.PROBE_MODEL}, {O.TAILS}, {O.NOVELTY},
@@ -324,15 +319,10 @@ def structural_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT lang, lo > hi AS separable, round(CASE WHEN lo > hi THEN 0.5 * (hi + lo) ELSE p[floor(0.9 * (len(p) - 1))::INT + 1] + 0.001 END, 5) AS delta_d, round(pm, 5) AS paraphrase_mean, round(rm, 5) AS restructure_mean FROM a""")
 def delta_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: novelty of weak texts stands for the paraphrases', of good ones for the restructures'."""
-    probes = ideas.symbols(table(spark, sf_dir, "benchmark"), "item_id", buckets=C.BUCKETS)
-    m = C.train(probes, "item_id")
     docs = table(spark, sf_dir, "documents")
-    r = lm.structural_novelty(ideas.symbols(docs, buckets=C.BUCKETS), probes, m.p, m.b).join(table(spark, sf_dir, "labels"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    r = C.document_novelty(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
     rows = r.select("lang", F.when(F.col("quality") == 1, "restructure").otherwise("paraphrase").alias("kind"), "r_d")
-    out = None
-    for lang in [x[0] for x in docs.select("lang").distinct().orderBy("lang").collect()]:  # a handful of domains
-        one = scores.calibrate_delta(rows.where(F.col("lang") == lang)).select(F.lit(lang).alias("lang"), "*")
-        out = one if out is None else out.unionByName(one)
+    out = scores.calibrate_delta(rows, ["lang"])
     return rounded(out, "delta_d", "paraphrase_mean", "restructure_mean", places=5)
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noveltide.functions.metrics import plogp
 from noveltide.functions.text import split_ideas
 from noveltide.operators import ideas, lm, scores
 
@@ -43,23 +42,36 @@ def beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(by, ["lang", "source"])
 
 
-def symbol_expansion(symbols: DataFrame, key: str = "doc_id", k: int = BUCKETS) -> DataFrame:
-    """(key, r_b): entropy of a text's idea symbols by ln k, within [0, 1]."""
-    n = symbols.groupBy(key, "sym").agg(F.count("*").alias("n"))
-    t = n.groupBy(key).agg(F.sum("n").alias("t"))
-    h = n.join(t, key).groupBy(key).agg(F.sum(plogp(F.col("n") / F.col("t"))).alias("h"))
+def symbol_expansion(rows: DataFrame, key: str = "doc_id", syms: str = "syms", k: int = BUCKETS) -> DataFrame:
+    """(key, r_b): entropy of a text's idea symbols by ln k, within [0, 1], from H = ln t - (sum of n ln n) / t."""
+    n = rows.select(key, F.explode(syms).alias("sym")).groupBy(key, "sym").agg(F.count("*").alias("n"))
+    t = F.sum("n")
+    h = n.groupBy(key).agg((F.log(t) - F.sum(F.col("n") * F.log("n")) / t).alias("h"))
     return h.select(key, F.least(F.lit(1.0), F.col("h") / F.log(F.lit(float(k)))).alias("r_b"))
 
 
+def probe_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Model]:
+    """The frozen probes' symbols and the model trained on them."""
+    probes = ideas.symbols(table(spark, sf_dir, "benchmark"), "item_id", buckets=BUCKETS)
+    return probes, train(probes, "item_id")
+
+
+def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, syms)."""
+    return table(spark, sf_dir, "documents").select("doc_id", ideas.symbol_array(F.col("text"), BUCKETS).alias("syms"))
+
+
+def document_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, r_d) against the frozen probes."""
+    probes, model = probe_model(spark, sf_dir)
+    return lm.structural_novelty(lm.array_tails(document_symbols(spark, sf_dir), "doc_id", "syms"), probes, model.p, model.b)
+
+
 def scored_documents(spark: SparkSession, sf_dir: str, delta_d: float = 0.0, alpha: float = 1.0) -> DataFrame:
     """Labelled documents with cue, r_d, r_b, g_k, gates and score; domain is the language."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    syms = ideas.symbols(docs, buckets=BUCKETS)
-    probes = ideas.symbols(table(spark, sf_dir, "benchmark"), "item_id", buckets=BUCKETS)
-    model = train(probes, "item_id")
-    r_d = lm.structural_novelty(syms, probes, model.p, model.b)
+    r_d, r_b = document_novelty(spark, sf_dir), symbol_expansion(document_symbols(spark, sf_dir))
     rows = scores.with_cue(beliefs(spark, sf_dir)).select("doc_id", F.col("lang").alias("domain"), "cue")
-    rows = rows.join(r_d, "doc_id", "left").join(symbol_expansion(syms), "doc_id", "left")
+    rows = rows.join(r_d, "doc_id", "left").join(r_b, "doc_id", "left")
     rows = rows.select("doc_id", "domain", "cue", F.round(F.coalesce("r_d", F.lit(0.0)), 9).alias("r_d"), F.coalesce("r_b", F.lit(0.0)).alias("r_b"), F.lit(0.0).alias("g_k"))
     return scores.with_score(rows, delta_d, alpha)
 

@@ -143,7 +143,7 @@ def test_novelty_by_tail_equals_the_literal_sum(spark):
     m = creativity.train(toy(spark))
     probes = seqs(spark, (0, 1, 2), (2,), (1, 1)).withColumnRenamed("doc_id", "item_id")
     ys = [(1, 2, 0), (1,), (2, 2), (0, 1), (9, 9), (0, 0, 1)]
-    got = {r.doc_id: r.r_d for r in lm.structural_novelty(seqs(spark, *ys), probes, m.p, m.b).collect()}
+    got = {r.doc_id: r.r_d for r in lm.structural_novelty(lm.tails(seqs(spark, *ys)), probes, m.p, m.b).collect()}
     p = {(r.n, r.ctx, r.w): r.p for r in m.p.collect()}
     bow = {(r.n, r.ctx): r.bow for r in m.b.collect()}
 
