@@ -5,7 +5,6 @@ Each query applies one operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,12 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op3_line_dedup, op4_embedding_dedup, op5_chat_format, op6_lm_score, op7_language_id, op8_simhash_dedup, op9_warc, op10_quality)}
-    if importlib.util.find_spec("corpus_pipeline") is not None:
-        import corpus_pipeline
-
-        out["pipeline"] = corpus_pipeline.run
-    return out
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op3_line_dedup, op4_embedding_dedup, op5_chat_format, op6_lm_score, op7_language_id, op8_simhash_dedup, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
