@@ -534,6 +534,120 @@ def feasibility_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", M.feasible_reward(F.col("l_quantity"), 25.0, F.col("l_extendedprice")).alias("reward"), M.expansion_label(F.col("l_discount"), 0.05).alias("label"))
 
 
+# --- verdicts, gates, pairs and protocol checks
+
+
+@query("""SELECT doc_id, quality = 1 AND toxic = 0 AS approved, toxic = 0 AS task_valid, 'open point' AS feedback FROM labels""")
+def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written as a verifier's JSON inside prose, and read back."""
+    answer = F.to_json(F.struct(F.when(F.col("quality") == 1, "Approve ").otherwise("NOT APPROVED").alias("verdict"), (F.col("toxic") == 0).alias("task_valid"), F.lit(True).alias("addresses_critique"), F.array(F.lit("open point")).alias("unresolved_issues")))
+    v = records.with_verdict(table(spark, sf_dir, "labels").withColumn("answer", F.concat(F.lit("My verdict: "), answer)), "answer")
+    return v.select("doc_id", "verdict.approved", "verdict.task_valid", "feedback")
+
+
+@query("""SELECT doc_id, (quality + 2 * toxic)::INTEGER AS outcome FROM labels""")
+def outcome_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in scores.LABELS])
+    at = F.col("quality") + 2 * F.col("toxic")
+    answer = F.when(at % 2 == 0, F.to_json(F.struct(F.get(names, at).alias("label")))).otherwise(F.concat(F.lit("I would say "), F.get(names, at)))
+    return table(spark, sf_dir, "labels").select("doc_id", T.classify_outcome(answer, scores.LABELS).alias("outcome"))
+
+
+@query("""SELECT doc_id, round(abs(quality - toxic * 0.5) * ln(2) / greatest(octet_length(encode(text)) * 8, 8), 9) AS stub, CASE WHEN source = 'src0' THEN 0.0 WHEN toxic * 0.25 > 0 THEN 0.25 ELSE 1.0 END::DOUBLE AS lambda FROM documents JOIN labels USING (doc_id)""")
+def stub_and_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plumbing values: the stub gain, and the team weight in force."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    stub = M.stub_cue(F.col("quality") - F.col("toxic") * 0.5, T.bit_length_utf8(F.col("text")))
+    return rows.select("doc_id", F.round(stub, 9).alias("stub"), M.effective_lambda(F.col("source") != "src0", F.col("toxic") * 0.25, 1.0).alias("lambda"))
+
+
+@query("""SELECT a.l_orderkey, count(b.l_orderkey) AS n_pairs FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_extendedprice < a.l_extendedprice - 2000 GROUP BY a.l_orderkey""")
+def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.pair_counts(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice", 1000.0)
+
+
+@query("""WITH p AS (SELECT a.o_orderkey AS w, b.o_orderkey AS l FROM orders a JOIN orders b USING (o_custkey) WHERE a.o_totalprice > b.o_totalprice + 20000),
+  m AS (SELECT w AS o_orderkey, 0.1 AS s FROM p UNION ALL SELECT l, -0.1 FROM p)
+  SELECT o_orderkey, round(coalesce(sum(s), 0)::DOUBLE, 6) AS logit FROM orders LEFT JOIN m USING (o_orderkey) GROUP BY o_orderkey""")
+def logit_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.lit(0.0).alias("logit"))
+    pairs = training.valid_pairs(o, "o_custkey", "o_orderkey", "o_totalprice", 10000.0)
+    return rounded(training.logit_update(o, pairs, "o_orderkey", "logit", 0.1).select("o_orderkey", "logit"), "logit")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(0.1 * (ln((l_quantity / 60) / 0.5) - ln((1 - l_quantity / 60) / 0.5)), 6) AS log_odds FROM lineitem""")
+def dpo_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("l_quantity") / 60
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(training.dpo_log_odds(p, 1 - p, F.lit(0.5), F.lit(0.5), 0.1), 6).alias("log_odds"))
+
+
+@query("""SELECT NOT coalesce(bool_or(k = n), false) AS rotates FROM (SELECT user_id, count(DISTINCT ts::DATE) AS k FROM events GROUP BY user_id), (SELECT count(DISTINCT ts::DATE) AS n FROM events)""")
+def probes_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand for probes, days for batches."""
+    return training.probes_rotate(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), "user_id", "day")
+
+
+@query("""SELECT coalesce(max(p_size / 50.0::DOUBLE) < 0.99, true) AS tight FROM part WHERE p_retailprice >= 1000 AND p_size % 2 = 1""")
+def tau_tightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "part").select((F.col("p_retailprice") / 1000 * 0.99).alias("u"), (F.col("p_size") / 50.0).alias("h"), (F.col("p_size") % 2 == 0).alias("coherent"))
+    return information.tau_tight(m, 0.99)
+
+
+@query(f"""SELECT x, y, round(ha + hb - hab, 6) AS mutual_info, ha + hb - hab <= 0.001 AS independent FROM (
+  SELECT 'l_returnflag' AS x, 'l_linestatus' AS y, {_h('l_returnflag', 'ha')}, {_h('l_linestatus', 'hb')}, {_h('l_returnflag, l_linestatus', 'hab')} UNION ALL
+  SELECT 'l_linestatus', 'l_linenumber', {_h('l_linestatus', 'ha')}, {_h('l_linenumber', 'hb')}, {_h('l_linestatus, l_linenumber', 'hab')})""")
+def product_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = information.product_kernel(table(spark, sf_dir, "lineitem"), [("l_returnflag", "l_linestatus"), ("l_linestatus", "l_linenumber")], 0.001)
+    return rounded(k, "mutual_info")
+
+
+@query("""WITH a AS (SELECT l_returnflag AS x, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM lineitem GROUP BY 1), b AS (SELECT l_linenumber AS y, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM lineitem GROUP BY 1) SELECT x, y, round(a.p * b.p, 9) AS p FROM a CROSS JOIN b""")
+def joint_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return rounded(information.joint_product(information.pmf(li, ["l_returnflag"]).select("l_returnflag", "p"), information.pmf(li, ["l_linenumber"]).select("l_linenumber", "p")), "p", places=9)
+
+
+@query("""WITH d AS (SELECT lang AS domain, count(*) AS prompts, sum(ceil((length(text) + 200 + 3200) / 4)::BIGINT)::BIGINT AS judge_in FROM documents GROUP BY lang)
+  SELECT domain, round(sum(judge_in * 5 * p_in + prompts * 5 * 80 * p_out), 4) AS judge_usd FROM d CROSS JOIN (VALUES (1.5e-07::DOUBLE, 6e-07::DOUBLE), (2e-06::DOUBLE, 8e-06::DOUBLE)) j(p_in, p_out) GROUP BY domain""")
+def judge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("domain")).agg(F.count("*").alias("prompts"), F.sum(cost.judge_tokens(F.col("text"), 200, 800)).alias("judge_in"))
+    judges = spark.createDataFrame([("j1", 1.5e-07, 6e-07), ("j2", 2e-06, 8e-06), ("j3", None, None)], "model_id string, p_in double, p_out double")
+    return rounded(cost.judge_cost(d, judges), "judge_usd", places=4)
+
+
+@query("""SELECT s_name AS model_id, n_name IS NOT NULL AS available FROM (SELECT 'm' || s_nationkey || ':' || s_suppkey AS s_name, s_nationkey FROM supplier) LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey < 3""")
+def model_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = table(spark, sf_dir, "supplier").select(F.concat(F.lit("m"), F.col("s_nationkey").cast("string"), F.lit(":"), F.col("s_suppkey").cast("string")).alias("model_id"))
+    names = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("name"))
+    return cost.available(models, names).select("model_id", "available")
+
+
+@query("""SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents WHERE lang IS NOT NULL GROUP BY GROUPING SETS ((), (lang), (lang, source))""")
+def report_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overall, domain and group figures in one pass."""
+    table(spark, sf_dir, "documents").where("lang is not null").createOrReplaceTempView("noveltide_documents")
+    return spark.sql("SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM noveltide_documents GROUP BY GROUPING SETS ((), (lang), (lang, source))")
+
+
+@query("""WITH r AS (SELECT conv_id, map([turn::VARCHAR], [text]) AS m, turn, role FROM conversations), f AS (SELECT conv_id, min_by(text, turn) AS first FROM conversations GROUP BY conv_id), k AS (SELECT conv_id, text AS second FROM conversations WHERE turn = 1)
+  SELECT conv_id, coalesce(second, first) AS response FROM f LEFT JOIN k USING (conv_id)""")
+def response_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response under key '1' of a conversation's turns, else its first."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(turns, lambda x: F.create_map(x["turn"].cast("string"), x["text"])).alias("responses"))
+    return c.select("conv_id", records.response_text(c, "1").alias("response"))
+
+
+@query()
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows from a stream without repeats; the last ones wait for the watermark."""
+    import uuid
+
+    e = streams.without_repeats(streams.event_stream(spark, f"{sf_dir}/events.parquet*"))
+    g = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value_sum"))
+    return rounded(streams.run_available(g.select(F.col("window.start").alias("start"), "event_type", "n", "value_sum"), f"windows_{uuid.uuid4().hex[:8]}"), "value_sum", places=4)
+
+
 # --- pages
 
 
