@@ -24,7 +24,8 @@ class Model:
 
 
 def train(symbols: DataFrame, key: str = "doc_id") -> Model:
-    c = lm.counts(symbols, key).persist()  # read by every join that follows; a lost block is computed again
+    # bounded by the alphabet, so one partition holds it; read by every join that follows, and made again if lost
+    c = lm.counts(symbols, key).repartition(1).persist()
     p = lm.probabilities(c).persist()
     return Model(p, lm.backoffs(c, p).persist())
 
