@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 WIDE, NARROW, SPARSE = 12, 8, 20
-BANDS, ROWS = 6, 3
+BANDS, ROWS, BITS = 6, 3, 27
 _rnd = random.Random(20_240_601)
 TURN = _rnd.getrandbits(62)
 MASKS = [_rnd.getrandbits(31) for _ in range(BANDS * ROWS)]
@@ -76,30 +76,45 @@ def verify(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     return both.where(f"exists({sizes}, r -> r.k >= {threshold}D * (r.n - r.k))").select("x", "y")
 
 
-def line_groups(spark: SparkSession, docs: DataFrame, scratch: Scratch, threshold: float = 0.8) -> DataFrame:
-    """(a, root): forms (by hash) in components of two or more different forms."""
+def marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lines`` plus maybe: true for every ``a`` in ``wanted``, and for few others while those fill few of 2^BITS bits.
+
+    A bitmap by hash, of 2^BITS bits at most whatever the input, so it may be broadcast; no line is shuffled to be told
+    that it is not wanted.
+    """
+    k = F.pmod("a", F.lit(1 << BITS))
+    bits = wanted.select(F.bitmap_bucket_number(k).alias("__b"), F.bitmap_bit_position(k).alias("__p"))
+    maps = bits.repartition("__b").groupBy("__b").agg(F.bitmap_construct_agg("__p").alias("__m"))
+    out = lines.withColumn("__b", F.bitmap_bucket_number(k)).withColumn("__p", F.bitmap_bit_position(k)).join(F.broadcast(maps), "__b", "left")
+    hit = F.expr("(cast(conv(hex(substring(__m, cast(__p div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(__p % 8 as int))) <> 0")
+    return out.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("__b", "__p", "__m")
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(x, y), x > y: pairs of forms (by hash) to be verified."""
     bands = band_rows(signatures(lines_of(docs)))
     # a bucket of one form is dropped by the aggregate; hot buckets shrink in its map side
     turned = F.col("a").bitwiseXOR(F.lit(TURN))
     lead = bands.groupBy("band").agg(F.min("a").alias("l0"), F.max("a").alias("l1"), F.min(turned).alias("l2"), F.max(turned).alias("l3")).where("l0 < l1")
     lead = lead.select("band", "l0", "l1", *[F.col(c).bitwiseXOR(F.lit(TURN)).alias(c) for c in ("l2", "l3")])
     pairs = bands.join(lead, "band").select("a", F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3"))).alias("l")).where("a <> l")
-    pairs = scratch.keep(pairs.select(F.greatest("a", "l").alias("x"), F.least("a", "l").alias("y")).distinct(), "pairs")
-    scratch.release()
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
-    forms = lines_of(docs).select(F.xxhash64("form").alias("a"), "form").join(wanted, "a", "left_semi").groupBy("a").agg(F.min("form").alias("form"))
-    edges = scratch.keep(verify(pairs, scratch.keep(forms, "forms"), threshold), "edges")
-    scratch.release()
-    return scratch.keep(components(edges, scratch), "groups").select(F.col("id").alias("a"), "root")
+    return pairs.select(F.greatest("a", "l").alias("x"), F.least("a", "l").alias("y")).distinct()
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, threshold: float = 0.8) -> DataFrame:
     """(d, gone): for each document that loses lines, the places and form hashes of those lines."""
-    groups = line_groups(spark, docs, scratch, threshold)
-    # a second, independent hash keeps apart the copies of forms that share the first
-    occ = lines_of(docs).select("d", "p", F.xxhash64("form").alias("a"), F.xxhash64(F.lit(1), "form").alias("b"))
-    occ = occ.where(F.col("a") != F.xxhash64(F.lit(""))).join(groups, "a", "left").select("d", "p", "a", F.coalesce("root", "a").alias("g"), F.when(F.col("root").isNull(), F.col("b")).otherwise(F.lit(0)).alias("b"))
-    occ = scratch.keep(occ, "occurrences")
+    pairs = scratch.keep(candidates(docs), "pairs")
+    scratch.release()
+    # one pass writes all occurrences, with the form where it is to be verified; the second hash, independent of the
+    # first, keeps apart the copies of forms that share the first
+    lines = lines_of(docs).where("form <> ''").select("d", "p", F.xxhash64("form").alias("a"), F.xxhash64(F.lit(1), "form").alias("b"), "form")
+    lines = marked(lines, pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct())
+    occ = scratch.keep(lines.select("d", "p", "a", "b", F.when(F.col("maybe"), F.col("form")).alias("form")), "lines")
+    forms = occ.where("form is not null").groupBy("a").agg(F.min("form").alias("form"))
+    edges = scratch.keep(verify(pairs, scratch.keep(forms, "forms"), threshold), "edges")
+    scratch.release()
+    groups = scratch.keep(components(edges, scratch), "groups").select(F.col("id").alias("a"), "root")
+    occ = occ.join(groups, "a", "left").select("d", "p", "a", F.coalesce("root", "a").alias("g"), F.when(F.col("root").isNull(), F.col("b")).otherwise(F.lit(0)).alias("b"))
     first = occ.groupBy("g", "b").agg(F.min(F.struct("d", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").select("g", "b", "first")
     gone = occ.join(first, ["g", "b"]).where(~F.struct("d", "p").eqNullSafe(F.col("first")))
     return gone.groupBy("d").agg(F.collect_set(F.struct("p", "a")).alias("gone"))
