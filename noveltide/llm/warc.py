@@ -139,7 +139,7 @@ def write(spark: SparkSession, pages: DataFrame, root: str, roll_bytes: int = RO
     text = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("first"))
     both = text.union(notes.select("page_id", "sha", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), "first"))
     order = ["shard", "page_id", "sha", "kind", "url"]
-    stream = shard(both).repartition(F.col("shard")).sortWithinPartitions(*order)
+    stream = shard(both).repartition(len(bounds) + 1, "shard").sortWithinPartitions(*order)  # tasks of a few shards, whatever the input
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files = Roller(root, roll_bytes)
