@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLANK, PART, MOST_WORDS, MOST_PAIRS = "▁", 800_000, 400_000, 1 << 21
+BLANK, PART, MOST_WORDS, MOST_PAIRS, TEXTS = "▁", 400_000, 400_000, 1 << 21, 1250
 
 
 def chunk_pattern(pieces: list[str]) -> re.Pattern:
@@ -369,7 +369,7 @@ def encode(docs: DataFrame, model: str = MODEL, column: str = "text", out: str =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = _index(spec.value)
         for x in batches:
-            yield pd.Series(index.encode(x.tolist()), dtype=object)
+            yield pd.Series([g for k in range(0, len(x), TEXTS) for g in index.encode(x.iloc[k : k + TEXTS].tolist())], dtype=object)
 
     return docs.withColumn(out, F.pandas_udf(run, "array<int>")(F.col(column)))
 
@@ -398,8 +398,8 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
         index = _index(spec)
         for x in batches:
             rows = []
-            for k in range(0, len(x), 2500):  # the ids of so many texts are held at a time
-                texts = x.iloc[k : k + 2500].tolist()
+            for k in range(0, len(x), TEXTS):  # the ids of so many texts are held at a time
+                texts = x.iloc[k : k + TEXTS].tolist()
                 for t, g in zip(texts, index.encode(texts)):
                     rows.append((None, None, None) if g is None else (len(g), hashlib.sha256(g.astype("<i4").tobytes()).hexdigest(), decode_ids(g, pieces) == t))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "round_trip"]).astype({"n_tokens": "Int64"})
