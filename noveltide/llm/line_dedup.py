@@ -114,7 +114,10 @@ def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, thresh
     edges = scratch.keep(verify(pairs, scratch.keep(forms, "forms"), threshold), "edges")
     scratch.release()
     groups = scratch.keep(components(edges, scratch), "groups").select(F.col("id").alias("a"), "root")
-    occ = occ.join(groups, "a", "left").select("d", "p", "a", F.coalesce("root", "a").alias("g"), F.when(F.col("root").isNull(), F.col("b")).otherwise(F.lit(0)).alias("b"))
+    # only forms that were verified can have a root; the others need no join
+    rest = occ.where("form is null").select("d", "p", "a", F.col("a").alias("g"), "b")
+    some = occ.where("form is not null").join(groups, "a", "left")
+    occ = rest.union(some.select("d", "p", "a", F.coalesce("root", "a").alias("g"), F.when(F.col("root").isNull(), F.col("b")).otherwise(F.lit(0)).alias("b")))
     first = occ.groupBy("g", "b").agg(F.min(F.struct("d", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").select("g", "b", "first")
     gone = occ.join(first, ["g", "b"]).where(~F.struct("d", "p").eqNullSafe(F.col("first")))
     return gone.groupBy("d").agg(F.collect_set(F.struct("p", "a")).alias("gone"))
