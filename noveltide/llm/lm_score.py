@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ALPHA, BUCKET, SHARE, SLICE = 0.4, 750_000, 1 / 1000, 6_000_000
+ALPHA, BUCKET, SHARE, SLICE = 0.4, 1_200_000, 1 / 1000, 6_000_000
 BEGIN = xxhash.xxh64_intdigest(b"begin of document", 1)
 
 
@@ -116,8 +116,9 @@ class Hot:
 
 
 PACKED = "bucket int, slice long, docs binary, runs binary, v binary, w binary, doc binary, counted boolean, scored boolean"
-#: What a bucket returns: for each slice its documents' sums, packed; and, by row, bigrams never counted.
-SUMMED = "slice long, docs binary, sums binary, counts binary, doc_id long, w long, n long"
+#: What a bucket returns, by slice: kind 0 has the slice's doc_ids; kind 1 documents (by number in the slice), sums and
+#: counts; kind 2 the same of bigrams never counted, with token hashes for sums.
+SUMMED = "slice long, kind int, docs binary, sums binary, counts binary"
 SCORED = "doc_id long, score double, n long, w long"
 
 
@@ -146,7 +147,9 @@ def pack(batches: Iterator[pd.DataFrame], buckets: int, hot: Hot, counted: bool,
             first = np.nonzero(np.concatenate(([True], v[i + 1 : j] != v[i : j - 1])))[0]
             own, number = np.unique(doc[i:j], return_inverse=True)
             number = number.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
-            out.append((int(at[i]), int(key), ids[own].astype(np.int64).tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), v[i:j][first].tobytes(), w[i:j].tobytes(), number.tobytes(), counted, scored))
+            out.append((int(at[i]), int(key), own.tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), v[i:j][first].tobytes(), w[i:j].tobytes(), number.tobytes(), counted, scored))
+        if scored:  # the slice's doc_ids travel once; elsewhere documents are numbered within the slice
+            out.append((int(key) % buckets, int(key), ids.astype(np.int64).tobytes(), b"", b"", b"", b"", False, True))
         yield pd.DataFrame(out, columns=names(PACKED))
 
 
@@ -165,42 +168,54 @@ def scan_hot(batches: Iterator[pd.DataFrame], hot: Hot) -> Iterator[pd.DataFrame
 
 def join_bucket(x: pd.DataFrame, hot: Hot) -> pd.DataFrame:
     """One bucket: count its bigrams and contexts, look up the scored ones, add up by slice and document."""
-    v, w, at, counted, scored, ids, base = [], [], [], [], [], [], [0]
+    full = x["w"].str.len() > 0
+    out = [(int(r.slice), 0, r.docs, b"", b"") for r in x[~full].itertuples(index=False)]  # doc_ids of slices
+    x = x[full]
+    v, w, at, counted, scored, docs, base = [], [], [], [], [], [], [0]
     for r in x.itertuples(index=False):
         own = np.repeat(np.frombuffer(r.v, np.uint64), np.frombuffer(r.runs, np.uint32))
-        ids.append(np.frombuffer(r.docs, np.int64))
+        docs.append(np.frombuffer(r.docs, np.uint32))
         v.append(own)
         w.append(np.frombuffer(r.w, np.uint64))
         at.append(base[-1] + np.frombuffer(r.doc, np.uint16 if len(r.doc) == 2 * len(own) else np.uint32).astype(np.int64))
         counted.append(np.full(len(own), r.counted))
         scored.append(np.full(len(own), r.scored))
-        base.append(base[-1] + len(ids[-1]))
-    v, w, at, counted, scored, ids = map(np.concatenate, (v, w, at, counted, scored, ids))
-    order = np.lexsort((w, v))
-    v, w, at, counted, scored = v[order], w[order], at[order], counted[order], scored[order]
-    new_v = np.concatenate(([True], v[1:] != v[:-1]))
-    group_v, group = np.cumsum(new_v) - 1, np.cumsum(new_v | np.concatenate(([True], w[1:] != w[:-1]))) - 1
-    two = np.bincount(group, counted)[group]
-    one = np.maximum(np.bincount(group_v, counted)[group_v], hot.context(v))
-    ok = scored & (two > 0)
-    sums = np.bincount(at[ok], np.log(two[ok]) - np.log(one[ok]), len(ids))
-    counts = np.bincount(at[ok], minlength=len(ids)).astype(np.int64)
-    out = [(int(k), ids[i:j].tobytes(), sums[i:j].tobytes(), counts[i:j].tobytes(), None, None, None) for k, i, j, s in zip(x["slice"], base[:-1], base[1:], x["scored"]) if s]
-    out = pd.DataFrame(out, columns=names(SUMMED))
-    left = scored & (two == 0)
-    if left.any():
-        more = pd.DataFrame({"doc_id": ids[at[left]], "w": w[left].view(np.int64)}).groupby(["doc_id", "w"]).size().rename("n").reset_index()
-        out = pd.concat([out, more.reindex(columns=names(SUMMED)).astype({"docs": object, "sums": object, "counts": object}).replace({np.nan: None})])
-    return out.astype({"slice": "Int64", "doc_id": "Int64", "w": "Int64", "n": "Int64"})
+        base.append(base[-1] + len(docs[-1]))
+    if len(x):
+        v, w, at, counted, scored, docs = map(np.concatenate, (v, w, at, counted, scored, docs))
+        order = np.lexsort((w, v))
+        v, w, at, counted, scored = v[order], w[order], at[order], counted[order], scored[order]
+        new_v = np.concatenate(([True], v[1:] != v[:-1]))
+        group_v, group = np.cumsum(new_v) - 1, np.cumsum(new_v | np.concatenate(([True], w[1:] != w[:-1]))) - 1
+        two = np.bincount(group, counted)[group]
+        one = np.maximum(np.bincount(group_v, counted)[group_v], hot.context(v))
+        ok = scored & (two > 0)
+        sums = np.bincount(at[ok], np.log(two[ok]) - np.log(one[ok]), len(docs))
+        counts = np.bincount(at[ok], minlength=len(docs)).astype(np.uint32)
+        out += [(int(k), 1, docs[i:j].tobytes(), sums[i:j].tobytes(), counts[i:j].tobytes()) for k, i, j, s in zip(x["slice"], base[:-1], base[1:], x["scored"]) if s]
+        left = scored & (two == 0)
+        if left.any():
+            part = np.searchsorted(base, at[left], "right") - 1
+            more = pd.DataFrame({"slice": x["slice"].to_numpy()[part], "d": docs[at[left]], "w": w[left].view(np.int64)})
+            more = more.groupby(["slice", "d", "w"]).size().reset_index(name="n")
+            out += [(int(k), 2, g["d"].to_numpy(np.uint32).tobytes(), g["w"].to_numpy(np.int64).tobytes(), g["n"].to_numpy(np.uint32).tobytes()) for k, g in more.groupby("slice")]
+    return pd.DataFrame(out, columns=names(SUMMED))
 
 
 def add_up(x: pd.DataFrame) -> pd.DataFrame:
-    """One slice: its documents' sums over all buckets."""
-    ids = np.concatenate([np.frombuffer(b, np.int64) for b in x["docs"]])
-    u, at = np.unique(ids, return_inverse=True)
-    sums = np.bincount(at, np.concatenate([np.frombuffer(b, np.float64) for b in x["sums"]]), len(u))
-    counts = np.bincount(at, np.concatenate([np.frombuffer(b, np.int64) for b in x["counts"]]), len(u)).astype(np.int64)
-    return pd.DataFrame({"doc_id": u, "score": sums, "n": counts, "w": pd.array([None] * len(u), "Int64")})
+    """One slice: its documents' sums over all buckets, and by row what backs off."""
+
+    def joined(kind: int, column: str, type_) -> np.ndarray:
+        return np.concatenate([np.frombuffer(b, type_) for b in x.loc[x["kind"] == kind, column]] or [np.empty(0, type_)])
+
+    ids = np.frombuffer(x.loc[x["kind"] == 0, "docs"].iloc[0], np.int64)
+    at = joined(1, "docs", np.uint32)
+    sums, counts = np.bincount(at, joined(1, "sums", np.float64), len(ids)), np.bincount(at, joined(1, "counts", np.uint32), len(ids)).astype(np.int64)
+    out = pd.DataFrame({"doc_id": ids, "score": sums, "n": counts, "w": pd.array([None] * len(ids), "Int64")})
+    if (x["kind"] == 2).any():
+        rest = {"doc_id": ids[joined(2, "docs", np.uint32)], "score": 0.0, "n": joined(2, "counts", np.uint32).astype(np.int64), "w": pd.array(joined(2, "sums", np.int64), "Int64")}
+        out = pd.concat([out, pd.DataFrame(rest)])
+    return out
 
 
 #: Stands for a null doc_id inside the packed rows.
@@ -221,8 +236,8 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
     if train is not None:
         packed = packed.union(texts.mapInPandas(lambda b: pack(b, buckets, hot, False, True), PACKED))
     got = packed.groupBy("bucket").applyInPandas(lambda x: join_bucket(x, hot), SUMMED)
-    got = got if own else scratch.keep(got, "joined")
-    parts = got.where("docs is not null").groupBy("slice").applyInPandas(add_up, SCORED)
+    parts = got.groupBy("slice").applyInPandas(add_up, SCORED)
+    parts = parts if own else scratch.keep(parts, "parts")
     if two:
         parts = parts.union(texts.mapInPandas(lambda b: scan_hot(b, hot), SCORED))
     if train is not None:  # what backs off meets the table of single tokens
@@ -233,9 +248,9 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
                 yield pd.DataFrame({"w": u.view(np.int64), "c": n})
 
         single = corpus.mapInPandas(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-        low = got.where("docs is null").select("doc_id", "n", "w").join(single, "w", "left")
+        low = parts.where("w is not null").select("doc_id", "n", "w").join(single, "w", "left")
         gain = F.when(F.col("c").isNull(), F.lit(float(np.log(ALPHA / (total + 1))))).otherwise(F.log(F.lit(ALPHA) * F.col("c") / F.lit(max(1, total))))
-        parts = parts.select("doc_id", "score", "n").union(low.select("doc_id", (gain * F.col("n")).alias("score"), "n"))
+        parts = parts.where("w is null").select("doc_id", "score", "n").union(low.select("doc_id", (gain * F.col("n")).alias("score"), "n"))
     sums = parts.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
     out = texts.select("doc_id").distinct().join(sums, "doc_id", "left")
     n, s = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("score", F.lit(0.0))
