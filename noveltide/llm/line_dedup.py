@@ -8,10 +8,7 @@ verification, then distributed union-find (``common.components``), one line kept
   sets is ``threshold`` (0.8) or more.
 * The kept line of a component is its first in (doc_id, line number) order, a null doc_id first.
 
-Shingles are the windows of ``WIDE`` characters that begin at a word's start (after a blank or at the line's start;
-windows at the end are shorter). That is one window in six of running text, and an edit inside a word changes the
-two or three windows that reach it. A form of over ``SPARSE`` characters a word (scripts without blanks, encoded
-data) has every window of ``NARROW`` characters instead.
+Shingles are all windows of ``NARROW`` characters; forms that are shorter have none and are only matched as copies.
 
 Candidates. Signatures are minimum hashes under XOR masks of one 31-bit hash, cut into ``BANDS`` bands of ``ROWS``; two
 forms of similarity 0.8 share a band with probability 0.987, of 0.9 with 0.9996. Each member of a band bucket is
@@ -32,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
-WIDE, NARROW, SPARSE = 12, 8, 20
-BANDS, ROWS, BITS = 6, 3, 27
+#: Forms of more than SPARSE characters a word have every window of NARROW characters: all forms do.
+NARROW, SPARSE = 5, 0
+BANDS, ROWS, BITS = 7, 3, 27
 _rnd = random.Random(20_240_601)
 TURN = _rnd.getrandbits(62)
 MASKS = [_rnd.getrandbits(31) for _ in range(BANDS * ROWS)]
@@ -47,18 +45,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def shingles(form: str) -> str:
     """SQL for the shingles of a form, repeats included."""
-    words = f"(length({form}) - length(replace({form}, ' ', '')) + 1)"
-    every = f"regexp_extract_all({form}, '(?s)(?=(.{{{NARROW}}}))', 1)"
-    return f"if(length({form}) > {SPARSE} * {words}, {every}, regexp_extract_all({form}, '(?s)(?=(.{{1,{WIDE}}}))[^ ]+ *', 1))"
+    return f"regexp_extract_all({form}, '(?s)(?=(.{{{NARROW}}}))', 1)"
 
 
 def signatures(forms: DataFrame) -> DataFrame:
     """(a, m0..): minimum hashes, one row per distinct form that has shingles."""
-    s = forms.select(F.xxhash64("form").alias("a"), F.encode("form", "UTF-16BE").alias("u"), (F.length("form") > SPARSE * (F.length("form") - F.length(F.replace("form", F.lit(" "))) + 1)).alias("sparse"))
-    # one row a character stays inside generated code; windows begin after a blank, or anywhere in sparse forms
-    s = s.select("a", "u", "sparse", F.explode(F.expr(f"if(sparse, sequence(0, cast(length(u) / 2 as int) - {NARROW}), sequence(0, greatest(cast(length(u) / 2 as int) - 1, 0)))")).alias("i"))
-    s = s.where("sparse or i = 0 or (substring(u, 2 * i - 1, 2) = X'0020' and substring(u, 2 * i + 1, 2) <> X'0020')")
-    s = s.select("a", F.expr(f"cast(shiftrightunsigned(xxhash64(substring(u, 2 * i + 1, if(sparse, {2 * NARROW}, {2 * WIDE}))), 33) as int)").alias("x"))
+    s = forms.where(F.length("form") >= NARROW).select(F.xxhash64("form").alias("a"), F.encode("form", "UTF-16BE").alias("u"))
+    # one row a character stays inside generated code
+    s = s.select("a", "u", F.explode(F.expr(f"sequence(0, cast(length(u) / 2 as int) - {NARROW})")).alias("i"))
+    s = s.select("a", F.expr(f"cast(shiftrightunsigned(xxhash64(substring(u, 2 * i + 1, {2 * NARROW})), 33) as int)").alias("x"))
     return s.groupBy("a").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(MASKS)])
 
 

@@ -117,3 +117,9 @@ def test_plan_has_no_python(spark, tmp_path):
 def test_shingles(spark, form):
     got = spark.createDataFrame([(form,)], "form string").selectExpr(f"array_distinct({L.shingles('form')}) AS s").first().s
     assert set(got) == shingle_set(form)
+
+
+def test_one_changed_word_in_a_short_line(spark):
+    a = "copyright 2019 the example project contributors, all rights reserved worldwide under licence"
+    docs = [(1, a), (2, a.replace("2019", "2021"))]
+    assert [r.text for _, r in sorted(run(spark, docs).items())] == [a, ""]
