@@ -10,11 +10,14 @@ verification, then distributed union-find (``common.components``), one line kept
 
 Shingles are all windows of ``NARROW`` characters; forms that are shorter have none and are only matched as copies.
 
-Candidates. Signatures are minimum hashes under XOR masks of one 31-bit hash, cut into ``BANDS`` bands of ``ROWS``; two
-forms of similarity 0.8 share a band with probability 0.987, of 0.9 with 0.9996. Each member of a band bucket is
-compared with four leaders of the bucket (smallest and largest id, and the same after flipping fixed bits of the id),
-so a bucket of any size costs comparisons in proportion to its members, and a bucket of up to three is compared in full. Links across
-buckets and bands join what leaders of one bucket have apart.
+Candidates. Signatures are ``ROWS * LANES`` minimum hashes under XOR masks of one 31-bit hash. They are cut into bands
+of ``ROWS`` in two ways, ``BANDS`` in all; two forms that share a band are candidates.
+
+1. Each member of a band bucket is compared with four leaders of the bucket (smallest and largest id, and the same
+   after flipping fixed bits of the id), and links are joined to components. This settles large groups of near copies at
+   a cost in proportion to their members.
+2. In each bucket, all pairs of members of different components are compared. Pairs whose signatures agree in fewer
+   than ``AGREE`` places are passed over (a pair of similarity 0.8 does with probability 0.0002); all others are verified.
 
 Nulls: a null text is returned as null. Rows that share a doc_id count as versions of one document: a decision
 holds for equal lines at the same place in each. Other columns pass through whatever their names.
@@ -31,10 +34,12 @@ from .common import Scratch, components
 
 #: Forms of more than SPARSE characters a word have every window of NARROW characters: all forms do.
 NARROW, SPARSE = 5, 0
-BANDS, ROWS, BITS = 7, 3, 27
+ROWS, LANES, AGREE, BITS = 4, 6, 12, 27
 _rnd = random.Random(20_240_601)
 TURN = _rnd.getrandbits(62)
-MASKS = [_rnd.getrandbits(31) for _ in range(BANDS * ROWS)]
+MASKS = [_rnd.getrandbits(31) for _ in range(ROWS * LANES)]
+#: The places of a signature that make a band: runs of ROWS, then places LANES apart.
+BANDS = [range(ROWS * b, ROWS * (b + 1)) for b in range(LANES)] + [range(b, ROWS * LANES, LANES) for b in range(LANES)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -57,9 +62,48 @@ def signatures(forms: DataFrame) -> DataFrame:
     return s.groupBy("a").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(MASKS)])
 
 
-def band_rows(sig: DataFrame) -> DataFrame:
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return sig.select("a", F.explode(F.array(*keys)).alias("band"))
+def shared(sig: DataFrame) -> DataFrame:
+    """(band, a, l0..l3): the members of each bucket of two or more, with the bucket's leaders."""
+    keys = [F.xxhash64(F.lit(b), *[f"m{j}" for j in places]) for b, places in enumerate(BANDS)]
+    bands = sig.select("a", F.explode(F.array(*keys)).alias("band"))
+    # a bucket of one form is dropped by the aggregate; hot buckets shrink in its map side
+    turned = F.col("a").bitwiseXOR(F.lit(TURN))
+    lead = bands.groupBy("band").agg(F.min("a").alias("l0"), F.max("a").alias("l1"), F.min(turned).alias("l2"), F.max(turned).alias("l3")).where("l0 < l1")
+    lead = lead.select("band", "l0", "l1", *[F.col(c).bitwiseXOR(F.lit(TURN)).alias(c) for c in ("l2", "l3")])
+    return bands.join(lead, "band").select("band", "a", "l0", "l1", "l2", "l3")
+
+
+def sketches(sig: DataFrame) -> DataFrame:
+    """(a, s0..): seven bits of each minimum, LANES of them in a long's bytes."""
+    lanes = [" | ".join(f"shiftleft(cast(m{k * LANES + j} & 127 as bigint), {8 * j})" for j in range(LANES)) for k in range(ROWS)]
+    return sig.select("a", *[F.expr(e).alias(f"s{k}") for k, e in enumerate(lanes)])
+
+
+def agree(l: str, r: str) -> str:
+    """SQL for whether two sketches agree in ``AGREE`` places or more."""
+    low, high = int("7f" * LANES, 16), int("80" * LANES, 16)
+    differ = " + ".join(f"bit_count((({l}.s{k} ^ {r}.s{k}) + {low}L) & {high}L)" for k in range(ROWS))
+    return f"{differ} <= {ROWS * LANES - AGREE}"
+
+
+def leader_pairs(members: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(x, y), x > y: each member of a bucket with its leaders, where they agree in ``AGREE`` places."""
+    pairs = members.select("a", F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3"))).alias("l")).where("a <> l")
+    pairs = pairs.select(F.greatest("a", "l").alias("x"), F.least("a", "l").alias("y")).distinct()
+    both = pairs.join(sketch.alias("l"), F.expr("x = l.a")).join(sketch.alias("r"), F.expr("y = r.a"))
+    return both.where(agree("l", "r")).select("x", "y")
+
+
+def other_pairs(members: DataFrame, groups: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(x, y), x > y: pairs in a bucket that are of different components and agree in ``AGREE`` places."""
+    rows = members.select("band", "a").join(groups, "a", "left").join(sketch, "a").withColumn("root", F.coalesce("root", "a"))
+    parts = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
+    # pairs inside a bucket's largest component, which may be a large one, are not even met
+    most = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("most.root").alias("most"))
+    rows = rows.join(most, "band")
+    few, every = rows.where("root <> most").alias("l"), rows.alias("r")
+    on = F.expr(f"l.band = r.band and l.root <> r.root and (l.a < r.a or r.root = r.most) and {agree('l', 'r')}")
+    return few.join(every, on).select(F.greatest("l.a", "r.a").alias("x"), F.least("l.a", "r.a").alias("y")).distinct()
 
 
 def verify(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
@@ -85,30 +129,27 @@ def marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("__b", "__p", "__m")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(x, y), x > y: pairs of forms (by hash) to be verified."""
-    bands = band_rows(signatures(lines_of(docs)))
-    # a bucket of one form is dropped by the aggregate; hot buckets shrink in its map side
-    turned = F.col("a").bitwiseXOR(F.lit(TURN))
-    lead = bands.groupBy("band").agg(F.min("a").alias("l0"), F.max("a").alias("l1"), F.min(turned).alias("l2"), F.max(turned).alias("l3")).where("l0 < l1")
-    lead = lead.select("band", "l0", "l1", *[F.col(c).bitwiseXOR(F.lit(TURN)).alias(c) for c in ("l2", "l3")])
-    pairs = bands.join(lead, "band").select("a", F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3"))).alias("l")).where("a <> l")
-    return pairs.select(F.greatest("a", "l").alias("x"), F.least("a", "l").alias("y")).distinct()
-
-
 def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, threshold: float = 0.8) -> DataFrame:
     """(d, gone): for each document that loses lines, the places and form hashes of those lines."""
-    pairs = scratch.keep(candidates(docs), "pairs")
+    sig = scratch.keep(signatures(lines_of(docs)), "signatures")
+    members, sketch = scratch.keep(shared(sig), "members"), sketches(sig)
     scratch.release()
     # one pass writes all occurrences, with the form where it is to be verified; the second hash, independent of the
     # first, keeps apart the copies of forms that share the first
     lines = lines_of(docs).where("form <> ''").select("d", "p", F.xxhash64("form").alias("a"), F.xxhash64(F.lit(1), "form").alias("b"), "form")
-    lines = marked(lines, pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct())
+    lines = marked(lines, members.select("a").distinct())
     occ = scratch.keep(lines.select("d", "p", "a", "b", F.when(F.col("maybe"), F.col("form")).alias("form")), "lines")
     forms = occ.where("form is not null").groupBy("a").agg(F.min("form").alias("form"))
-    edges = scratch.keep(verify(pairs, scratch.keep(forms, "forms"), threshold), "edges")
+    forms = scratch.keep(forms, "forms")
+    edges = scratch.keep(verify(leader_pairs(members, sketch), forms, threshold), "edges")
     scratch.release()
     groups = scratch.keep(components(edges, scratch), "groups").select(F.col("id").alias("a"), "root")
+    more = scratch.keep(verify(other_pairs(members, groups, sketch), forms, threshold), "more")
+    for name in ("signatures", "members", "forms"):
+        scratch.drop(name)
+    scratch.release()
+    if not more.isEmpty():
+        groups = scratch.keep(components(groups.union(more), scratch), "all_groups").select(F.col("id").alias("a"), "root")
     # only forms that were verified can have a root; the others need no join
     rest = occ.where("form is null").select("d", "p", "a", F.col("a").alias("g"), "b")
     some = occ.where("form is not null").join(groups, "a", "left")

@@ -119,6 +119,19 @@ def test_shingles(spark, form):
     assert set(got) == shingle_set(form)
 
 
+def test_pairs_without_a_leader_in_crowded_buckets(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(6))
+    common = [word() for _ in range(36)]
+    docs = []
+    for d in range(120):  # a family of 0.6 to each other, of which each has one near copy
+        x = common + [word() for _ in range(12)]
+        docs += [(2 * d, " ".join(x)), (2 * d + 1, " ".join(x[:-1] + [word()]))]
+    want = brute(docs)
+    assert [d for d, t in want.items() if t == ""] == [2 * d + 1 for d in range(120)]
+    assert {d: r.text for d, r in run(spark, docs).items()} == want
+
+
 def test_one_changed_word_in_a_short_line(spark):
     a = "copyright 2019 the example project contributors, all rights reserved worldwide under licence"
     docs = [(1, a), (2, a.replace("2019", "2021"))]
