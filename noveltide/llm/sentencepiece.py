@@ -213,7 +213,9 @@ class Index:
         begin, end, ids = (np.concatenate(x) for x in ((begin, lone), (end, lone + 1), (ids, np.full(len(lone), -2))))
         opened = np.zeros(len(text), np.int64)
         opened[stops] = stops
-        place = np.minimum(end - np.maximum.accumulate(opened)[end - 1], 0xFFFF).astype(np.uint16)  # of the end, in its chunk
+        place = end - np.maximum.accumulate(opened)[end - 1]  # of the end, in its chunk
+        if int(place.max()) <= 0xFFFF:
+            place = place.astype(np.uint16)  # sorted faster
         by = np.argsort(place, kind="stable")
         begin, end, ids, place = begin[by], end[by], ids[by], place[by]
         kept = np.full(len(text) + 1, -1, np.int64)  # the id of the edge kept that ends here

@@ -35,6 +35,14 @@ def test_matches_library_on_random_text():
         assert g.tolist() == LIB.encode(t), t
 
 
+def test_long_unbroken_text():
+    rnd = random.Random(4)
+    run = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(200_000))
+    texts = [run, "漢字日本語" * 40_000, "some words " + run[:65_600] + " and more", "x" * 65_534, "y" * 65_535, "z" * 65_536]
+    for t, g in zip(texts, index().encode(texts)):
+        assert g.tolist() == LIB.encode(t)
+
+
 def test_null_text_and_nul_character():
     got = index().encode([None, "a\0b"])
     assert got[0] is None
