@@ -8,6 +8,7 @@ when it spans at least min(``LEAST``, length of the item) tokens of which ``SHAR
 
 Items too short for a seed are found by their whole token sequence. Documents with null or empty text are clean;
 null items match nothing. Repeated rows get the same result each.
+Benchmark rows that share an item_id are searched one by one, under a key of the row.
 
 The benchmark side is joined inside the scan while its seeds number at most ``MOST_SEEDS`` (its size is counted
 first); beyond that seeds of both sides meet in a shuffled join. Both ways run the same hashing and verification.
@@ -87,18 +88,18 @@ def overlap(doc: np.ndarray, item: np.ndarray, offset: int, at: int, least: int
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item, pos): the benchmark side; items shorter than a mask have their whole sequence as one seed."""
+    """(seed, item, pos), item being the row's key: the benchmark side; items shorter than a mask have their whole sequence as one seed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for item, text in zip(x["item_id"], x["text"]):
+            for item, text in zip(x["key"], x["text"]):
                 h = hashes(words(text))
                 for at in range(len(MASKS)):
                     out += [(s, item, p) for p, s in zip(*map(np.ndarray.tolist, seeds(h, at)))]
             yield pd.DataFrame(out, columns=["seed", "item", "pos"]).astype({"pos": "int32"})
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").mapInPandas(run, "seed long, item long, pos int")
+    return items.mapInPandas(run, "seed long, item long, pos int")
 
 
 def verified(doc: np.ndarray, hits: set[tuple[int, int, int]], items: dict[int, np.ndarray]) -> dict[int, int]:
@@ -117,14 +118,16 @@ def verified(doc: np.ndarray, hits: set[tuple[int, int, int]], items: dict[int,
 
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, most_seeds: int = MOST_SEEDS, prefix: str = "") -> DataFrame:
     """``docs`` plus ``{prefix}contaminated``, ``{prefix}items`` (ids, ascending) and ``{prefix}overlap_tokens`` (the longest)."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    items = items.withColumn("key", F.xxhash64("item_id", "text"))
     bench = item_seeds(items)
     if bench.limit(most_seeds + 1).count() > most_seeds:
         return _shuffled(spark, docs, items, bench, prefix)
     found = bench.toPandas()
     order = np.lexsort((found["pos"], found["item"], found["seed"]))
     seed, item, pos = (found[c].to_numpy()[order] for c in ("seed", "item", "pos"))
-    texts = {r[0]: words(r[1]) for r in items.where(F.size(F.split("text", " ")) > 0).toLocalIterator()} if len(found) < most_seeds else {}
+    rows = [(r.key, r.item_id, words(r.text)) for r in items.toLocalIterator()]
+    texts, ids = {k: w for k, _, w in rows}, {k: i for k, i, _ in rows}
     known = {t: int(h) for w in texts.values() for t, h in zip(w, hashes(w).tolist())}
     tokens = {k: hashes(w, known) for k, w in texts.items()}
     short: dict[int, dict[tuple[int, ...], list[int]]] = {}
@@ -148,7 +151,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, most_s
             for p in np.nonzero(ok)[0].tolist():
                 for k in whole.get(tuple(h[p : p + n].tolist()), ()):
                     out[k] = n
-        return bool(out), sorted(out), max(out.values(), default=0)
+        return bool(out), sorted({ids[k] for k in out}), max(out.values(), default=0)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -163,7 +166,6 @@ def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame, bench: Dat
     """For a benchmark too large to send to every task: seeds meet in an equi-join, and each hit's surroundings travel with it."""
     scratch = Scratch(spark, "decontam")
     keyed = docs.select("text").where("text is not null").distinct().withColumn("__t", F.xxhash64("text"))
-    side = 4 * LEAST
 
     def doc_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -176,25 +178,24 @@ def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame, bench: Dat
 
     def item_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"item": x["item_id"], "itokens": [hashes(words(t)).view(np.int64) for t in x["text"]]})
+            yield pd.DataFrame({"item": x["key"], "id": x["item_id"], "itokens": [hashes(words(t)).view(np.int64) for t in x["text"]]})
 
     seeds_met = keyed.mapInPandas(doc_seeds, "t long, seed long, dpos int").join(bench, "seed")
-    # one hit a diagonal and stretch of tokens is enough
-    met = scratch.keep(seeds_met.groupBy("t", "item", (F.col("dpos") - F.col("pos")).alias("off"), F.floor(F.col("pos") / side).alias("part")).agg(F.min("pos").alias("pos")), "met")
+    met = scratch.keep(seeds_met.select("t", "item", (F.col("dpos") - F.col("pos")).alias("off"), "pos").distinct(), "met")
     wanted = keyed.join(met.select(F.col("t").alias("__t")).distinct(), "__t", "left_semi")
     pairs = met.groupBy("t", "item").agg(F.collect_set(F.struct("off", "pos")).alias("hits"))
-    pairs = pairs.join(items.mapInPandas(item_tokens, "item long, itokens array<long>"), "item").join(wanted.withColumnRenamed("__t", "t"), "t")
+    pairs = pairs.join(items.mapInPandas(item_tokens, "item long, id long, itokens array<long>"), "item").join(wanted.withColumnRenamed("__t", "t"), "t")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             rows = []
-            for t, item, hits, itokens, text in zip(x["t"], x["item"], x["hits"], x["itokens"], x["text"]):
+            for t, item, name, hits, itokens, text in zip(x["t"], x["item"], x["id"], x["hits"], x["itokens"], x["text"]):
                 got = verified(hashes(words(text)), {(item, r["off"], r["pos"]) for r in hits}, {item: np.asarray(itokens, np.int64).view(np.uint64)})
-                rows += [(t, k, n) for k, n in got.items()]
+                rows += [(t, name, n) for n in got.values()]
             yield pd.DataFrame(rows, columns=["t", "item", "n"])
 
-    got = pairs.select("t", "item", "hits", "itokens", "text").mapInPandas(check, "t long, item long, n long")
-    short = items.mapInPandas(item_tokens, "item long, itokens array<long>").where((F.size("itokens") > 0) & (F.size("itokens") < len(MASKS[0])))
+    got = pairs.select("t", "item", "id", "hits", "itokens", "text").mapInPandas(check, "t long, item long, n long")
+    short = items.mapInPandas(item_tokens, "item long, id long, itokens array<long>").where((F.size("itokens") > 0) & (F.size("itokens") < len(MASKS[0])))
     lengths = [r[0] for r in short.select(F.size("itokens")).distinct().collect()]
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,7 +207,7 @@ def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame, bench: Dat
                         yield pd.DataFrame({"t": t, "itokens": list(np.lib.stride_tricks.sliding_window_view(h, n))})
 
     if lengths:
-        got = got.union(keyed.mapInPandas(whole, "t long, itokens array<long>").join(short, "itokens").select("t", "item", F.size("itokens").cast("long").alias("n")).distinct())
+        got = got.union(keyed.mapInPandas(whole, "t long, itokens array<long>").join(short, "itokens").select("t", F.col("id").alias("item"), F.size("itokens").cast("long").alias("n")).distinct())
     sums = got.groupBy("t").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max("n").alias("n"))
     out = docs.withColumn("__t", F.xxhash64("text")).join(sums.select(F.col("t").alias("__t"), F.col("items").alias("__items"), F.col("n").alias("__n")), "__t", "left")
     hit = F.col("text").isNotNull() & F.col("__items").isNotNull()

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from noveltide.llm import decontam as D
 from noveltide.llm import langid as G
@@ -46,6 +47,23 @@ def test_decontamination(spark, most):
     assert got[7] == (True, [0, 1], 40) and got[8] == (True, [4], 3) and not got[9][0] and got[10][0]
 
 
+@pytest.mark.parametrize("most", [D.MOST_SEEDS, 0])
+def test_decontamination_takes_every_hit_and_item_row(spark, most):
+    p, q = passage(43, 5), passage(30, 6)
+    apart = p[:8] + ["zzz"] * 22 + p[30:]
+    docs = spark.createDataFrame([(1, " ".join(apart)), (2, " ".join(q)), (3, "one two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(p)), (1, " ".join(q)), (1, " ".join(passage(30, 7))), (1, "one two")], "item_id long, text string")
+    got = {r.doc_id: (list(r["items"]), r.overlap_tokens) for r in D.contamination(spark, docs, bench, most_seeds=most).collect()}
+    assert got == {1: ([0], 13), 2: ([1], 30), 3: ([1], 2)}
+
+
+def test_decontamination_at_exactly_the_most_seeds(spark):
+    p = " ".join(passage())
+    bench = spark.createDataFrame([(0, p)], "item_id long, text string")
+    n = D.item_seeds(bench.withColumn("key", F.lit(1).cast("long"))).count()
+    assert contaminated(spark, [p], [p], most_seeds=n)[0] == (True, [0], 30)
+
+
 def test_decontamination_of_nothing(spark):
     assert contaminated(spark, ["a b c"], [])[0] == (False, [], 0)
     docs = spark.createDataFrame([], "doc_id long, text string")
