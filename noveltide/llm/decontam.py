@@ -17,7 +17,7 @@ first); beyond that seeds of both sides meet in a shuffled join. Both ways run t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: The masks, 1 for a token that is compared.
-MASKS = ("1111111", "110110101101", "101101110011")
+#: The masks, 1 for a token that is compared, and the lengths of the items that need them. A stretch of
+#: n tokens with e of them changed, all inside, has n - e others in at most e + 1 runs. With e <= n / 5 one run has four
+#: tokens or more, save for n = 15 and 7 (runs of three: two of them side by side) and 10, 11, 6 and 5, which the other
+#: masks cover. So no overlap that qualifies is without a seed.
+MASKS = ("1111", "1110111", "111011", "110111", "11011", "11101", "10111")
+NEEDED = (range(4, 1 << 31), range(7, 1 << 31), (6, 10), (6,), (5,), (5,), (5,))
 LEAST, SHARE, MOST_SEEDS = 13, 0.8, 2_000_000
 WORD = re.compile(r"\w+")
 #: Odd multipliers that spread the token hashes of a window.
@@ -87,6 +91,16 @@ def overlap(doc: np.ndarray, item: np.ndarray, offset: int, at: int, least: int
     return (best[0] + lo, best[1] + lo) if best[1] - best[0] >= need else (0, 0)
 
 
+def masks_used(lengths: Iterable[int]) -> list[int]:
+    lengths = set(lengths)
+    return [k for k, n in enumerate(NEEDED) if any(x in n for x in lengths)]
+
+
+def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in batches:
+        yield pd.DataFrame({"n": [len(words(t)) for t in x["text"]]}, dtype=np.int64)
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
     """(seed, item, pos), item being the row's key: the benchmark side; items shorter than a mask have their whole sequence as one seed."""
 
@@ -95,7 +109,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
             out = []
             for item, text in zip(x["key"], x["text"]):
                 h = hashes(words(text))
-                for at in range(len(MASKS)):
+                for at in (k for k, n in enumerate(NEEDED) if len(h) in n):
                     out += [(s, item, p) for p, s in zip(*map(np.ndarray.tolist, seeds(h, at)))]
             yield pd.DataFrame(out, columns=["seed", "item", "pos"]).astype({"pos": "int32"})
 
@@ -129,6 +143,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, most_s
     rows = [(r.key, r.item_id, words(r.text)) for r in items.toLocalIterator()]
     texts, ids = {k: w for k, _, w in rows}, {k: i for k, i, _ in rows}
     known = {t: int(h) for w in texts.values() for t, h in zip(w, hashes(w).tolist())}
+    used = masks_used(map(len, texts.values()))
     tokens = {k: hashes(w, known) for k, w in texts.items()}
     short: dict[int, dict[tuple[int, ...], list[int]]] = {}
     for k, h in sorted(tokens.items()):
@@ -138,7 +153,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, most_s
     def one(text: str | None) -> tuple[bool, list[int], int]:
         h = hashes(words(text), known)
         hits: set[tuple[int, int, int]] = set()
-        for at in range(len(MASKS)):
+        for at in used:
             p, s = seeds(h, at)
             lo, hi = np.searchsorted(seed, s), np.searchsorted(seed, s, "right")
             for k in np.nonzero(hi > lo)[0].tolist():
@@ -165,13 +180,14 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, most_s
 def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame, bench: DataFrame, prefix: str) -> DataFrame:
     """For a benchmark too large to send to every task: seeds meet in an equi-join, and each hit's surroundings travel with it."""
     scratch = Scratch(spark, "decontam")
+    used = masks_used(r[0] for r in items.mapInPandas(sizes, "n long").distinct().toLocalIterator())
     keyed = docs.select("text").where("text is not null").distinct().withColumn("__t", F.xxhash64("text"))
 
     def doc_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for t, text in zip(x["__t"], x["text"]):
                 h = hashes(words(text))
-                for at in range(len(MASKS)):
+                for at in used:
                     p, s = seeds(h, at)
                     if len(p):
                         yield pd.DataFrame({"t": t, "seed": s, "dpos": p.astype(np.int32)})

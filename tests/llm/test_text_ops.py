@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter
@@ -57,6 +58,26 @@ def test_decontamination_takes_every_hit_and_item_row(spark, most):
     assert got == {1: ([0], 13), 2: ([1], 30), 3: ([1], 2)}
 
 
+def test_every_qualifying_substitution_has_a_seed():
+    for n in range(1, 17):
+        h = np.arange(1, n + 1, dtype=np.uint64)
+        used = [k for k, x in enumerate(D.NEEDED) if n in x]
+        known = {k: set(zip(*map(np.ndarray.tolist, D.seeds(h, k)))) for k in used}
+        for e in range(n // 5 + 1):
+            for places in itertools.combinations(range(1, n - 1), e):
+                g = h.copy()
+                g[list(places)] = 999
+                assert n < 4 or any(known[k] & set(zip(*map(np.ndarray.tolist, D.seeds(g, k)))) for k in used), (n, places)
+
+
+@pytest.mark.parametrize("most", [D.MOST_SEEDS, 0])
+def test_short_items_with_a_substitution(spark, most):
+    items = [passage(n, 20 + n) for n in range(5, 16)]
+    texts = [" ".join(["x"] * 9 + w[: len(w) // 2] + ["zzz"] + w[len(w) // 2 + 1 :] + ["y"] * 9) for w in items]
+    got = contaminated(spark, texts, [" ".join(w) for w in items], most_seeds=most)
+    assert got == {k: (True, [k], len(w)) for k, w in enumerate(items)}
+
+
 def test_decontamination_at_exactly_the_most_seeds(spark):
     p = " ".join(passage())
     bench = spark.createDataFrame([(0, p)], "item_id long, text string")
