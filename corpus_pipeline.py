@@ -6,7 +6,7 @@ Parquet and reread as the next one's ``docs``. All but the last return the colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noveltide.llm import decontam, langid, line_dedup, sentencepiece, simhash
@@ -28,11 +28,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; of rows that repeat it, the first by text."""
-    found = simhash.near_duplicates(spark, docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    return out.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").select(docs.columns)
+    """Keeps one row of each component: the first by (doc_id, text), a null doc_id last."""
+    found = simhash.row_components(spark, docs)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("root").alias("__root")).distinct()
+    out = docs.join(keep, (F.xxhash64("text") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    rest = [c for c in docs.columns if c != "text"]
+    first = out.groupBy("__root").agg(F.min(F.struct("text", *rest)).alias("__first"))
+    return first.select(*[F.col(f"__first.{c}").alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

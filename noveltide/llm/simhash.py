@@ -47,14 +47,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp as the signed long of the same bits."""
+    """(doc_id, key, fp): key is the text's hash, fp as the signed long of the same bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             fp = np.array([fingerprint(t, width) for t in x["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "key": x["key"], "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return keyed.mapInPandas(run, "doc_id long, key long, fp long")
 
 
 def distances(a: np.ndarray, v) -> np.ndarray:
@@ -152,6 +153,12 @@ def links(spark: SparkSession, nodes: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, n_copies (rows of this fingerprint)."""
+    out = row_components(spark, docs, radius, width)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
+
+
+def row_components(spark: SparkSession, docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key (hash of the text), fp, root (one a component), component_id, n_copies."""
     scratch = Scratch(spark, "simhash")
     rows = scratch.keep(fingerprints(docs, width), "rows")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies")), "nodes")
@@ -159,6 +166,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, width
     comp = nodes.join(components(edges, scratch).withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     comp = scratch.keep(comp, "comp")
     lows = comp.groupBy("root").agg(F.min("low").alias("component_id"))
-    comp = comp.join(lows, "root").select("fp", "n_copies", "component_id")
-    out = rows.join(comp, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
+    comp = comp.join(lows, "root").select("fp", "n_copies", "root", "component_id")
+    return rows.join(comp, "fp")

@@ -59,6 +59,14 @@ def test_stages_take_edge_rows(spark, stage):
     assert stage(spark, df.limit(0), SF).count() == 0
 
 
+def test_one_row_of_each_component_survives(spark):
+    texts = ["the cat sat on the mat by the door of the house", "a wholly different text on ships that sail over the northern sea", "prices of grain rose again as the harvest failed in the east"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, "again some other words that have nothing to do with it"), (8, texts[2].upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    got = [(r.doc_id, r.text) for r in P.simhash_dedup(spark, df, SF).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[1], rows[3], rows[4]], key=str)
+
+
 def test_every_operator_has_its_query():
     import __spark_entry__ as entry
 
