@@ -19,16 +19,31 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         root = own.get()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="noveltide-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns as one struct, so that helper columns beside it cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(columns: list[str], row: str = "row") -> list[F.Column]:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
 class Scratch:
-    """Tables written under the shared checkpoint folder, so that a lost executor loses no intermediate result."""
+    """Tables written under the shared checkpoint folder, so that a lost executor loses no intermediate result.
+
+    A table that a returned frame still reads stays; ``keep_only`` removes all others.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        self.names: set[str] = set()
         self.root = f"{checkpoint_root(spark)}/noveltide/{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -37,9 +52,16 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a frame that reads it back."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_only(self, *names: str) -> None:
+        for name in self.names - set(names):
+            self.drop(name)
+        self.release()
+
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path(name))
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,21 +6,30 @@ verification, then distributed union-find (``common.components``), one line kept
 * A line is compared by its *form*: ends trimmed of blanks, lower-cased. Blank lines are never removed.
 * Lines of the same form are copies. Other forms are near copies when the Jaccard similarity of their shingle
   sets is ``threshold`` (0.8) or more.
-* The kept line of a component is its first in (doc_id, line number) order, a null doc_id first.
+* A document is a (doc_id, text); the kept line of a component is its first in (doc_id, hash of the text, line number)
+  order, a null doc_id first.
 
-Shingles are all windows of ``NARROW`` characters; forms that are shorter have none and are only matched as copies.
+Shingles are all windows of ``WIDTH`` characters; forms that are shorter have none and are only matched as copies.
 
-Candidates. Signatures are ``ROWS * LANES`` minimum hashes under XOR masks of one 31-bit hash. They are cut into bands
-of ``ROWS`` in two ways, ``BANDS`` in all; two forms that share a band are candidates.
+Signatures. Every window is hashed once and falls into one of ``PLACES`` places by its hash; a place holds the smallest
+value of its windows (one-permutation MinHash). A place without windows borrows from another by fixed steps, and the
+number of steps is mixed into what it borrows. Two signatures agree in a place with the probability of their sets'
+similarity. ``BANDS`` bands of ``ROWS`` places each, every place in three bands, make a form's buckets; two forms that
+share a bucket are candidates. Of pairs of similarity 0.8 about 0.96 share a bucket, of 0.85 0.99, whatever the length
+(``tests/llm/test_line_dedup.py`` measures it).
 
-1. Each member of a band bucket is compared with four leaders of the bucket (smallest and largest id, and the same
+1. Each member of a bucket is compared with four leaders of the bucket (smallest and largest id, and the same
    after flipping fixed bits of the id), and links are joined to components. This settles large groups of near copies at
    a cost in proportion to their members.
-2. In each bucket, all pairs of members of different components are compared. Pairs whose signatures agree in fewer
-   than ``AGREE`` places are passed over (a pair of similarity 0.8 does with probability 0.0002); all others are verified.
-
-Nulls: a null text is returned as null. Rows that share a doc_id count as versions of one document: a decision
-holds for equal lines at the same place in each. Other columns pass through whatever their names.
+2. What leaders leave apart in a bucket: where at most ``crowd`` members lie outside the bucket's largest component, they
+   are compared with all members of other components. Larger buckets are dealt again, by ``FURTHER`` keys of ``DEEPER``
+   more places each, and go through steps 1 and 2 as buckets of their own, until none is larger or ``DEPTH`` deals were made;
+   then all are compared. Forms of ``LONG`` shingles or more whose signatures agree in fewer than ``AGREE`` places are
+   passed over (a pair of similarity 0.8 does with probability 0.001); all others are verified.
+
+Nulls and ties: a null text is returned as null; an empty text and blank lines stay. Rows that repeat a doc_id and its
+text are one document and get the same result; rows that share only the doc_id are documents of their own. An empty
+table gives an empty table. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -30,150 +39,201 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, whole_row
 
-#: Forms of more than SPARSE characters a word have every window of NARROW characters: all forms do.
-NARROW, SPARSE = 5, 0
-ROWS, LANES, AGREE, BITS = 4, 6, 12, 27
+WIDTH, PLACES, ROWS, N_BANDS, BITS = 5, 32, 6, 16, 26
+LANES, AGREE, LONG = 7, 18, 64
+CROWD, FURTHER, DEEPER, DEPTH = 50, 6, 4, 3
 _rnd = random.Random(20_240_601)
 TURN = _rnd.getrandbits(62)
-MASKS = [_rnd.getrandbits(31) for _ in range(ROWS * LANES)]
-#: The places of a signature that make a band: runs of ROWS, then places LANES apart.
-BANDS = [range(ROWS * b, ROWS * (b + 1)) for b in range(LANES)] + [range(b, ROWS * LANES, LANES) for b in range(LANES)]
+
+
+def _deal(n: int, rows: int) -> list[list[int]]:
+    """``n`` bands of ``rows`` different places, all places in turn."""
+    out, pool = [], []
+    while len(out) < n:
+        if len(pool) < rows:
+            more = _rnd.sample(range(PLACES), PLACES)
+            pool += [x for x in more if x not in pool] + [x for x in more if x in pool]
+        out.append(pool[:rows])
+        pool = pool[rows:]
+    return out
+
+
+#: The places of a signature that make a band, and those that deal a crowded bucket again.
+BANDS, AGAIN = _deal(N_BANDS, ROWS), [_deal(FURTHER, DEEPER) for _ in range(DEPTH)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(d, p, form): every line but empty ones, with its document, place and form."""
-    lines = docs.select(F.col("doc_id").alias("d"), F.posexplode(F.split(F.lower("text"), "\n")).alias("p", "line"))
-    return lines.where("line <> ''").select("d", "p", F.btrim("line", F.lit(" \t\r")).alias("form"))
+    """(d, k, p, form): every line but empty ones, with its document (doc_id and hash of the text), place and form."""
+    lines = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), F.posexplode(F.split(F.lower("text"), "\n")).alias("p", "line"))
+    return lines.where("line <> ''").select("d", "k", "p", F.btrim("line", F.lit(" \t\r")).alias("form"))
 
 
 def shingles(form: str) -> str:
-    """SQL for the shingles of a form, repeats included."""
-    return f"regexp_extract_all({form}, '(?s)(?=(.{{{NARROW}}}))', 1)"
+    """SQL for the set of a form's shingles, as 64-bit hashes, from its UTF-16 bytes."""
+    return f"array_distinct(transform(sequence(0, cast(length({form}) / 2 as int) - {WIDTH}), i -> xxhash64(substring({form}, 2 * i + 1, {2 * WIDTH}))))"
 
 
 def signatures(forms: DataFrame) -> DataFrame:
-    """(a, m0..): minimum hashes, one row per distinct form that has shingles."""
-    s = forms.where(F.length("form") >= NARROW).select(F.xxhash64("form").alias("a"), F.encode("form", "UTF-16BE").alias("u"))
-    # one row a character stays inside generated code
-    s = s.select("a", "u", F.explode(F.expr(f"sequence(0, cast(length(u) / 2 as int) - {NARROW})")).alias("i"))
-    s = s.select("a", F.expr(f"cast(shiftrightunsigned(xxhash64(substring(u, 2 * i + 1, {2 * NARROW})), 33) as int)").alias("x"))
-    return s.groupBy("a").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(MASKS)])
-
-
-def shared(sig: DataFrame) -> DataFrame:
-    """(band, a, l0..l3): the members of each bucket of two or more, with the bucket's leaders."""
-    keys = [F.xxhash64(F.lit(b), *[f"m{j}" for j in places]) for b, places in enumerate(BANDS)]
-    bands = sig.select("a", F.explode(F.array(*keys)).alias("band"))
-    # a bucket of one form is dropped by the aggregate; hot buckets shrink in its map side
-    turned = F.col("a").bitwiseXOR(F.lit(TURN))
-    lead = bands.groupBy("band").agg(F.min("a").alias("l0"), F.max("a").alias("l1"), F.min(turned).alias("l2"), F.max(turned).alias("l3")).where("l0 < l1")
-    lead = lead.select("band", "l0", "l1", *[F.col(c).bitwiseXOR(F.lit(TURN)).alias(c) for c in ("l2", "l3")])
-    return bands.join(lead, "band").select("band", "a", "l0", "l1", "l2", "l3")
+    """(a, n, v): one row per distinct form that has shingles, n of them, with the 16-bit values of its places."""
+    s = forms.where(F.length("form") >= WIDTH).groupBy(F.xxhash64("form").alias("a")).agg(F.min("form").alias("form"))
+    s = s.select("a", F.encode("form", "UTF-16BE").alias("u"))
+    # one row a character stays inside generated code; the exchange by a serves both aggregates
+    s = s.select("a", "u", F.explode(F.expr(f"sequence(0, cast(length(u) / 2 as int) - {WIDTH})")).alias("i"))
+    s = s.select("a", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * WIDTH}))").alias("x"))
+    s = s.select("a", F.expr(f"cast(x & {PLACES // 4 - 1} as int)").alias("q"), F.expr("cast(shiftright(x, 5) & 3 as int)").alias("r"), F.expr("cast(shiftrightunsigned(x, 33) as int)").alias("y"))
+    s = s.groupBy("a", "q").agg(F.count("*").alias("c"), *[F.min(F.expr(f"case when r = {i} then y end")).alias(f"y{i}") for i in range(4)])
+    s = s.groupBy("a").agg(F.sum("c").cast("int").alias("n"), *[F.min(F.expr(f"case when q = {j // 4} then y{j % 4} end")).alias(f"v{j}") for j in range(PLACES)])
+    s = s.select("a", "n", F.array(*[F.expr(f"(v{j} ^ shiftright(v{j}, 15)) & 65535") for j in range(PLACES)]).alias("v"))
+    # an empty place j borrows from j + t * (2 j + 1) for the first t that holds a value
+    borrowed = f"aggregate(sequence(1, {PLACES - 1}), cast(null as int), (s, t) -> coalesce(s, (v[(j + t * (2 * j + 1)) % {PLACES}] + 2039 * t) & 65535))"
+    return s.select("a", "n", F.when(F.expr("exists(v, x -> x is null)"), F.expr(f"transform(v, (x, j) -> coalesce(x, {borrowed}))")).otherwise(F.col("v")).alias("v"))
+
+
+def numbers(rows: list[list[int]]) -> str:
+    return "array(" + ", ".join(f"array({', '.join(map(str, row))})" for row in rows) + ")"
+
+
+def bands_of(sig: DataFrame) -> DataFrame:
+    """(a, band): the buckets of each form."""
+    return sig.select("a", F.explode(F.expr(f"transform({numbers(BANDS)}, (js, b) -> xxhash64(b, transform(js, j -> v[j])))")).alias("band"))
+
+
+def shared(bands: DataFrame) -> DataFrame:
+    """(band, a): the members of each bucket of two or more. A hot bucket shrinks in the map side of the aggregate."""
+    lead = bands.groupBy("band").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("band")
+    maybe = marked(bands.select("a", F.col("band").alias("key")), lead.select(F.col("band").alias("key"))).where("maybe").select("a", F.col("key").alias("band"))
+    return maybe.join(lead, "band").select("band", "a")
 
 
 def sketches(sig: DataFrame) -> DataFrame:
-    """(a, s0..): seven bits of each minimum, LANES of them in a long's bytes."""
-    lanes = [" | ".join(f"shiftleft(cast(m{k * LANES + j} & 127 as bigint), {8 * j})" for j in range(LANES)) for k in range(ROWS)]
-    return sig.select("a", *[F.expr(e).alias(f"s{k}") for k, e in enumerate(lanes)])
+    """(a, n, s0..): seven bits of each place, seven places to a long's lower bytes."""
+    parts = [range(k, min(PLACES, k + LANES)) for k in range(0, PLACES, LANES)]
+    lanes = [" | ".join(f"shiftleft(cast(v[{j}] & 127 as bigint), {8 * i})" for i, j in enumerate(part)) for part in parts]
+    return sig.select("a", "n", *[F.expr(e).alias(f"s{k}") for k, e in enumerate(lanes)])
 
 
 def agree(l: str, r: str) -> str:
-    """SQL for whether two sketches agree in ``AGREE`` places or more."""
+    """SQL for whether two sketches agree in ``AGREE`` places or more; the places of short forms hang together too much to tell."""
     low, high = int("7f" * LANES, 16), int("80" * LANES, 16)
-    differ = " + ".join(f"bit_count((({l}.s{k} ^ {r}.s{k}) + {low}L) & {high}L)" for k in range(ROWS))
-    return f"{differ} <= {ROWS * LANES - AGREE}"
+    differ = " + ".join(f"bit_count((({l}.s{k} ^ {r}.s{k}) + {low}L) & {high}L)" for k in range(-(-PLACES // LANES)))
+    return f"(least({l}.n, {r}.n) < {LONG} or {differ} <= {PLACES - AGREE})"
 
 
 def leader_pairs(members: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(x, y), x > y: each member of a bucket with its leaders, where they agree in ``AGREE`` places."""
-    pairs = members.select("a", F.explode(F.array_distinct(F.array("l0", "l1", "l2", "l3"))).alias("l")).where("a <> l")
+    """(x, y), x > y: each member of a bucket with its leaders, where their sketches agree."""
+    turned = F.col("a").bitwiseXOR(F.lit(TURN))
+    lead = members.groupBy("band").agg(F.min("a").alias("l0"), F.max("a").alias("l1"), F.min(turned).alias("l2"), F.max(turned).alias("l3"))
+    lead = lead.select("band", F.array_distinct(F.array("l0", "l1", *[F.col(c).bitwiseXOR(F.lit(TURN)) for c in ("l2", "l3")])).alias("l"))
+    pairs = members.join(lead, "band").select("a", F.explode("l").alias("l")).where("a <> l")
     pairs = pairs.select(F.greatest("a", "l").alias("x"), F.least("a", "l").alias("y")).distinct()
     both = pairs.join(sketch.alias("l"), F.expr("x = l.a")).join(sketch.alias("r"), F.expr("y = r.a"))
     return both.where(agree("l", "r")).select("x", "y")
 
 
-def other_pairs(members: DataFrame, groups: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(x, y), x > y: pairs in a bucket that are of different components and agree in ``AGREE`` places."""
-    rows = members.select("band", "a").join(groups, "a", "left").join(sketch, "a").withColumn("root", F.coalesce("root", "a"))
+def apart(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, a, root, most, others): the members of buckets of several components, with the bucket's largest component
+    and the number of members outside it."""
+    rows = members.join(groups, "a", "left").select("band", "a", F.coalesce("root", "a").alias("root"))
     parts = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
-    # pairs inside a bucket's largest component, which may be a large one, are not even met
-    most = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("most.root").alias("most"))
-    rows = rows.join(most, "band")
+    most = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    most = most.where("n > most.n").select("band", F.col("most.root").alias("most"), (F.col("n") - F.col("most.n")).alias("others"))
+    return rows.join(most, "band")
+
+
+def other_pairs(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(x, y), x > y: pairs in a bucket that are of different components and whose sketches agree."""
+    rows = rows.join(sketch, "a")
     few, every = rows.where("root <> most").alias("l"), rows.alias("r")
     on = F.expr(f"l.band = r.band and l.root <> r.root and (l.a < r.a or r.root = r.most) and {agree('l', 'r')}")
     return few.join(every, on).select(F.greatest("l.a", "r.a").alias("x"), F.least("l.a", "r.a").alias("y")).distinct()
 
 
+def dealt_again(rows: DataFrame, sig: DataFrame, deal: int) -> DataFrame:
+    """(a, band): smaller buckets for the members of ``rows``, by some more places of their signatures."""
+    keys = F.expr(f"transform({numbers(AGAIN[deal])}, (js, k) -> xxhash64(band, k, transform(js, j -> v[j])))")
+    return rows.select("band", "a").join(sig, "a").select("a", F.explode(keys).alias("band"))
+
+
 def verify(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     """The (x, y) of ``pairs`` whose forms have exact Jaccard similarity >= threshold; forms: (a, form), one row per a."""
     both = pairs.join(forms.select(F.col("a").alias("x"), F.col("form").alias("fx")), "x").join(forms.select(F.col("a").alias("y"), F.col("form").alias("fy")), "y")
-    # the sets are bound to a lambda's variable so that each is made once
-    sets = f"array(struct(array_distinct({shingles('fx')}) as x, array_distinct({shingles('fy')}) as y))"
+    # texts and sets are bound to variables of lambdas so that each is made once
+    sets = f"transform(array(struct(encode(fx, 'UTF-16BE') as x, encode(fy, 'UTF-16BE') as y)), u -> struct({shingles('u.x')} as x, {shingles('u.y')} as y))"
     sizes = f"transform({sets}, t -> struct(size(array_intersect(t.x, t.y)) as k, size(t.x) + size(t.y) as n))"
     return both.where(f"exists({sizes}, r -> r.k >= {threshold}D * (r.n - r.k))").select("x", "y")
 
 
-def marked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``lines`` plus maybe: true for every ``a`` in ``wanted``, and for few others while those fill few of 2^BITS bits.
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` plus maybe: true for every ``key`` in ``wanted``, and for few others while those fill few of 2^BITS bits.
 
-    A bitmap by hash, of 2^BITS bits at most whatever the input, so it may be broadcast; no line is shuffled to be told
+    A bitmap by hash, of 2^BITS bits at most whatever the input, so it may be broadcast; no row is shuffled to be told
     that it is not wanted.
     """
-    k = F.pmod("a", F.lit(1 << BITS))
-    bits = wanted.select(F.bitmap_bucket_number(k).alias("__b"), F.bitmap_bit_position(k).alias("__p"))
-    maps = bits.repartition("__b").groupBy("__b").agg(F.bitmap_construct_agg("__p").alias("__m"))
-    out = lines.withColumn("__b", F.bitmap_bucket_number(k)).withColumn("__p", F.bitmap_bit_position(k)).join(F.broadcast(maps), "__b", "left")
-    hit = F.expr("(cast(conv(hex(substring(__m, cast(__p div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(__p % 8 as int))) <> 0")
-    return out.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("__b", "__p", "__m")
-
-
-def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, threshold: float = 0.8) -> DataFrame:
-    """(d, gone): for each document that loses lines, the places and form hashes of those lines."""
+    at = F.expr(f"key & {(1 << BITS) - 1}")
+    bits = wanted.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    hit = F.coalesce(F.expr("getbit(bits, cast(key & 63 as int)) = 1"), F.lit(False))
+    return rows.withColumn("word", F.shiftright(at, 6)).join(F.broadcast(words), "word", "left").withColumn("maybe", hit).drop("word", "bits")
+
+
+def linked(members: DataFrame, sig: DataFrame, forms: DataFrame, scratch: Scratch, threshold: float, crowd: int = CROWD) -> DataFrame:
+    """(a, root): the components of the forms that have a near copy."""
+    sketch, groups, edges = sketches(sig), None, None
+    for deal in range(DEPTH + 1):
+        found = scratch.keep(verify(leader_pairs(members, sketch), forms, threshold), f"edges{deal}")
+        edges = found if groups is None else groups.select("a", "root").union(found)
+        groups = scratch.keep(components(edges, scratch), f"groups{deal}").select(F.col("id").alias("a"), "root")
+        rows = scratch.keep(apart(members, groups), f"apart{deal}")
+        crowded = F.col("others") > (crowd if deal < DEPTH else 1 << 62)
+        more = scratch.keep(verify(other_pairs(rows.where(~crowded), sketch), forms, threshold), f"more{deal}")
+        scratch.release()
+        if not more.isEmpty():
+            groups = scratch.keep(components(groups.union(more), scratch), f"all_groups{deal}").select(F.col("id").alias("a"), "root")
+        rest = rows.where(crowded)
+        if rest.isEmpty():
+            break
+        again = scratch.keep(dealt_again(rest, sig, deal), f"dealt{deal}")
+        members = scratch.keep(shared(again), f"members{deal + 1}")
+    return groups
+
+
+def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, threshold: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """(d, k, gone): for each document that loses lines, the places of those lines."""
     sig = scratch.keep(signatures(lines_of(docs)), "signatures")
-    members, sketch = scratch.keep(shared(sig), "members"), sketches(sig)
+    scratch.release()
+    members = scratch.keep(shared(bands_of(sig)), "members")
     scratch.release()
     # one pass writes all occurrences, with the form where it is to be verified; the second hash, independent of the
     # first, keeps apart the copies of forms that share the first
-    lines = lines_of(docs).where("form <> ''").select("d", "p", F.xxhash64("form").alias("a"), F.xxhash64(F.lit(1), "form").alias("b"), "form")
-    lines = marked(lines, members.select("a").distinct())
-    occ = scratch.keep(lines.select("d", "p", "a", "b", F.when(F.col("maybe"), F.col("form")).alias("form")), "lines")
-    forms = occ.where("form is not null").groupBy("a").agg(F.min("form").alias("form"))
-    forms = scratch.keep(forms, "forms")
-    edges = scratch.keep(verify(leader_pairs(members, sketch), forms, threshold), "edges")
-    scratch.release()
-    groups = scratch.keep(components(edges, scratch), "groups").select(F.col("id").alias("a"), "root")
-    more = scratch.keep(verify(other_pairs(members, groups, sketch), forms, threshold), "more")
+    lines = lines_of(docs).where("form <> ''").select("d", "k", "p", F.xxhash64("form").alias("key"), F.xxhash64(F.lit(1), "form").alias("b"), "form")
+    lines = marked(lines, members.select(F.col("a").alias("key")).distinct()).withColumnRenamed("key", "a")
+    occ = scratch.keep(lines.select("d", "k", "p", "a", "b", F.when(F.col("maybe"), F.col("form")).alias("form")), "lines")
+    forms = scratch.keep(occ.where("form is not null").groupBy("a").agg(F.min("form").alias("form")), "forms")
+    groups = linked(members, sig, forms, scratch, threshold, crowd)
     for name in ("signatures", "members", "forms"):
         scratch.drop(name)
     scratch.release()
-    if not more.isEmpty():
-        groups = scratch.keep(components(groups.union(more), scratch), "all_groups").select(F.col("id").alias("a"), "root")
     # only forms that were verified can have a root; the others need no join
-    rest = occ.where("form is null").select("d", "p", "a", F.col("a").alias("g"), "b")
+    rest = occ.where("form is null").select("d", "k", "p", F.col("a").alias("g"), "b")
     some = occ.where("form is not null").join(groups, "a", "left")
-    occ = rest.union(some.select("d", "p", "a", F.coalesce("root", "a").alias("g"), F.when(F.col("root").isNull(), F.col("b")).otherwise(F.lit(0)).alias("b")))
-    first = occ.groupBy("g", "b").agg(F.min(F.struct("d", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").select("g", "b", "first")
-    gone = occ.join(first, ["g", "b"]).where(~F.struct("d", "p").eqNullSafe(F.col("first")))
-    return gone.groupBy("d").agg(F.collect_set(F.struct("p", "a")).alias("gone"))
+    occ = rest.union(some.select("d", "k", "p", F.coalesce("root", "a").alias("g"), F.when(F.col("root").isNull(), F.col("b")).otherwise(F.lit(0)).alias("b")))
+    first = occ.groupBy("g", "b").agg(F.min(F.struct("d", "k", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "b", "first")
+    gone = occ.join(first, ["g", "b"]).where(~F.struct("d", "k", "p").eqNullSafe(F.col("first")))
+    return gone.groupBy("d", "k").agg(F.collect_set("p").alias("gone"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, prefix: str = "") -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, prefix: str = "", crowd: int = CROWD) -> DataFrame:
     """``docs`` with near-duplicate lines taken out of ``text``, plus ``{prefix}n_lines`` and ``{prefix}n_removed``."""
-    if docs.filter(F.col("text").isNotNull()).isEmpty():
-        return docs.withColumn(f"{prefix}n_lines", F.lit(None).cast("long")).withColumn(f"{prefix}n_removed", F.lit(0).cast("long"))
     scratch = Scratch(spark, "line-dedup")
-    gone = scratch.keep(removed_lines(spark, docs, scratch, threshold), "removed")
-    scratch.release()
-    names = docs.columns
-    g = gone.select(F.col("d").alias("__d"), F.col("gone").alias("__gone"))
-    out = docs.join(g, F.col("doc_id").eqNullSafe(F.col("__d")), "left")
-    out = out.withColumn("__lines", F.split("text", "\n"))
-    form = "xxhash64(lower(btrim(l, ' \\t\\r')))"
-    kept = F.expr(f"filter(__lines, (l, p) -> not array_contains(__gone, struct(p as p, {form} as a)))")
-    out = out.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(kept))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    cols = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names]
-    n = F.when(F.col("text").isNotNull(), F.size("__lines").cast("long"))
-    return out.select(*cols, n.alias(f"{prefix}n_lines"), F.coalesce((F.size("__lines") - F.size("__kept")).cast("long"), F.lit(0)).cast("long").alias(f"{prefix}n_removed"))
+    gone = scratch.keep(removed_lines(spark, docs, scratch, threshold, crowd), "removed")
+    scratch.keep_only("removed")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"))
+    rows = rows.join(gone.select(F.col("d").alias("gd"), F.col("k").alias("gk"), "gone"), F.expr("d <=> gd and k = gk"), "left")
+    kept = F.expr("filter(split(row.text, '\n'), (l, p) -> not array_contains(gone, p))")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    n = F.size(F.split("row.text", "\n")).cast("long")
+    n_removed = F.coalesce(F.when(F.col("row.text").isNotNull(), F.size("gone").cast("long")), F.lit(0)).cast("long")
+    cols = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*cols, F.when(F.col("row.text").isNotNull(), n).alias(f"{prefix}n_lines"), n_removed.alias(f"{prefix}n_removed"))
