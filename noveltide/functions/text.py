@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 #: White space as Python's ``str`` sees it; Java's ``\s`` and its Unicode mode both differ.
 W = r"[\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: The same class without the blank, and its characters as a string.
+NO_BLANK = W.replace(r"\x{001c}-\x{0020}", r"\x{001c}-\x{001f}")
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: the optimizer copies an expression into every place that names it, but
+    not into a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{W}+|{W}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize_text(text: Column) -> Column:
     """Null is '', ends stripped, lower case, runs of white space one blank."""
-    return F.regexp_replace(F.lower(strip(F.coalesce(text, F.lit("")))), f"{W}+", " ")
+    # runs that are one blank already are not matched
+    return F.regexp_replace(F.lower(strip(F.coalesce(text, F.lit("")))), f" {W}+|{NO_BLANK}{W}*", " ")
 
 
 def text_hash(text: Column) -> Column:
@@ -38,12 +49,11 @@ def estimate_tokens(text: Column) -> Column:
 
 def split_ideas(text: Column) -> Column:
     """Spans of a text: sentences, then clauses at ';' and '—'; the stripped text if nothing is left; [] if empty."""
-    whole = strip(F.coalesce(text, F.lit("")))
-    sentences = F.split(whole, f"(?<=[.!?]){W}+")
-    clauses = F.flatten(F.transform(sentences, lambda s: F.split(strip(s), f"{W}*[;—]{W}*")))
-    spans = F.filter(F.transform(clauses, strip), lambda s: F.length(s) > 0)
-    none = F.array().cast("array<string>")
-    return F.when(F.length(whole) == 0, none).when(F.size(spans) == 0, F.array(whole)).otherwise(spans)
+    # one pass: stripping and dropping what is empty makes cutting at one white space as good as cutting at a run
+    pieces = F.split(F.coalesce(text, F.lit("")), f"(?<=[.!?]){W}|[;—]")
+    spans = F.filter(F.transform(pieces, strip), lambda s: s != "")
+    whole = F.filter(F.array(strip(F.coalesce(text, F.lit("")))), lambda s: s != "")
+    return let(spans, lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
 
 
 def hash_tokens(text: Column) -> Column:

@@ -36,11 +36,14 @@ def assert_no_overlap(df: DataFrame, banned: DataFrame, column: str = "text") ->
         raise ValueError(f"a frozen text occurs in the data: {hit[0]!r}")
 
 
-def dedup_keep_first(df: DataFrame, order: list[Column | str], column: str = "text") -> DataFrame:
-    """The first row of each normalised text. The hash is partial-aggregated, so a hot text costs one row a task."""
-    keyed = with_hash(df, column, "__h")
-    first = keyed.groupBy("__h").agg(F.min(F.struct(*order)).alias("__first"))
-    return keyed.join(first, "__h").where(F.struct(*order) == F.col("__first")).drop("__h", "__first").dropDuplicates(order)
+def dedup_keep_first(df: DataFrame, order: list[Column | str], column: str = "text", out: str | None = None) -> DataFrame:
+    """The first row of each normalised text, by ``order`` and then the text itself; with ``out``, also its hash.
+
+    One aggregate by the hash: a hot text costs one row a task, and rows are shuffled once.
+    """
+    rows = df.select(text_hash(F.col(column)).alias("h"), F.struct(*order, F.col(column)).alias("place"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    first = rows.groupBy("h").agg(F.min_by("row", "place").alias("row"))
+    return first.select(*[F.col("row").getField(c).alias(c) for c in df.columns], *([F.col("h").alias(out)] if out else []))
 
 
 def exclusion_accounting(df: DataFrame, banned: DataFrame, column: str = "text") -> DataFrame:

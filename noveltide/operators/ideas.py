@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltide.functions.metrics import dot, l2_normalized, sigmoid
-from noveltide.functions.text import hash_bucket, hash_tokens, split_ideas
+from noveltide.functions.text import hash_bucket, hash_tokens, let, split_ideas
+
+
+def exploded(df: DataFrame, columns: list, array: Column, at: str, item: str) -> DataFrame:
+    """(columns..., at, item): the array's items. The outer form keeps Spark from computing the array a second time to
+    filter by its size."""
+    return df.select(*columns, F.posexplode_outer(array).alias(at, item)).where(F.col(item).isNotNull())
 
 
 def explode_ideas(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, pos, span), pos from 0; texts without ideas have no rows."""
-    return df.select(key, F.posexplode(split_ideas(F.col(column))).alias("pos", "span"))
+    return exploded(df, [key], split_ideas(F.col(column)), "pos", "span")
 
 
 def ngrams(xs: Column, n: int) -> Column:
@@ -59,7 +65,7 @@ def merge_spans(spans: DataFrame, key: str, threshold: float = 0.5) -> DataFrame
     grouped = spans.withColumn("__c", closed).withColumn("idea", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     g = grouped.groupBy(key, "idea").agg(F.array_sort(F.collect_list(F.struct("pos", "span", "embedding"))).alias("s"))
     n = F.size("s")
-    total = F.aggregate(F.slice("s", 2, 1_000_000), F.element_at("s", 1)["embedding"], lambda a, x: F.zip_with(a, x["embedding"], lambda p, q: p + q))
+    total = F.aggregate("s", F.transform(F.element_at("s", 1)["embedding"], lambda v: v * 0), lambda a, x: F.zip_with(a, x["embedding"], lambda p, q: p + q))
     return g.select(key, "idea", F.array_join(F.transform("s", lambda x: x["span"]), " ").alias("text"), F.transform(total, lambda v: v / n).alias("embedding"))
 
 
@@ -104,10 +110,10 @@ def soft_entropy(samples: DataFrame, key: list[str], centroids: DataFrame, tempe
     v = F.transform(F.col(column), lambda x: x.cast("double"))
     d = F.transform("codebook", lambda c: F.sqrt(F.aggregate(F.zip_with(v, c["centroid"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
     # distances are shifted by the smallest, which leaves the softmax as it is
-    rows = samples.crossJoin(F.broadcast(as_codebook(centroids))).select(*key, d.alias("d"))
-    e = rows.select(*key, F.transform("d", lambda x: F.exp((F.array_min("d") - x) / max(temperature, 1e-8))).alias("e"))
-    p = e.select(*key, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
-    mean = p.select(*key, F.posexplode("p").alias("c", "q")).groupBy(*key, "c").agg(F.avg("q").alias("q"))
+    shifted = let(d, lambda x: let(F.array_min(x), lambda low: F.transform(x, lambda y: F.exp((low - y) / max(temperature, 1e-8)))))
+    p = let(shifted, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda t: F.transform(e, lambda y: y / t)))
+    rows = samples.crossJoin(F.broadcast(as_codebook(centroids)))
+    mean = exploded(rows, key, p, "c", "q").groupBy(*key, "c").agg(F.avg("q").alias("q"))
     return mean.groupBy(*key).agg((-F.sum(F.col("q") * F.log(F.col("q") + 1e-12))).alias("entropy"))
 
 
@@ -124,4 +130,4 @@ def symbol_array(text: Column, buckets: int = 32) -> Column:
 
 def symbols(df: DataFrame, key: str = "doc_id", column: str = "text", buckets: int = 32) -> DataFrame:
     """(key, pos, sym): each span's symbol, by hash of its lower-cased text."""
-    return df.select(key, F.posexplode(symbol_array(F.col(column), buckets)).alias("pos", "sym"))
+    return exploded(df, [key], symbol_array(F.col(column), buckets), "pos", "sym")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noveltide.session import materialize
+
 BOS, EOS, UNK_P = "<s>", "</s>", 1e-99
 
 
@@ -83,7 +85,7 @@ def token_bits(tokens: DataFrame, p: DataFrame, b: DataFrame) -> DataFrame:
     t = t.join(p3, ["__x2", "w"], "left").join(p2, ["c1", "w"], "left").join(p1, "w", "left").join(b2, "__x2", "left").join(b1, "c1", "left")
     one = lambda c: F.coalesce(c, F.lit(1.0))
     prob = F.coalesce("p3", one("b2") * F.coalesce("p2", one("b1") * F.coalesce("p1", F.lit(UNK_P))))
-    return tokens.join(t.select("w", "c1", "c2", (-F.log2(prob)).alias("bits")).persist(), ["w", "c1", "c2"]).select(*tokens.columns, "bits")
+    return tokens.join(t.select("w", "c1", "c2", (-F.log2(prob)).alias("bits")), ["w", "c1", "c2"]).select(*tokens.columns, "bits")
 
 
 def sequence_bits(symbols: DataFrame, p: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -116,7 +118,8 @@ def novelty_by_tail(tail_rows: DataFrame, probes: DataFrame, p: DataFrame, b: Da
     grid = states.crossJoin(F.broadcast(heads))  # both sides are bounded by the alphabet
     first = grid.select("t1", "t2", "k", F.col("h1").alias("w"), F.col("t1").alias("c1"), F.col("t2").alias("c2"))
     second = grid.where("h2 is not null").select("t1", "t2", "k", F.col("h2").alias("w"), F.col("h1").alias("c1"), F.col("t1").alias("c2"))
-    bits = token_bits(first.unionByName(second), p, b).groupBy("t1", "t2").agg(F.sum(F.col("bits") * F.col("k")).alias("bits")).persist()  # one row a state
+    bits = token_bits(first.unionByName(second), p, b).groupBy("t1", "t2").agg(F.sum(F.col("bits") * F.col("k")).alias("bits"))
+    bits = materialize(bits, "tails")  # one row a state
     alone = bits.where(F.col("t1") == BOS).select(F.col("bits").alias("alone"))
     return bits.crossJoin(F.broadcast(alone)).select("t1", "t2", (F.col("alone") - F.col("bits")).alias("r_d"))
 

@@ -12,7 +12,8 @@ def group_advantage(rows: DataFrame, group: str, reward: str, eps: float = 1e-8)
     The group's moments come from a partial aggregate and a join, so a hot group is not sorted into one task.
     """
     m = rows.groupBy(group).agg(F.avg(reward).alias("__m"), F.stddev_pop(reward).alias("__s"))
-    return rows.join(m, group).withColumn("advantage", (F.col(reward) - F.col("__m")) / (F.col("__s") + eps)).drop("__m", "__s")
+    gain = F.when(F.col("__s") > 0, (F.col(reward) - F.col("__m")) / (F.col("__s") + eps)).when(F.col(reward).isNotNull(), 0.0)
+    return rows.join(m, group).withColumn("advantage", gain).drop("__m", "__s")
 
 
 def two_rollout_advantage(rows: DataFrame, group: str, order: str, reward: str) -> DataFrame:
@@ -35,11 +36,19 @@ def valid_pairs(rows: DataFrame, group: str, key: str, reward: str, eps: float)
 
 def pair_counts(rows: DataFrame, group: str, reward: str, eps: float) -> DataFrame:
     """(group, n_pairs): how many valid pairs each group has, by a range count over its sorted rewards, listing none."""
-    over = f"count(*) OVER (PARTITION BY `{group}` ORDER BY `{reward}` RANGE BETWEEN {{}} AND {2 * eps!r}D PRECEDING)"
+    over = f"count(`{reward}`) OVER (PARTITION BY `{group}` ORDER BY `{reward}` RANGE BETWEEN {{}} AND {2 * eps!r}D PRECEDING)"
     c = rows.withColumn("__n", F.expr(over.format("UNBOUNDED PRECEDING")) - F.expr(over.format(f"{2 * eps!r}D PRECEDING")))
     return c.groupBy(group).agg(F.sum("__n").alias("n_pairs"))
 
 
+def net_wins(rows: DataFrame, group: str, reward: str, eps: float) -> DataFrame:
+    """``rows`` plus net: the valid pairs a row wins less those it loses, by range counts over its group's sorted rewards."""
+    own = f"PARTITION BY `{group}` ORDER BY `{reward}` RANGE BETWEEN"
+    wins = f"count(`{reward}`) OVER ({own} UNBOUNDED PRECEDING AND CURRENT ROW) - count(`{reward}`) OVER ({own} {2 * eps!r}D PRECEDING AND CURRENT ROW)"
+    losses = f"count(`{reward}`) OVER ({own} CURRENT ROW AND UNBOUNDED FOLLOWING) - count(`{reward}`) OVER ({own} CURRENT ROW AND {2 * eps!r}D FOLLOWING)"
+    return rows.withColumn("net", F.expr(f"({wins}) - ({losses})"))
+
+
 def rank_reversals(rows: DataFrame, group: str, truth: str, proxy: str) -> DataFrame:
     """(group, n_pairs, n_reversed, concordance): ordered pairs by truth, and those the proxy orders the other way.
 
@@ -91,10 +100,9 @@ def expected_reward(policy: DataFrame, group: str, reward: str) -> DataFrame:
     return policy.groupBy(group).agg(F.sum(F.col("pi") * F.col(reward)).alias("expected_reward"))
 
 
-def logit_update(policy: DataFrame, pairs: DataFrame, key: str, logit: str, step: float) -> DataFrame:
-    """Logits after each pair adds ``step`` to its winner and takes it from its loser."""
-    moves = pairs.select(F.col("winner").alias(key), F.lit(step).alias("__s")).union(pairs.select(F.col("loser").alias(key), F.lit(-step).alias("__s")))
-    return policy.join(moves.groupBy(key).agg(F.sum("__s").alias("__s")), key, "left").withColumn(logit, F.col(logit) + F.coalesce("__s", F.lit(0.0))).drop("__s")
+def logit_update(policy: DataFrame, group: str, reward: str, eps: float, logit: str, step: float) -> DataFrame:
+    """Logits after each valid pair of a group adds ``step`` to its winner and takes it from its loser; no pair is listed."""
+    return net_wins(policy, group, reward, eps).withColumn(logit, F.col(logit) + step * F.col("net")).drop("net")
 
 
 def dpo_log_odds(pi_w: Column, pi_l: Column, ref_w: Column, ref_l: Column, beta: float) -> Column:

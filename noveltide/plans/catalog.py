@@ -120,7 +120,7 @@ def containment_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT min(doc_id) AS doc_id, sha256({_NORM}) AS h FROM documents GROUP BY sha256({_NORM})")
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.with_hash(corpus.dedup_keep_first(table(spark, sf_dir, "documents"), ["doc_id"])).select("doc_id", "h")
+    return corpus.dedup_keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], out="h").select("doc_id", "h")
 
 
 _ACCOUNT = f"""WITH h AS (SELECT {_NORM} AS t, count(*) AS n FROM documents GROUP BY 1), m AS (SELECT *, t IN (SELECT {_NORM} FROM benchmark) AS bad FROM h)
@@ -481,11 +481,9 @@ def pair_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT o_custkey, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders GROUP BY o_custkey)
-  SELECT o_orderkey, round((o_totalprice - m) / (s + 1e-8), 5) AS advantage FROM orders JOIN m USING (o_custkey) WHERE s > 0""")
+  SELECT o_orderkey, round(CASE WHEN s > 0 THEN (o_totalprice - m) / (s + 1e-8) ELSE 0.0 END, 5) AS advantage FROM orders JOIN m USING (o_custkey)""")
 def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    some = o.groupBy("o_custkey").agg(F.stddev_pop("o_totalprice").alias("s")).where("s > 0").select("o_custkey")
-    return rounded(training.group_advantage(o.join(some, "o_custkey", "left_semi"), "o_custkey", "o_totalprice").select("o_orderkey", "advantage"), "advantage", places=5)
+    return rounded(training.group_advantage(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice").select("o_orderkey", "advantage"), "advantage", places=5)
 
 
 @query("""WITH r AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders), g AS (SELECT o_custkey, max(o_totalprice) FILTER (k = 1) AS r1, max(o_totalprice) FILTER (k = 2) AS r2 FROM r WHERE k <= 2 GROUP BY o_custkey)
@@ -571,8 +569,7 @@ def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT o_orderkey, round(coalesce(sum(s), 0)::DOUBLE, 6) AS logit FROM orders LEFT JOIN m USING (o_orderkey) GROUP BY o_orderkey""")
 def logit_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.lit(0.0).alias("logit"))
-    pairs = training.valid_pairs(o, "o_custkey", "o_orderkey", "o_totalprice", 10000.0)
-    return rounded(training.logit_update(o, pairs, "o_orderkey", "logit", 0.1).select("o_orderkey", "logit"), "logit")
+    return rounded(training.logit_update(o, "o_custkey", "o_totalprice", 10000.0, "logit", 0.1).select("o_orderkey", "logit"), "logit")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(0.1 * (ln((l_quantity / 60) / 0.5) - ln((1 - l_quantity / 60) / 0.5)), 6) AS log_odds FROM lineitem""")
@@ -622,10 +619,10 @@ def model_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost.available(models, names).select("model_id", "available")
 
 
-@query("""SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents WHERE lang IS NOT NULL GROUP BY GROUPING SETS ((), (lang), (lang, source))""")
+@query("""SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY GROUPING SETS ((), (lang), (lang, source))""")
 def report_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overall, domain and group figures in one pass."""
-    table(spark, sf_dir, "documents").where("lang is not null").createOrReplaceTempView("noveltide_documents")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("noveltide_documents")
     return spark.sql("SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM noveltide_documents GROUP BY GROUPING SETS ((), (lang), (lang, source))")
 
 

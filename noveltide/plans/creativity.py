@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noveltide.functions.text import split_ideas
 from noveltide.operators import ideas, lm, scores
+from noveltide.session import materialize
 
 from .tables import table
 
@@ -24,10 +25,9 @@ class Model:
 
 
 def train(symbols: DataFrame, key: str = "doc_id") -> Model:
-    # bounded by the alphabet, so one partition holds it; read by every join that follows, and made again if lost
-    c = lm.counts(symbols, key).repartition(1).persist()
-    p = lm.probabilities(c).persist()
-    return Model(p, lm.backoffs(c, p).persist())
+    c = materialize(lm.counts(symbols, key).coalesce(1), "ngrams")
+    p = materialize(lm.probabilities(c).coalesce(1), "probabilities")
+    return Model(p, materialize(lm.backoffs(c, p).coalesce(1), "backoffs"))
 
 
 def outcome(quality, toxic):
@@ -53,24 +53,26 @@ def symbol_expansion(rows: DataFrame, key: str = "doc_id", syms: str = "syms", k
 
 def probe_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Model]:
     """The frozen probes' symbols and the model trained on them."""
-    probes = ideas.symbols(table(spark, sf_dir, "benchmark"), "item_id", buckets=BUCKETS)
+    probes = materialize(ideas.symbols(table(spark, sf_dir, "benchmark"), "item_id", buckets=BUCKETS), "probes")
     return probes, train(probes, "item_id")
 
 
 def document_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, syms)."""
-    return table(spark, sf_dir, "documents").select("doc_id", ideas.symbol_array(F.col("text"), BUCKETS).alias("syms"))
+    """(doc_id, syms): every text split and hashed once, and written, since several branches read it."""
+    return materialize(table(spark, sf_dir, "documents").select("doc_id", ideas.symbol_array(F.col("text"), BUCKETS).alias("syms")), "symbols")
 
 
-def document_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_novelty(spark: SparkSession, sf_dir: str, syms: DataFrame | None = None) -> DataFrame:
     """(doc_id, r_d) against the frozen probes."""
     probes, model = probe_model(spark, sf_dir)
-    return lm.structural_novelty(lm.array_tails(document_symbols(spark, sf_dir), "doc_id", "syms"), probes, model.p, model.b)
+    syms = document_symbols(spark, sf_dir) if syms is None else syms
+    return lm.structural_novelty(lm.array_tails(syms, "doc_id", "syms"), probes, model.p, model.b)
 
 
 def scored_documents(spark: SparkSession, sf_dir: str, delta_d: float = 0.0, alpha: float = 1.0) -> DataFrame:
     """Labelled documents with cue, r_d, r_b, g_k, gates and score; domain is the language."""
-    r_d, r_b = document_novelty(spark, sf_dir), symbol_expansion(document_symbols(spark, sf_dir))
+    syms = document_symbols(spark, sf_dir)
+    r_d, r_b = document_novelty(spark, sf_dir, syms), symbol_expansion(syms)
     rows = scores.with_cue(beliefs(spark, sf_dir)).select("doc_id", F.col("lang").alias("domain"), "cue")
     rows = rows.join(r_d, "doc_id", "left").join(r_b, "doc_id", "left")
     rows = rows.select("doc_id", "domain", "cue", F.round(F.coalesce("r_d", F.lit(0.0)), 9).alias("r_d"), F.coalesce("r_b", F.lit(0.0)).alias("r_b"), F.lit(0.0).alias("g_k"))
@@ -96,7 +98,7 @@ def receiver_samples(outputs: DataFrame, tasks: DataFrame, n: int, key: str, tex
     grid = outputs.select(key, clip(F.col(text), 400).alias("ctx")).crossJoin(F.broadcast(tasks)).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     v = F.col("variant").cast("string")
     sample = F.concat(F.lit("Context:\n"), "ctx", F.lit("\n\nTask:\n"), F.trim("input"), F.lit("\nVariant-"), v, F.lit(": focus angle "), v, F.lit("."))
-    return grid.select(key, F.col("id").alias("task"), "variant", F.explode(split_ideas(sample)).alias("span"))
+    return ideas.exploded(grid, [key, F.col("id").alias("task"), "variant"], split_ideas(sample), "pos", "span").drop("pos")
 
 
 def receiver_expansion(outputs: DataFrame, tasks: DataFrame, centroids: DataFrame, k: int, key: str, n: int = 4, dim: int = 64, temperature: float = 1.0) -> DataFrame:
