@@ -99,8 +99,9 @@ def written(enc, first: int, ids: np.ndarray) -> str:
     return "".join(out) + enc.decode(ids[start:].tolist())
 
 
-def format_turns(spark: SparkSession, rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """conv_id, turn, role, text, token_ids, loss_mask, formatted: one row per turn, without ``OPEN`` and ``CLOSE``."""
+def format_turns(spark: SparkSession, rows: DataFrame, path: str = VOCABULARY, formatted: bool = True) -> DataFrame:
+    """conv_id, turn, role, text, token_ids, loss_mask, formatted: one row per turn, without ``OPEN`` and ``CLOSE``.
+    ``formatted=False`` leaves the text of the ids null, for readers of the ids."""
     table = ranks(path)
     shared, first = spark.sparkContext.broadcast(table), max(table.values()) + 2  # of fixed size: the vocabulary
 
@@ -111,7 +112,7 @@ def format_turns(spark: SparkSession, rows: DataFrame, path: str = VOCABULARY) -
             ids = [np.array(assemble(enc, first, r or "", t or ""), np.int64) for r, t in zip(x["role"], x["text"])]
             masks = [loss_mask(i, first, assistant) for i in ids]
             x = x.astype({"conv_id": "Int64", "turn": "Int64"})
-            yield x.assign(token_ids=[i.astype(np.int32) for i in ids], loss_mask=masks, formatted=[written(enc, first, i) for i in ids])
+            yield x.assign(token_ids=[i.astype(np.int32) for i in ids], loss_mask=masks, formatted=[written(enc, first, i) if formatted else None for i in ids])
 
     cols = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return cols.mapInPandas(run, "conv_id long, turn long, role string, text string, token_ids array<int>, loss_mask array<byte>, formatted string")

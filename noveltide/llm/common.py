@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noveltide.session import delete_at_end, shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        root = own.get()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="noveltide-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def whole_row(df: DataFrame) -> F.Column:
     """All columns as one struct, so that helper columns beside it cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
@@ -35,16 +23,24 @@ def unpacked(columns: list[str], row: str = "row") -> list[F.Column]:
     return [F.col(row).getField(c).alias(c) for c in columns]
 
 
+def beside(docs: DataFrame, value: F.Column, names: dict[str, str], **others: F.Column) -> DataFrame:
+    """``docs`` plus fields of the struct ``value`` under new names and ``others``; a column of such a name is replaced."""
+    rows = docs.select(whole_row(docs).alias("row"), value.alias("value"), *[c.alias(f"other_{n}") for n, c in others.items()])
+    new = {n.lower() for n in (*names.values(), *others)}
+    kept = unpacked([c for c in docs.columns if c.lower() not in new])
+    return rows.select(*kept, *[F.col(f"other_{n}").alias(n) for n in others], *[F.col("value").getField(f).alias(n) for f, n in names.items()])
+
+
 class Scratch:
     """Tables written under the shared checkpoint folder, so that a lost executor loses no intermediate result.
 
-    A table that a returned frame still reads stays; ``keep_only`` removes all others.
+    A table that a returned frame still reads stays until the session ends; ``keep_only`` removes all others.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.names: set[str] = set()
-        self.root = f"{checkpoint_root(spark)}/noveltide/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_folder(spark)}/noveltide/{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -52,6 +48,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a frame that reads it back."""
         df.write.mode("overwrite").parquet(self.path(name))
+        delete_at_end(self.spark, self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -7,8 +7,9 @@ gives an alignment (document, item, offset); the tokens around it are compared o
 when it spans at least min(``LEAST``, length of the item) tokens of which ``SHARE`` agree.
 
 Items too short for a seed are found by their whole token sequence. Documents with null or empty text are clean;
-null items match nothing. Repeated rows get the same result each.
-Benchmark rows that share an item_id are searched one by one, under a key of the row.
+null items match nothing. Repeated rows get the same result each; an empty table gives an empty table, an empty benchmark
+leaves all clean. Benchmark rows that share an item_id are searched one by one, under a key of the row. Of overlaps of
+one length the items are all listed. Other columns pass through; one with the name of a result is replaced by it.
 
 The benchmark side is joined inside the scan while its seeds number at most ``MOST_SEEDS`` (its size is counted
 first); beyond that seeds of both sides meet in a shuffled join. Both ways run the same hashing and verification.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, beside, unpacked, whole_row
 
 #: The masks, 1 for a token that is compared, and the lengths of the items that need them. A stretch of
 #: n tokens with e of them changed, all inside, has n - e others in at most e + 1 runs. With e <= n / 5 one run has four
@@ -173,8 +174,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, most_s
             yield pd.DataFrame([one(t) for t in x], columns=["contaminated", "items", "overlap_tokens"])
 
     scan = F.pandas_udf(run, "contaminated boolean, items array<long>, overlap_tokens long")
-    out = docs.withColumn("__c", scan("text"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__c.{c}").alias(prefix + c) for c in ("contaminated", "items", "overlap_tokens")])
+    return beside(docs, scan(F.col("text")), {c: prefix + c for c in ("contaminated", "items", "overlap_tokens")})
 
 
 def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame, bench: DataFrame, prefix: str) -> DataFrame:
@@ -225,6 +225,8 @@ def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame, bench: Dat
     if lengths:
         got = got.union(keyed.mapInPandas(whole, "t long, itokens array<long>").join(short, "itokens").select("t", F.col("id").alias("item"), F.size("itokens").cast("long").alias("n")).distinct())
     sums = got.groupBy("t").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max("n").alias("n"))
-    out = docs.withColumn("__t", F.xxhash64("text")).join(sums.select(F.col("t").alias("__t"), F.col("items").alias("__items"), F.col("n").alias("__n")), "__t", "left")
-    hit = F.col("text").isNotNull() & F.col("__items").isNotNull()
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], hit.alias(f"{prefix}contaminated"), F.when(hit, F.col("__items")).otherwise(F.array().cast("array<long>")).alias(f"{prefix}items"), F.when(hit, F.col("__n")).otherwise(F.lit(0)).cast("long").alias(f"{prefix}overlap_tokens"))
+    rows = docs.select(whole_row(docs).alias("row"), F.xxhash64("text").alias("t")).join(sums, "t", "left")
+    hit = F.col("row.text").isNotNull() & F.col("items").isNotNull()
+    found = {"contaminated": hit, "items": F.when(hit, F.col("items")).otherwise(F.array().cast("array<long>")), "overlap_tokens": F.when(hit, F.col("n")).otherwise(F.lit(0)).cast("long")}
+    kept = unpacked([c for c in docs.columns if c.lower() not in {(prefix + n).lower() for n in found}])
+    return rows.select(*kept, *[c.alias(prefix + n) for n, c in found.items()])

@@ -8,7 +8,8 @@ sum wins, the first by name among equals.
 Profiles are fitted on a bounded sample of the labelled training rows: about ``PER_LANG`` documents a language,
 chosen by a hash of doc_id. Prediction reads whole texts. Text that is null or has no letter gets ``und`` with
 score 0; otherwise score is 1 - distance / (largest possible distance), between 0 and 1. With no training rows
-every text is ``und``.
+every text is ``und``. Repeated rows get the same result each; an empty table gives an empty table. A column with the
+name of a result is replaced by it, others pass through. A null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import beside
+
 TOP, PER_LANG, PIECE = 400, 2000, 1 << 20
 OTHER = re.compile(r"[\W\d_]+")
 
@@ -62,7 +65,9 @@ def train_profiles(rows: DataFrame, per_lang: int = PER_LANG, top: int = TOP) ->
     """{language: packed n-grams in order} from (doc_id, text, lang); null texts and languages are left out."""
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(per_lang * (1 << 30)))
+    # a share of the hash's range, in doubles, which no number of rows overflows
+    share = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.join(sizes, "lang").where(share * F.col("n") < float(per_lang))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -103,8 +108,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, pre
             yield pd.DataFrame([one(t) for t in x], columns=["lang_pred", "score"])
 
     guess = F.pandas_udf(run, "lang_pred string, score double")
-    g = docs.withColumn("__g", guess("text"))
-    return g.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__g.lang_pred").alias(f"{prefix}lang_pred"), F.col("__g.score").alias(f"{prefix}score"))
+    return beside(docs, guess(F.col("text")), {"lang_pred": f"{prefix}lang_pred", "score": f"{prefix}score"})
 
 
 def held_out(doc_id) -> F.Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, beside
 
 ROWS, VOCABULARY, WIDTH, WINDOW, HIDDEN, PARTS = 8000, 4096, 64, 2, 32, 8
 AGAIN = "<again>"
@@ -198,5 +198,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float =
                 s = logits(m[2], np.array([pooled(m[0], m[1], t) for t in x]).reshape(len(x), m[1].shape[1]))
                 yield pd.Series(1 / (1 + np.exp(-np.clip(s, -30, 30))))
 
-    out = docs.withColumn("__s", F.pandas_udf(run, "double")("text"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], held_out(F.col("doc_id")).alias(f"{prefix}held_out"), F.col("__s").alias(f"{prefix}score"), (F.col("__s") >= cut).cast("int").alias(f"{prefix}predicted"))
+    value = F.struct(F.pandas_udf(run, "double")("text").alias("score"))
+    out = beside(docs, value, {"score": f"{prefix}score"}, **{f"{prefix}held_out": held_out(F.col("doc_id"))})
+    names = [c for c in out.columns if c.lower() != f"{prefix}predicted".lower()]
+    return out.select(*[F.col(f"`{c}`") for c in names], (F.col(f"`{prefix}score`") >= cut).cast("int").alias(f"{prefix}predicted"))

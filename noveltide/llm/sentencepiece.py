@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, PART, MOST_WORDS, MOST_PAIRS, TEXTS = "▁", 400_000, 400_000, 1 << 21, 1250
 
@@ -407,4 +409,4 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "round_trip"]).astype({"n_tokens": "Int64"})
 
     both = F.pandas_udf(run, "n_tokens long, ids_sha256 string, round_trip boolean")
-    return docs.withColumn("__r", both("text")).select(*[F.col(f"`{c}`") for c in docs.columns], "__r.n_tokens", "__r.ids_sha256", "__r.round_trip")
+    return beside(docs, both(F.col("text")), {c: c for c in ("n_tokens", "ids_sha256", "round_trip")})
