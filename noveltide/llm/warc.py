@@ -31,6 +31,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noveltide.session import delete_at_end
+
 from .common import Scratch
 
 DATE, ROLL, SHARD_ROWS, SAMPLE = "2024-01-01T00:00:00Z", 16 << 20, 4000, 100_000
@@ -105,7 +107,10 @@ class Roller:
             return
         self.out.close()
         name = f"pages-{self.shard:06d}-{self.number:04d}.warc.gz"
-        self.fs.move(self.temporary, f"{self.root}/{name}")
+        target = f"{self.root}/{name}"
+        if self.fs.get_file_info(target).type == pafs.FileType.File:  # of an earlier attempt at this task: the same records
+            self.fs.delete_file(target)
+        self.fs.move(self.temporary, target)
         self.done.append((self.shard, name, self.records, self.size, self.sha.hexdigest()))
         self.out, self.number = None, self.number + 1
 
@@ -139,7 +144,8 @@ def write(spark: SparkSession, pages: DataFrame, root: str, roll_bytes: int = RO
     text = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("first"))
     both = text.union(notes.select("page_id", "sha", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), "first"))
     order = ["shard", "page_id", "sha", "kind", "url"]
-    stream = shard(both).repartition(len(bounds) + 1, "shard").sortWithinPartitions(*order)  # tasks of a few shards, whatever the input
+    # a shard is in one range; tasks are of a shard or a few neighbours, whatever the input
+    stream = shard(both).repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files = Roller(root, roll_bytes)
@@ -230,4 +236,5 @@ def round_trip(spark: SparkSession, pages: DataFrame, roll_bytes: int = ROLL, sh
     """Write ``pages`` to the shared scratch folder and read the archives back."""
     root = Scratch(spark, "archives").root
     manifest = write(spark, pages, root, roll_bytes, shard_rows=shard_rows)
+    delete_at_end(spark, root)
     return read(spark, root, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
