@@ -3,7 +3,8 @@
 Tokens are the runs of characters other than blank and 0x09-0x0D, A-Z lower-cased. A token w after v (v: the token
 before, or the document's begin) scores c(v w) / c(v ...), or ``ALPHA`` * c(w) / N where v w was never counted, or
 ``ALPHA`` / (N + 1) where w was not either; a document's score is the sum of the logarithms. Counts are taken from
-``train``, by default the scored documents themselves, all of them and whole.
+``train``, by default the scored documents themselves, all of them and whole; then c(v w) and c(v ...) leave out the
+row that is scored, so that a text is not its own model and bigrams that it alone holds back off.
 
 Exploded bigrams are dealt to buckets by the hash of v, so that a bucket holds the count tables of its contexts and
 the bigrams to be joined with them; both meet in one shuffle, packed by bucket and batch (token hashes, runs of the
@@ -11,11 +12,16 @@ context, a document number), about 11 bytes a token. A bucket returns sums packe
 each).
 
 Hot contexts (over ``BUCKET`` / 4 tokens and a ``SHARE`` of all, so at most 1 / SHARE of them) are counted beforehand
-by a pre-aggregated sum; their bigrams are spread over all buckets by both words. Hot bigrams (the same bounds) are
-counted likewise and scored inside the scan, so no bucket receives them. What the driver gets is those hot counts.
+by a pre-aggregated sum; their bigrams are spread over all buckets by both words, with the row's own count of the
+context. Hot bigrams (the same bounds) are counted likewise and scored inside the scan, so no bucket receives them. What
+the driver gets is those hot counts, at most 2 / SHARE of them.
+
+What backs off meets the table of single words in a join by hash; words of more than a ``SHARE_ONE`` of all tokens (at
+most 1 / SHARE_ONE of them) meet it by broadcast.
 
 Null and empty texts have no tokens, a score of 0 and a null mean. Rows that share a doc_id (null included) are parts
-of one document.
+of one document, scored each without itself and summed. Repeated rows are rows of their own, so copies know each other.
+An empty table gives an empty table. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ALPHA, BUCKET, SHARE, SLICE = 0.4, 1_200_000, 1 / 1000, 6_000_000
+ALPHA, BUCKET, SHARE, SHARE_ONE, SLICE = 0.4, 1_200_000, 1e-5, 1e-3, 6_000_000
 BEGIN = xxhash.xxh64_intdigest(b"begin of document", 1)
 
 
@@ -97,8 +103,10 @@ class Hot:
     def __init__(self, one: dict, two: dict):
         self.v = np.array(sorted(one), np.uint64)
         self.n = np.array([one[int(k)] for k in self.v], np.int64)
-        self.two = two
-        self.key = np.array(sorted({int(mix(np.array([a], np.uint64), np.array([b], np.uint64))[0]) for a, b in two}), np.uint64)
+        a, b = (np.array([k[i] for k in two], np.uint64) for i in (0, 1))
+        key = mix(a, b)
+        by = np.argsort(key)
+        self.key, self.first, self.second, self.count = key[by], a[by], b[by], np.array(list(two.values()), np.int64)[by]
 
     def context(self, v: np.ndarray) -> np.ndarray:
         """Counts of hot contexts, 0 for others."""
@@ -108,14 +116,28 @@ class Hot:
         return np.where(self.v[at] == v, self.n[at], 0)
 
     def bigram(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(v), np.int64)
-        if self.two:
-            for k in np.nonzero(np.isin(mix(v, w), self.key))[0].tolist():
-                out[k] = self.two.get((int(v[k]), int(w[k])), 0)
-        return out
+        """Counts of hot bigrams, 0 for others."""
+        if not len(self.key):
+            return np.zeros(len(v), np.int64)
+        at = np.minimum(np.searchsorted(self.key, mix(v, w)), len(self.key) - 1)
+        return np.where((self.first[at] == v) & (self.second[at] == w), self.count[at], 0)
+
+
+def own_counts(*keys: np.ndarray) -> np.ndarray:
+    """How often each element's combination of keys occurs."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    by = np.lexsort(keys)
+    new = np.zeros(len(by), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[by][1:] != k[by][:-1]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.diff(np.append(np.nonzero(new)[0], len(by)))[np.cumsum(new) - 1]
+    return out
 
 
-PACKED = "bucket int, slice long, docs binary, runs binary, v binary, w binary, doc binary, counted boolean, scored boolean"
+PACKED = "bucket int, slice long, docs binary, runs binary, v binary, w binary, doc binary, own binary, counted boolean, scored boolean"
 #: What a bucket returns, by slice: kind 0 has the slice's doc_ids; kind 1 documents (by number in the slice), sums and
 #: counts; kind 2 the same of bigrams never counted, with token hashes for sums.
 SUMMED = "slice long, kind int, docs binary, sums binary, counts binary"
@@ -134,35 +156,44 @@ def pack(batches: Iterator[pd.DataFrame], buckets: int, hot: Hot, counted: bool,
         doc = np.repeat(np.arange(len(w), dtype=np.uint32), [len(t) for t in w])
         v = np.concatenate([contexts(t) for t in w] or [np.empty(0, np.uint64)])
         w = np.concatenate(w or [np.empty(0, np.uint64)])
+        spread, own_context = hot.context(v) > 0, np.zeros(len(v), np.int64)
+        if counted and scored:
+            own_context[spread] = own_counts(v[spread], doc[spread])
         rare = hot.bigram(v, w) == 0
-        v, w, doc = v[rare], w[rare], doc[rare]
-        spread = hot.context(v) > 0
+        v, w, doc, spread, own_context = v[rare], w[rare], doc[rare], spread[rare], own_context[rare]
         at = (mix(v) % np.uint64(buckets)).astype(np.int32)
         at[spread] = (mix(v[spread], w[spread]) % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((v, at))
-        v, w, doc, at = v[order], w[order], doc[order], at[order]
+        v, w, doc, at, spread, own_context = v[order], w[order], doc[order], at[order], spread[order], own_context[order]
         cut = np.nonzero(np.concatenate(([True], at[1:] != at[:-1])))[0] if len(at) else np.empty(0, np.int64)
         out = []
         for i, j in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist()):
             first = np.nonzero(np.concatenate(([True], v[i + 1 : j] != v[i : j - 1])))[0]
             own, number = np.unique(doc[i:j], return_inverse=True)
             number = number.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
-            out.append((int(at[i]), int(key), own.tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), v[i:j][first].tobytes(), w[i:j].tobytes(), number.tobytes(), counted, scored))
+            of_spread = own_context[i:j][spread[i:j]]
+            of_spread = of_spread.astype(np.uint16 if not len(of_spread) or of_spread.max() < 1 << 16 else np.uint32)
+            out.append((int(at[i]), int(key), own.tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), v[i:j][first].tobytes(), w[i:j].tobytes(), number.tobytes(), of_spread.tobytes(), counted, scored))
         if scored:  # the slice's doc_ids travel once; elsewhere documents are numbered within the slice
-            out.append((int(key) % buckets, int(key), ids.astype(np.int64).tobytes(), b"", b"", b"", b"", False, True))
+            out.append((int(key) % buckets, int(key), ids.astype(np.int64).tobytes(), b"", b"", b"", b"", b"", False, True))
         yield pd.DataFrame(out, columns=names(PACKED))
 
 
-def scan_hot(batches: Iterator[pd.DataFrame], hot: Hot) -> Iterator[pd.DataFrame]:
-    """The scores of hot bigrams, by document."""
+def scan_hot(batches: Iterator[pd.DataFrame], hot: Hot, leave_out: bool) -> Iterator[pd.DataFrame]:
+    """The scores of hot bigrams, by document; those that no other document holds back off."""
     for x in batches:
         out = []
         for d, t in zip(x["doc_id"], x["text"]):
             w = token_hashes(t)
             v = contexts(w)
-            two = hot.bigram(v, w)
+            two, one = hot.bigram(v, w), hot.context(v)
             if (at := two > 0).any():
-                out.append((d, float((np.log(two[at]) - np.log(hot.context(v[at]))).sum()), int(at.sum()), None))
+                if leave_out:
+                    two, one = two - own_counts(v, w), one - own_counts(v)
+                ok = at & (two > 0)
+                out.append((d, float((np.log(two[ok]) - np.log(one[ok])).sum()), int(ok.sum()), None))
+                u, n = np.unique(w[at & ~ok], return_counts=True)
+                out += [(d, 0.0, k, h) for h, k in zip(u.view(np.int64).tolist(), n.tolist())]
         yield pd.DataFrame(out, columns=["doc_id", "score", "n", "w"]).astype({"doc_id": "Int64", "w": "Int64"})
 
 
@@ -171,24 +202,33 @@ def join_bucket(x: pd.DataFrame, hot: Hot) -> pd.DataFrame:
     full = x["w"].str.len() > 0
     out = [(int(r.slice), 0, r.docs, b"", b"") for r in x[~full].itertuples(index=False)]  # doc_ids of slices
     x = x[full]
-    v, w, at, counted, scored, docs, base = [], [], [], [], [], [], [0]
+    v, w, at, own, counted, scored, docs, base = [], [], [], [], [], [], [], [0]
     for r in x.itertuples(index=False):
-        own = np.repeat(np.frombuffer(r.v, np.uint64), np.frombuffer(r.runs, np.uint32))
+        context = np.repeat(np.frombuffer(r.v, np.uint64), np.frombuffer(r.runs, np.uint32))
         docs.append(np.frombuffer(r.docs, np.uint32))
-        v.append(own)
+        v.append(context)
+        spread, of_spread = hot.context(context) > 0, np.zeros(len(context), np.int64)
+        if spread.any():
+            of_spread[spread] = np.frombuffer(r.own, np.uint16 if len(r.own) == 2 * spread.sum() else np.uint32)
+        own.append(of_spread)
         w.append(np.frombuffer(r.w, np.uint64))
-        at.append(base[-1] + np.frombuffer(r.doc, np.uint16 if len(r.doc) == 2 * len(own) else np.uint32).astype(np.int64))
-        counted.append(np.full(len(own), r.counted))
-        scored.append(np.full(len(own), r.scored))
+        at.append(base[-1] + np.frombuffer(r.doc, np.uint16 if len(r.doc) == 2 * len(context) else np.uint32).astype(np.int64))
+        counted.append(np.full(len(context), r.counted))
+        scored.append(np.full(len(context), r.scored))
         base.append(base[-1] + len(docs[-1]))
     if len(x):
-        v, w, at, counted, scored, docs = map(np.concatenate, (v, w, at, counted, scored, docs))
+        v, w, at, own, counted, scored, docs = map(np.concatenate, (v, w, at, own, counted, scored, docs))
         order = np.lexsort((w, v))
-        v, w, at, counted, scored = v[order], w[order], at[order], counted[order], scored[order]
+        v, w, at, own, counted, scored = v[order], w[order], at[order], own[order], counted[order], scored[order]
         new_v = np.concatenate(([True], v[1:] != v[:-1]))
         group_v, group = np.cumsum(new_v) - 1, np.cumsum(new_v | np.concatenate(([True], w[1:] != w[:-1]))) - 1
         two = np.bincount(group, counted)[group]
-        one = np.maximum(np.bincount(group_v, counted)[group_v], hot.context(v))
+        both, one = counted & scored, np.bincount(group_v, counted)[group_v]
+        hot_one = hot.context(v)
+        if both.any():  # a row is scored by the counts of the others
+            two[both] -= own_counts(group[both] * len(docs) + at[both])
+            one[both] -= own_counts(group_v[both] * len(docs) + at[both])
+        one = np.where(hot_one > 0, hot_one - own, one)
         ok = scored & (two > 0)
         sums = np.bincount(at[ok], np.log(two[ok]) - np.log(one[ok]), len(docs))
         counts = np.bincount(at[ok], minlength=len(docs)).astype(np.uint32)
@@ -237,21 +277,26 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
         packed = packed.union(texts.mapInPandas(lambda b: pack(b, buckets, hot, False, True), PACKED))
     got = packed.groupBy("bucket").applyInPandas(lambda x: join_bucket(x, hot), SUMMED)
     parts = got.groupBy("slice").applyInPandas(add_up, SCORED)
-    parts = parts if own else scratch.keep(parts, "parts")
+    parts = scratch.keep(parts, "parts")
+    scratch.release()
     if two:
-        parts = parts.union(texts.mapInPandas(lambda b: scan_hot(b, hot), SCORED))
-    if train is not None:  # what backs off meets the table of single tokens
-
-        def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in slices(batches):
-                u, n = np.unique(np.concatenate([token_hashes(t) for t in x["text"]] or [np.empty(0, np.uint64)]), return_counts=True)
-                yield pd.DataFrame({"w": u.view(np.int64), "c": n})
-
-        single = corpus.mapInPandas(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-        low = parts.where("w is not null").select("doc_id", "n", "w").join(single, "w", "left")
-        gain = F.when(F.col("c").isNull(), F.lit(float(np.log(ALPHA / (total + 1))))).otherwise(F.log(F.lit(ALPHA) * F.col("c") / F.lit(max(1, total))))
-        parts = parts.where("w is null").select("doc_id", "score", "n").union(low.select("doc_id", (gain * F.col("n")).alias("score"), "n"))
-    sums = parts.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
+        parts = parts.union(texts.mapInPandas(lambda b: scan_hot(b, hot, own), SCORED))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in slices(batches):
+            u, n = np.unique(np.concatenate([token_hashes(t) for t in x["text"]] or [np.empty(0, np.uint64)]), return_counts=True)
+            yield pd.DataFrame({"w": u.view(np.int64), "c": n})
+
+    # what backs off meets the table of single words
+    single = scratch.keep(corpus.mapInPandas(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    common = F.col("c") > int(total * SHARE_ONE)
+    low = parts.where("w is not null").select("doc_id", "w", "n")
+    low = low.join(F.broadcast(single.where(common).withColumnRenamed("c", "much")), "w", "left")
+    often = low.where("much is not null").select("doc_id", "n", F.col("much").alias("c"))
+    seldom = low.where("much is null").select("doc_id", "n", "w").join(single.where(~common), "w", "left").select("doc_id", "n", "c")
+    gain = F.when(F.col("c").isNull(), F.lit(float(np.log(ALPHA / (total + 1))))).otherwise(F.log(F.lit(ALPHA) * F.col("c") / F.lit(max(1, total))))
+    low = often.union(seldom).select("doc_id", (gain * F.col("n")).alias("score"), "n")
+    sums = parts.where("w is null").select("doc_id", "score", "n").union(low).groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
     out = texts.select("doc_id").distinct().join(sums, "doc_id", "left")
     n, s = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("score", F.lit(0.0))
     return out.select(F.when(F.col("doc_id") != NULL_DOC, F.col("doc_id")).alias("doc_id"), n.alias("n_tokens"), s.alias("log_score"), F.when(n > 0, s / n).alias("mean_log_score"))
@@ -263,8 +308,10 @@ WITH t AS (
   FROM documents),
 b AS (
   SELECT doc_id, unnest(ws) AS w, unnest(list_concat([''], ws[:-2])) AS v FROM t WHERE len(ws) > 0),
-c AS (SELECT doc_id, ln(count(*) OVER (PARTITION BY v, w)) - ln(count(*) OVER (PARTITION BY v)) AS s FROM b),
+k AS (SELECT doc_id, count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
+  count(*) OVER (PARTITION BY v) - count(*) OVER (PARTITION BY doc_id, v) AS c1, count(*) OVER (PARTITION BY w) AS c0, count(*) OVER () AS n FROM b),
+c AS (SELECT doc_id, CASE WHEN c2 > 0 THEN ln(c2) - ln(c1) ELSE ln(0.4::DOUBLE * c0 / n) END AS s FROM k),
 d AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM c GROUP BY doc_id)
-SELECT k.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(s, 0.0), 4)::DOUBLE AS log_score, round(s / n, 6)::DOUBLE AS mean_log_score
-FROM (SELECT DISTINCT doc_id FROM documents) k LEFT JOIN d ON k.doc_id IS NOT DISTINCT FROM d.doc_id
+SELECT i.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(s, 0.0), 4)::DOUBLE AS log_score, round(s / n, 6)::DOUBLE AS mean_log_score
+FROM (SELECT DISTINCT doc_id FROM documents) i LEFT JOIN d ON i.doc_id IS NOT DISTINCT FROM d.doc_id
 """

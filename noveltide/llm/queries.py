@@ -36,11 +36,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.control_conversation(spark))
-    return chat.read_back(spark, chat.format_turns(spark, rows))
+    return chat.read_back(spark, chat.format_turns(spark, rows, formatted=False))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: tokens, and the bigram score under the counts of the whole table."""
+    """Per document: tokens, and the backoff score under the counts of all other documents."""
     out = lm_score.score(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 

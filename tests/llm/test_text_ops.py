@@ -101,7 +101,7 @@ def test_masks_tolerate_what_they_ignore():
 # --- LM scoring
 
 
-def brute_scores(train, docs):
+def brute_scores(train, docs, leave_out=False):
     toks = lambda t: (t or "").encode().lower().split()
     two, one, uni = Counter(), Counter(), Counter()
     for t in train:
@@ -114,8 +114,11 @@ def brute_scores(train, docs):
     out = []
     for t in docs:
         w, s = toks(t), 0.0
+        pairs = list(zip([None, *w], w)) if leave_out else []
+        own_two, own_one = Counter(pairs), Counter(v for v, _ in pairs)
         for v, x in zip([None, *w], w):
-            s += math.log(two[v, x] / one[v]) if two[v, x] else math.log(M.ALPHA * uni[x] / n) if uni[x] else math.log(M.ALPHA / (n + 1))
+            c2, c1 = two[v, x] - own_two[v, x], one[v] - own_one[v]
+            s += math.log(c2 / c1) if c2 else math.log(M.ALPHA * uni[x] / n) if uni[x] else math.log(M.ALPHA / (n + 1))
         out.append((len(w), s))
     return out
 
@@ -124,7 +127,7 @@ def lm_corpus():
     rnd = random.Random(4)
     words = ["the", "The", "of", "ä", "x,"] * 10 + [f"w{k}" for k in range(80)]
     docs = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60))) for _ in range(80)]
-    return [*docs, None, "", " \t\x0b", "the of " * 300]
+    return [*docs, docs[3], None, "", " \t\x0b", "the of " * 300, "only here " * 200]
 
 
 @pytest.mark.parametrize("bucket", [M.BUCKET, 60])
@@ -133,7 +136,7 @@ def test_scores_match_brute_force(spark, monkeypatch, bucket):
     docs = lm_corpus()
     rows = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate(docs)], "doc_id long, text string, score double").repartition(3)
     got = {r.doc_id: r for r in M.score(spark, rows, bucket=bucket).collect()}
-    for k, (n, s) in enumerate(brute_scores(docs, docs)):
+    for k, (n, s) in enumerate(brute_scores(docs, docs, leave_out=True)):
         assert got[k].n_tokens == n and got[k].log_score == pytest.approx(s, abs=1e-6), k
         assert (got[k].mean_log_score is None) == (n == 0)
 
