@@ -18,14 +18,15 @@ similarity. ``BANDS`` bands of ``ROWS`` places each, every place in three bands,
 share a bucket are candidates. Of pairs of similarity 0.8 about 0.96 share a bucket, of 0.85 0.99, whatever the length
 (``tests/llm/test_line_dedup.py`` measures it).
 
-1. Each member of a bucket is compared with four leaders of the bucket (smallest and largest id, and the same
-   after flipping fixed bits of the id), and links are joined to components. This settles large groups of near copies at
+1. Each member of a bucket is compared with two leaders of the bucket (smallest id, and smallest after flipping fixed
+   bits of the id), and links are joined to components. This settles large groups of near copies at
    a cost in proportion to their members.
 2. What leaders leave apart in a bucket: where at most ``crowd`` members lie outside the bucket's largest component, they
    are compared with all members of other components. Larger buckets are dealt again, by ``FURTHER`` keys of ``DEEPER``
    more places each, and go through steps 1 and 2 as buckets of their own, until none is larger or ``DEPTH`` deals were made;
-   then all are compared. Forms of ``LONG`` shingles or more whose signatures agree in fewer than ``AGREE`` places are
-   passed over (a pair of similarity 0.8 does with probability 0.001); all others are verified.
+   then all are compared. Pairs whose signatures agree in fewer than ``AGREE`` places are passed over (one of similarity
+   0.8 does with probability 0.005), with a form of fewer than ``LONG`` shingles in fewer than ``AGREE_SHORT``, of fewer than
+   ``SHORT`` none; all others are verified, each once.
 
 Nulls and ties: a null text is returned as null; an empty text and blank lines stay. Rows that repeat a doc_id and its
 text are one document and get the same result; rows that share only the doc_id are documents of their own. An empty
@@ -35,6 +36,7 @@ table gives an empty table. Other columns pass through whatever their names.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, whole_row
 
 WIDTH, PLACES, ROWS, N_BANDS, BITS = 5, 32, 6, 16, 26
-LANES, AGREE, LONG = 7, 18, 64
+LANES, AGREE, AGREE_SHORT, LONG, SHORT = 7, 20, 12, 64, 16
 CROWD, FURTHER, DEEPER, DEPTH = 50, 6, 4, 3
 _rnd = random.Random(20_240_601)
 TURN = _rnd.getrandbits(62)
@@ -118,14 +120,14 @@ def agree(l: str, r: str) -> str:
     """SQL for whether two sketches agree in ``AGREE`` places or more; the places of short forms hang together too much to tell."""
     low, high = int("7f" * LANES, 16), int("80" * LANES, 16)
     differ = " + ".join(f"bit_count((({l}.s{k} ^ {r}.s{k}) + {low}L) & {high}L)" for k in range(-(-PLACES // LANES)))
-    return f"(least({l}.n, {r}.n) < {LONG} or {differ} <= {PLACES - AGREE})"
+    return f"{differ} <= {PLACES} - case when least({l}.n, {r}.n) >= {LONG} then {AGREE} when least({l}.n, {r}.n) >= {SHORT} then {AGREE_SHORT} else 0 end"
 
 
 def leader_pairs(members: DataFrame, sketch: DataFrame) -> DataFrame:
     """(x, y), x > y: each member of a bucket with its leaders, where their sketches agree."""
     turned = F.col("a").bitwiseXOR(F.lit(TURN))
-    lead = members.groupBy("band").agg(F.min("a").alias("l0"), F.max("a").alias("l1"), F.min(turned).alias("l2"), F.max(turned).alias("l3"))
-    lead = lead.select("band", F.array_distinct(F.array("l0", "l1", *[F.col(c).bitwiseXOR(F.lit(TURN)) for c in ("l2", "l3")])).alias("l"))
+    lead = members.groupBy("band").agg(F.min("a").alias("l0"), F.min(turned).alias("l1"))
+    lead = lead.select("band", F.array_distinct(F.array("l0", F.col("l1").bitwiseXOR(F.lit(TURN)))).alias("l"))
     pairs = members.join(lead, "band").select("a", F.explode("l").alias("l")).where("a <> l")
     pairs = pairs.select(F.greatest("a", "l").alias("x"), F.least("a", "l").alias("y")).distinct()
     both = pairs.join(sketch.alias("l"), F.expr("x = l.a")).join(sketch.alias("r"), F.expr("y = r.a"))
@@ -178,27 +180,44 @@ def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("word", F.shiftright(at, 6)).join(F.broadcast(words), "word", "left").withColumn("maybe", hit).drop("word", "bits")
 
 
-def linked(members: DataFrame, sig: DataFrame, forms: DataFrame, scratch: Scratch, threshold: float, crowd: int = CROWD) -> DataFrame:
-    """(a, root): the components of the forms that have a near copy."""
-    sketch, groups, edges = sketches(sig), None, None
+def linked(members: DataFrame, sig: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, crowd: int = CROWD, known: DataFrame | None = None) -> DataFrame:
+    """(a, root): the components of the items that have a near copy. ``check`` keeps the pairs (x, y) that are near
+    copies; ``known`` are links found elsewhere."""
+    sketch = sketches(sig)
+    groups = merged(None, known, scratch, "known_groups")
     for deal in range(DEPTH + 1):
-        found = scratch.keep(verify(leader_pairs(members, sketch), forms, threshold), f"edges{deal}")
-        edges = found if groups is None else groups.select("a", "root").union(found)
-        groups = scratch.keep(components(edges, scratch), f"groups{deal}").select(F.col("id").alias("a"), "root")
+        pairs = scratch.keep(leader_pairs(members, sketch), f"pairs{deal}")
+        groups = merged(groups, scratch.keep(check(pairs), f"edges{deal}"), scratch, f"groups{deal}")
         rows = scratch.keep(apart(members, groups), f"apart{deal}")
         crowded = F.col("others") > (crowd if deal < DEPTH else 1 << 62)
-        more = scratch.keep(verify(other_pairs(rows.where(~crowded), sketch), forms, threshold), f"more{deal}")
+        others = other_pairs(rows.where(~crowded), sketch).join(pairs, ["x", "y"], "left_anti")
+        groups = merged(groups, scratch.keep(check(others), f"more{deal}"), scratch, f"all_groups{deal}")
         scratch.release()
-        if not more.isEmpty():
-            groups = scratch.keep(components(groups.union(more), scratch), f"all_groups{deal}").select(F.col("id").alias("a"), "root")
         rest = rows.where(crowded)
         if rest.isEmpty():
             break
         again = scratch.keep(dealt_again(rest, sig, deal), f"dealt{deal}")
         members = scratch.keep(shared(again), f"members{deal + 1}")
+        if members.isEmpty():
+            break
     return groups
 
 
+def merged(groups: DataFrame | None, edges: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
+    """(a, root) with the components that ``edges`` (x, y) connect made one; only roots take part in the search."""
+    if groups is None:
+        if edges is None:
+            return None
+        return scratch.keep(components(edges, scratch).select(F.col("id").alias("a"), "root"), name)
+    if edges.isEmpty():
+        return groups
+    new = edges.join(groups.select(F.col("a").alias("x"), F.col("root").alias("rx")), "x", "left").join(groups.select(F.col("a").alias("y"), F.col("root").alias("ry")), "y", "left")
+    new = scratch.keep(new.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")).where("x <> y").distinct(), f"{name}_new")
+    found = scratch.keep(components(new, scratch), f"{name}_found")
+    old = groups.join(found.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("a", F.coalesce("top", "root").alias("root"))
+    return scratch.keep(old.union(found.select(F.col("id").alias("a"), "root").join(groups.select("a"), "a", "left_anti")), name)
+
+
 def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, threshold: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """(d, k, gone): for each document that loses lines, the places of those lines."""
     sig = scratch.keep(signatures(lines_of(docs)), "signatures")
@@ -211,7 +230,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, thresh
     lines = marked(lines, members.select(F.col("a").alias("key")).distinct()).withColumnRenamed("key", "a")
     occ = scratch.keep(lines.select("d", "k", "p", "a", "b", F.when(F.col("maybe"), F.col("form")).alias("form")), "lines")
     forms = scratch.keep(occ.where("form is not null").groupBy("a").agg(F.min("form").alias("form")), "forms")
-    groups = linked(members, sig, forms, scratch, threshold, crowd)
+    groups = linked(members, sig, lambda pairs: verify(pairs, forms, threshold), scratch, crowd)
     for name in ("signatures", "members", "forms"):
         scratch.drop(name)
     scratch.release()
