@@ -9,6 +9,11 @@ leaves, which are compared exactly. The sample only shapes the tree: the pairs f
 Equal fingerprints are one node, so a group of copies costs one row in the search however large it is, and a
 node has at most 1 + 64 + 2016 partners. Components come from ``common.components``.
 
+``similar_rows`` links texts by the similarity of their shingle sets instead (0.8 or more, five words, as the pipeline
+does). Similarity 0.8 is about 10 of 64 bits, and random fingerprints lie 32 +- 4 bits apart: at a radius that wide the
+triangle bound excludes no branch, and trees would compare all pairs. So the trees give the pairs of up to ``radius``
+bits, bands of minimum hashes those that differ by more, and every pair is verified by the exact similarity.
+
 A null or empty text has fingerprint zero and is linked like any other. Rows that repeat a doc_id stay separate
 rows. A component's id is its smallest non-null doc_id (null if it has none).
 """
@@ -24,26 +29,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
+from .line_dedup import PLACES, bands_of, linked, shared
 
 SEED, BLOCK = 42, 1 << 16
 SHARD, LEAF, SAMPLE_LEAF, SAMPLE_MOST = 4096, 64, 64, 1 << 20
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The contract's fingerprint of one text, unsigned."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles, repeats included, in blocks of bounded size."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - width + 1)
     ends = ends[min(width, len(words)) - 1 :]
-    digest, ones, shifts = xxhash.xxh64_intdigest, np.zeros(64, np.int64), np.arange(64, dtype=np.uint64)
-    for k in range(0, n, BLOCK):  # bounded memory for very long texts
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist())], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    for k in range(0, len(ends), BLOCK):
+        yield np.array([digest(joined[i:j], SEED) for i, j in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist())], np.uint64)
+
+
+def majority(blocks: list[np.ndarray] | Iterator[np.ndarray]) -> int:
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in blocks:
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(((2 * ones > n).astype(np.uint64) << shifts).sum(dtype=np.uint64))
+    return int(((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64)) if n else 0
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The contract's fingerprint of one text, unsigned."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -168,3 +184,74 @@ def row_components(spark: SparkSession, docs: DataFrame, radius: int = 2, width:
     lows = comp.groupBy("root").agg(F.min("low").alias("component_id"))
     comp = comp.join(lows, "root").select("fp", "n_copies", "root", "component_id")
     return rows.join(comp, "fp")
+
+
+def places(blocks: list[np.ndarray]) -> list[int]:
+    """A text's minimum hashes by place, as in ``line_dedup``: empty places borrow by fixed steps."""
+    low = np.full(PLACES, 1 << 31, np.int64)
+    for h in blocks:
+        np.minimum.at(low, (h % np.uint64(PLACES)).astype(np.int64), (h >> np.uint64(33)).astype(np.int64))
+    full, v = low < 1 << 31, (low ^ (low >> 15)) & 65535
+    out = v.copy()
+    for j in np.nonzero(~full)[0].tolist():
+        t = next(t for t in range(1, PLACES) if full[(j + t * (2 * j + 1)) % PLACES])
+        out[j] = (v[(j + t * (2 * j + 1)) % PLACES] + 2039 * t) & 65535
+    return out.tolist()
+
+
+def sketched(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, a, fp, n, v): key is the text's hash, a the same or 0 for texts without words, n the number of shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for text in x["text"]:
+                h = list(shingle_hashes(text, width))
+                out.append((np.uint64(majority(h)).astype(np.int64), sum(map(len, h)), places(h) if h else [0] * PLACES))
+            y = pd.DataFrame(out, columns=["fp", "n", "v"])
+            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64").to_numpy(), "key": x["key"].to_numpy(), "a": np.where(y["n"] > 0, x["key"].to_numpy(), 0), "fp": y["fp"], "n": y["n"], "v": y["v"]})
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return keyed.mapInPandas(run, "doc_id long, key long, a long, fp long, n int, v array<int>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The (x, y) of ``pairs`` whose texts' shingle sets have similarity >= threshold; texts: (a, text), one row per a."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for s, t in zip(b["s"], b["t"]):
+                p, q = (np.unique(np.concatenate(list(shingle_hashes(z, width)) or [np.empty(0, np.uint64)])) for z in (s, t))
+                k = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(k >= threshold * (len(p) + len(q) - k))
+            yield b.loc[keep, ["x", "y"]]
+
+    both = pairs.join(texts.select(F.col("a").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("a").alias("y"), F.col("text").alias("t")), "y")
+    return both.select("x", "y", "s", "t").mapInPandas(run, "x long, y long")
+
+
+def similar_rows(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 2) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key (hash of the text), root (one a component), component_id (its smallest
+    non-null doc_id). Texts without words are copies of each other; texts of fewer words than ``width`` have one shingle."""
+    scratch = Scratch(spark, "similar")
+    rows = scratch.keep(sketched(docs, width), "rows")
+    nodes = scratch.keep(rows.groupBy("a").agg(F.min("doc_id").alias("low"), F.min(F.struct("fp", "n", "v")).alias("s")).select("a", "low", "s.*"), "nodes")
+    sig = nodes.where("n > 0").select("a", "n", "v")
+    prints = scratch.keep(nodes.where("n > 0").groupBy("fp").agg(F.min("a").alias("rep"), F.count("*").alias("k")), "prints")
+    near = scratch.keep(links(spark, prints.select("fp"), radius), "near")
+    rep = prints.select("fp", "rep")
+    close = near.join(rep.withColumnRenamed("fp", "x").withColumnRenamed("rep", "a"), "x").join(rep.withColumnRenamed("fp", "y").withColumnRenamed("rep", "b"), "y").select("a", "b")
+    same = nodes.where("n > 0").join(prints.where("k > 1"), "fp").where("a <> rep").select("a", F.col("rep").alias("b"))
+    close = scratch.keep(close.union(same).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "close")
+    members = scratch.keep(shared(bands_of(sig)), "members")
+    wanted = members.select("a").union(close.select("x")).union(close.select("y")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("a"), "text").join(wanted, "a", "left_semi").groupBy("a").agg(F.min("text").alias("text"))
+    texts = scratch.keep(texts, "texts")
+    check = lambda pairs: verified(pairs, texts, width, threshold)
+    known = scratch.keep(check(close), "known")
+    groups = scratch.keep(linked(members, sig, check, scratch, known=known), "linked")
+    comp = scratch.keep(nodes.select("a", "low").join(groups, "a", "left").select("a", "low", F.coalesce("root", "a").alias("root")), "comp")
+    lows = comp.groupBy("root").agg(F.min("low").alias("component_id"))
+    scratch.keep_only("rows", "comp")
+    return rows.select("doc_id", "key", "a").join(comp.join(lows, "root").select("a", "root", "component_id"), "a").select("doc_id", "key", "root", "component_id")

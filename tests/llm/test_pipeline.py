@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 import sentencepiece as lib
@@ -11,21 +12,24 @@ from .test_line_dedup import brute
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text, width=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
 def test_pipeline_matches_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     items = [decontam.words(r[0]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect()]
     docs = [(d, t) for d, t in docs if t is not None and any(c.isalpha() for c in t)]
     texts = brute(docs)
-    fp = {d: simhash.fingerprint(texts[d]) for d, _ in docs}
+    sets = {d: shingles(texts[d]) for d, _ in docs}
     group = {d: d for d, _ in docs}
-    changed = True
-    while changed:
-        changed = False
-        for a in group:
-            for b in group:
-                if bin(fp[a] ^ fp[b]).count("1") <= 2 and group[a] != group[b]:
-                    group[a] = group[b] = min(group[a], group[b])
-                    changed = True
+    for a in group:
+        for b in list(group)[: list(group).index(a)]:
+            k = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or (k and k >= 0.8 * (len(sets[a]) + len(sets[b]) - k)):
+                low, high = sorted((group[a], group[b]))
+                group.update({d: low for d in group if group[d] == high})
     kept = [d for d in group if group[d] == d]
 
     def leaked(words):
@@ -67,6 +71,43 @@ def test_one_row_of_each_component_survives(spark):
     assert sorted(got, key=str) == sorted([rows[0], rows[1], rows[3], rows[4]], key=str)
 
 
+def test_near_copies_of_similarity_over_the_threshold(spark):
+    """Nine in ten pairs just over the threshold are found, and none below it."""
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    rows, close = [], {}
+    for k in range(200):
+        x = [rnd.choice(vocabulary) for _ in range(rnd.choice((30, 120, 400)))]
+        y = list(x)
+        share = rnd.choice((0.8, 0.6))
+        while True:
+            z = list(y)
+            z[rnd.randrange(len(z))] = rnd.choice(vocabulary)
+            s, t = shingles(" ".join(x)), shingles(" ".join(z))
+            y = z if len(s & t) >= share * len(s | t) or share < 0.8 else y
+            if len(s & t) < share * len(s | t):
+                break
+        close[k] = len(shingles(" ".join(x)) & shingles(" ".join(y))) >= 0.8 * len(shingles(" ".join(x)) | shingles(" ".join(y)))
+        rows += [(2 * k, " ".join(x)), (2 * k + 1, " ".join(y))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_rows(spark, df).collect()}
+    found = {k: got[2 * k + 1] == 2 * k for k in close}
+    assert not any(found[k] for k in close if not close[k]) and all(got[2 * k] == 2 * k for k in close)
+    assert sum(found[k] for k in close if close[k]) >= 0.9 * sum(close.values())
+
+
+def test_large_group_of_near_copies(spark):
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcdefghik") for _ in range(6)) for _ in range(200)]
+    rows = []
+    for d in range(300):
+        x = list(base)
+        x[rnd.randrange(200)] = f"other{d}"
+        rows.append((d, " ".join(x), "en", "s", 0))
+    df = spark.createDataFrame(rows + [(400 + k, None, None, None, None) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.simhash_dedup(spark, df, SF).collect()) == [0, 400]
+
+
 def test_every_operator_has_its_query():
     import __spark_entry__ as entry
 
