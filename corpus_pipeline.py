@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noveltide.llm import decontam, langid, line_dedup, sentencepiece, simhash
-from noveltide.llm.common import Scratch, table
+from noveltide.llm.common import Scratch, table, unpacked, whole_row
 
 #: SQL cannot express these stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -28,13 +28,16 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component: the first by (doc_id, text), a null doc_id last."""
-    found = simhash.row_components(spark, docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("root").alias("__root")).distinct()
-    out = docs.join(keep, (F.xxhash64("text") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    rest = [c for c in docs.columns if c != "text"]
-    first = out.groupBy("__root").agg(F.min(F.struct("text", *rest)).alias("__first"))
-    return first.select(*[F.col(f"__first.{c}").alias(c) for c in docs.columns])
+    """Keeps one row of each group of texts whose sets of five-word shingles have similarity 0.8 or more, links taken
+    together: the first by (doc_id, text, other columns), a null doc_id last. Rows that only share a doc_id, null
+    included, stay apart."""
+    found = simhash.similar_rows(spark, docs)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), "key", "root").distinct()
+    rows = docs.select(F.xxhash64("text").alias("k"), F.col("doc_id").cast("long").alias("d"), whole_row(docs).alias("row"))
+    rows = rows.join(keep, F.expr("k = key and d <=> id"))
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"]
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("row.text").alias("text"), *rest)).alias("row"))
+    return first.select(*unpacked(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
