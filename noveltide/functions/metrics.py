@@ -48,6 +48,21 @@ def gated_score(cue_: Column, r_d: Column, r_b: Column, g_k: Column, delta_d=0.0
     return cue_gate(cue_) * novelty_gate(r_d, delta_d) * (cue_ * (1 + F.lit(alpha) * r_b) + F.lit(lambda_g) * g_k)
 
 
+def shifted_score(cue_: Column, f: Column | float, r_d: Column, r_b: Column, g_k: Column, delta_d=0.0, alpha=1.0, lambda_g=0.0) -> Column:
+    """The calibrated variant: cue less the threshold f in the gate and in the score."""
+    return gated_score(cue_ - (f if isinstance(f, Column) else F.lit(f)), r_d, r_b, g_k, delta_d, alpha, lambda_g)
+
+
+def utility_only(utility: Column, tau: Column | float) -> Column:
+    """The baseline that knows no novelty: the utility where it is feasible."""
+    return feasible_reward(utility, tau, utility)
+
+
+def novelty_only(novelty: Column) -> Column:
+    """The baseline that knows no feasibility: the novelty, whatever the utility."""
+    return F.coalesce(novelty, F.lit(0.0))
+
+
 def feasible_reward(utility: Column, tau: Column | float, reward: Column) -> Column:
     return F.when(utility >= tau, reward).otherwise(0.0)
 

@@ -119,6 +119,17 @@ def parse_verdict(text: Column) -> Column:
     )
 
 
+def parse_judge(text: Column, criteria: list[str]) -> Column:
+    """A judge's ratings as a struct of doubles, from the JSON in its answer; null where there is none, or a criterion is
+    missing or no number, so that the judge drops out."""
+    data = F.from_json(json_object(text), "map<string,string>")
+    values = [F.try_element_at(data, F.lit(c)).try_cast("double") for c in criteria]
+    whole = values[0].isNotNull()
+    for v in values[1:]:
+        whole = whole & v.isNotNull()
+    return F.when(whole, F.struct(*[v.alias(c) for v, c in zip(values, criteria)]))
+
+
 def verifier_feedback(verdict: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(verdict["unresolved_issues"], "; "), F.lit("")), verdict["reason"])
 

@@ -92,3 +92,17 @@ def markdown(rollups: DataFrame) -> str:
         usd = "—" if r.gen_usd is None else f"${r.gen_usd:.6f}" if r.gen_usd < 0.01 else f"${r.gen_usd:.4f}"
         lines.append(f"| {r.provider} | {r.family} | {usd} | {r.gen_calls} |")
     return "\n".join(lines) + "\n"
+
+
+def report(costs: DataFrame, judges: DataFrame, full: DataFrame | None = None) -> DataFrame:
+    """(domain, gen_usd, judge_usd, total_usd, full_usd): generation and judging by domain, and their sum scaled from the
+    sample to the full set (domain, full_rows). Without a generation price the total is the judge's share; a domain
+    without judges has 0 there."""
+    g = costs.groupBy("domain").agg(F.sum("gen_usd").alias("gen_usd"), F.max("prompts").alias("prompts"))
+    r = g.join(judges.select("domain", "judge_usd"), "domain", "left").withColumn("judge_usd", F.coalesce("judge_usd", F.lit(0.0)))
+    r = r.withColumn("total_usd", F.coalesce("gen_usd", F.lit(0.0)) + F.col("judge_usd"))
+    if full is None:
+        return r.select("domain", "gen_usd", "judge_usd", "total_usd", F.col("total_usd").alias("full_usd"))
+    r = r.join(full.select("domain", "full_rows"), "domain", "left")
+    scale = F.coalesce(F.col("full_rows") / F.greatest(F.col("prompts"), F.lit(1)), F.lit(1.0))
+    return r.select("domain", "gen_usd", "judge_usd", "total_usd", (F.col("total_usd") * scale).alias("full_usd"))

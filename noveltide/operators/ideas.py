@@ -131,3 +131,17 @@ def symbol_array(text: Column, buckets: int = 32) -> Column:
 def symbols(df: DataFrame, key: str = "doc_id", column: str = "text", buckets: int = 32) -> DataFrame:
     """(key, pos, sym): each span's symbol, by hash of its lower-cased text."""
     return exploded(df, [key], symbol_array(F.col(column), buckets), "pos", "sym")
+
+
+def idea_symbols(df: DataFrame, key: str, column: str, centroids: DataFrame, weights: list[float] | None = None, bias: float = 0.0, threshold: float = 0.5, dim: int = 64) -> DataFrame:
+    """(key, pos, sym): a text's ideas as codebook symbols. Spans are encoded (each distinct one once), joined to ideas at
+    the boundary detector's breaks (every span is an idea where there is none), and each idea is its nearest centroid's
+    symbol, so rewordings that the encoder puts together share it."""
+    spans = explode_ideas(df, key, column)
+    vectors = dense(hash_encode(spans.select("span").distinct(), ["span"], "span", dim), ["span"], dim)
+    rows = spans.join(vectors, "span")
+    if weights is None:
+        found = rows.select(key, F.col("pos").alias("idea"), "embedding")
+    else:
+        found = merge_spans(rows.withColumn("p", boundary_probability(F.col("embedding"), weights, bias)), key, threshold)
+    return quantize(found, centroids).select(key, F.col("idea").cast("int").alias("pos"), F.concat(F.lit("c"), F.col("cid").cast("string")).alias("sym"))

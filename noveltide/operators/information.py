@@ -31,8 +31,9 @@ def entropy_with_bias(rows: DataFrame, outcome: list[str], group: list[str]) ->
 
 
 def kl(p: DataFrame, q: DataFrame, on: list[str], group: list[str] | None = None) -> DataFrame:
-    """(group..., kl): sum of p ln(p / q) over p's support; null where q lacks a part of it."""
-    j = p.select(*(group or []), *on, F.col("p").alias("__p")).join(q.select(*on, F.col("p").alias("__q")), on, "left").where(F.col("__p") > 0)
+    """(group..., kl): sum of p ln(p / q) over p's support; null where q lacks a part of it. A column of ``on`` that is in
+    ``group`` too conditions both sides, as the prompt does for a policy and its reference."""
+    j = p.select(*dict.fromkeys([*(group or []), *on]), F.col("p").alias("__p")).join(q.select(*on, F.col("p").alias("__q")), on, "left").where(F.col("__p") > 0)
     part = F.when(F.coalesce("__q", F.lit(0.0)) > 0, F.col("__p") * F.log(F.col("__p") / F.col("__q")))
     out = F.when(F.count("*") == F.count(part), F.sum(part)).alias("kl")
     return j.groupBy(*group).agg(out) if group else j.agg(out)

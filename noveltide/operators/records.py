@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltide.functions import metrics as M
-from noveltide.functions.text import parse_verdict, verifier_feedback
+from noveltide.functions.text import parse_verdict, strip, verifier_feedback
 
 
 def _nonempty(c: Column) -> Column:
@@ -62,11 +62,36 @@ def eval_prompt(df: DataFrame) -> Column:
     return F.coalesce(*options)
 
 
+def train_prompt(df: DataFrame) -> Column:
+    """Prompt of the training-corpus path: an idea's parts, a statement with its task line, then prompt, input or text
+    (stripped, none empty), then the first user message with a content, stripped."""
+    cols, options = set(df.columns), []
+    if "research_idea" in cols or {"refined_statement", "formal_statement", "informal_statement", "problem"} & cols:
+        options.append(eval_prompt(df.drop("prompt", "input", "text", "messages")))
+    options += [_nonempty(strip(F.col(c))) for c in ("prompt", "input", "text") if c in cols]
+    if "messages" in cols:
+        options.append(strip(F.get(F.filter("messages", lambda m: (m["role"] == "user") & m["content"].isNotNull()), F.lit(0))["content"]))
+    return F.coalesce(*options)
+
+
+def with_lookup(df: DataFrame, key: str, table: DataFrame, value: str, default: str) -> DataFrame:
+    """``df`` plus ``value`` from the table (key, value), ``default`` where the key is not in it or null."""
+    return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
 def in_math_subset(domain: str | Column) -> Column:
     d = F.col(domain) if isinstance(domain, str) else domain
     return F.coalesce(d.contains("Algebra") | d.contains("Number Theory"), F.lit(False))
 
 
+def without_empty(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which every one of the columns (texts or arrays) is there and not empty."""
+    kinds = dict(df.dtypes)
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ((F.size(c) > 0) if kinds[c].startswith("array") else (F.col(c) != "")))
+    return df
+
+
 def limit_written(df: DataFrame, order: list[str], n: int | None, zero_is_none: bool = True) -> DataFrame:
     """The first n rows in order; 0 keeps nothing, or everything where ``zero_is_none`` is false."""
     if n is None or (n == 0 and not zero_is_none):

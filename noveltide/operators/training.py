@@ -118,3 +118,37 @@ def probes_rotate(batches: DataFrame, probe: str, step: str) -> DataFrame:
 
 def groupthink(rows: DataFrame, gain: str, milestone: str, least: float = 0.7) -> DataFrame:
     return rows.where((F.col(gain) < 0) & (F.col(milestone) < least))
+
+
+def dominates(episodes: DataFrame, key: str, topology: str, gain: str, eps: str, better: str, worse: str) -> DataFrame:
+    """(key, dominates): whether the better topology's gain exceeds the worse's by over twice the worse's estimator error.
+    Keys without an episode of both have no row; of several episodes the first by gain stands."""
+    side = lambda t, a: episodes.where(F.col(topology) == t).groupBy(key).agg(F.min(F.struct(gain, eps)).alias(a))
+    j = side(better, "b").join(side(worse, "w"), key)
+    return j.select(key, (F.col(f"w.{gain}") + 2 * F.col(f"w.{eps}") < F.col(f"b.{gain}")).alias("dominates"))
+
+
+def follows_schedule(corpus: DataFrame, schedule: DataFrame, step: str, item: str) -> DataFrame:
+    """One row: whether the corpus of every step holds the scheduled items, each as often."""
+    n = lambda df, sign: df.select(step, item, F.lit(sign).alias("__n"))
+    differ = n(corpus, 1).union(n(schedule, -1)).groupBy(step, item).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    return differ.limit(1).agg((F.count("*") == 0).alias("follows"))
+
+
+def contained(outputs: DataFrame, corpus: DataFrame, key: str, symbols: str) -> DataFrame:
+    """``outputs`` (key, symbols) plus contained: whether its symbols occur in a row in any corpus row.
+
+    Corpus rows are cut into windows as long as the shortest output; windows meet outputs by the hash of their first
+    symbols, and the whole run is compared where they do. An output without symbols is contained in everything.
+    """
+    shortest = outputs.where(F.size(symbols) > 0).agg(F.min(F.size(symbols))).first()[0] or 1
+    o = outputs.where(F.size(symbols) > 0).select(F.xxhash64(F.slice(symbols, 1, shortest)).alias("__h"), F.col(key).alias("__k"), F.col(symbols).alias("__o")).distinct()
+    starts = F.explode(F.sequence(F.lit(1), F.size(symbols) - shortest + 1)).alias("__i")
+    c = corpus.where(F.size(symbols) >= shortest).select(F.col(symbols).alias("__c"), starts).withColumn("__h", F.xxhash64(F.slice("__c", F.col("__i"), F.lit(shortest))))
+    hit = c.join(o, "__h").where(F.slice("__c", F.col("__i"), F.size("__o")) == F.col("__o")).select(F.col("__k").alias(key)).distinct()
+    return outputs.join(hit.withColumn("__f", F.lit(True)), key, "left").withColumn("contained", F.coalesce("__f", F.size(symbols) == 0)).drop("__f")
+
+
+def live_reward(live: DataFrame, reward: Column) -> DataFrame:
+    """``live`` plus reward. The frozen tables are no argument, so the reward cannot depend on them."""
+    return live.withColumn("reward", reward)
