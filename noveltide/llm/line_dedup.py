@@ -93,13 +93,16 @@ def signatures(forms: DataFrame) -> DataFrame:
     return s.select("a", "n", F.when(F.expr("exists(v, x -> x is null)"), F.expr(f"transform(v, (x, j) -> coalesce(x, {borrowed}))")).otherwise(F.col("v")).alias("v"))
 
 
-def numbers(rows: list[list[int]]) -> str:
-    return "array(" + ", ".join(f"array({', '.join(map(str, row))})" for row in rows) + ")"
+def keyed(rows: DataFrame, deals: list[list[int]], *parts: str) -> DataFrame:
+    """(a, band): a bucket for each deal of places of ``v`` (and of further columns); one row a deal stays inside generated code."""
+    rows = rows.select("a", "v", *parts, F.explode(F.sequence(F.lit(0), F.lit(len(deals) - 1))).alias("j"))
+    place = [f"v[element_at(array({', '.join(str(d[k]) for d in deals)}), j + 1)]" for k in range(len(deals[0]))]
+    return rows.select("a", F.expr(f"xxhash64({', '.join([*parts, 'j', *place])})").alias("band"))
 
 
 def bands_of(sig: DataFrame) -> DataFrame:
     """(a, band): the buckets of each form."""
-    return sig.select("a", F.explode(F.expr(f"transform({numbers(BANDS)}, (js, b) -> xxhash64(b, transform(js, j -> v[j])))")).alias("band"))
+    return keyed(sig, BANDS)
 
 
 def shared(bands: DataFrame) -> DataFrame:
@@ -154,8 +157,7 @@ def other_pairs(rows: DataFrame, sketch: DataFrame) -> DataFrame:
 
 def dealt_again(rows: DataFrame, sig: DataFrame, deal: int) -> DataFrame:
     """(a, band): smaller buckets for the members of ``rows``, by some more places of their signatures."""
-    keys = F.expr(f"transform({numbers(AGAIN[deal])}, (js, k) -> xxhash64(band, k, transform(js, j -> v[j])))")
-    return rows.select("band", "a").join(sig, "a").select("a", F.explode(keys).alias("band"))
+    return keyed(rows.select("band", "a").join(sig, "a"), AGAIN[deal], "band")
 
 
 def verify(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
