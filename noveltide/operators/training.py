@@ -46,7 +46,7 @@ def net_wins(rows: DataFrame, group: str, reward: str, eps: float) -> DataFrame:
     own = f"PARTITION BY `{group}` ORDER BY `{reward}` RANGE BETWEEN"
     wins = f"count(`{reward}`) OVER ({own} UNBOUNDED PRECEDING AND CURRENT ROW) - count(`{reward}`) OVER ({own} {2 * eps!r}D PRECEDING AND CURRENT ROW)"
     losses = f"count(`{reward}`) OVER ({own} CURRENT ROW AND UNBOUNDED FOLLOWING) - count(`{reward}`) OVER ({own} CURRENT ROW AND {2 * eps!r}D FOLLOWING)"
-    return rows.withColumn("net", F.expr(f"({wins}) - ({losses})"))
+    return rows.withColumn("net", F.expr(f"case when `{reward}` is null then 0 else ({wins}) - ({losses}) end"))
 
 
 def rank_reversals(rows: DataFrame, group: str, truth: str, proxy: str) -> DataFrame:
