@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from noveltide.functions import metrics as M
 from noveltide.functions import text as T
-from noveltide.operators import cost, ideas, information, records, training
+from noveltide.operators import cost, ideas, information, lm, records, scores, training
+from noveltide.session import materialize
 from noveltide.streaming import trajectories as streams
 
 from . import creativity as C
 from . import oracle as O
-from .catalog import _CENTROIDS, _CATALOG_SQL, _costs, query, rounded
+from .catalog import _CATALOG_SQL, _CENTROIDS, _TASKS, _costs, query, rounded
 from .tables import table
 
 # --- prompts, judges, predicates
@@ -158,6 +159,70 @@ def idea_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ideas.idea_symbols(table(spark, sf_dir, "benchmark"), "item_id", "text", ideas.centroids_by(e, "label"), [4.0] + [0.0] * 63)
 
 
+def _encoded(p: str, source: str) -> str:
+    """CTEs {p}us (span) and {p}en (span, idx, val): the unit vectors of the distinct spans of ``source``."""
+    sign = "sum(CASE WHEN ('0x' || substr(h, 9, 2))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE)"
+    toks = "regexp_extract_all(lower(span), '[a-z0-9]+')"
+    return f"""{p}us AS (SELECT DISTINCT span FROM {source}),
+  {p}tt AS (SELECT span, tok, count(*) AS m FROM (SELECT span, unnest(CASE WHEN len({toks}) = 0 THEN ['_empty_'] ELSE {toks} END) AS tok FROM {p}us) GROUP BY span, tok),
+  {p}hh AS (SELECT span, m, sha256(i || ':' || tok) AS h FROM {p}tt CROSS JOIN (SELECT unnest(range(8)) AS i)),
+  {p}ee AS (SELECT span, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT % 64 AS idx, {sign.replace('END::DOUBLE', 'END::DOUBLE * m')} AS val FROM {p}hh GROUP BY 1, 2),
+  {p}en AS (SELECT span, idx, val / sqrt(sum(val * val) OVER (PARTITION BY span)) AS val FROM {p}ee)"""
+
+
+def _book(p: str, source: str, key: str) -> str:
+    """CTE {p}sy (key, pos, sym): every span's nearest centroid, from ce (cid, idx, cv) and cc (cid, c2)."""
+    return f"""{p}sp AS (SELECT {key}, (generate_subscripts(spans, 1) - 1)::INTEGER AS pos, unnest(spans) AS span FROM ({O.spans(source, key)})),
+  {_encoded(p, p + 'sp')},
+  {p}nn AS (SELECT span, 'c' || min_by(cid, d) AS sym FROM (SELECT span, cid, any_value(c2) - 2 * sum(val * cv) AS d FROM {p}en JOIN ce USING (idx) JOIN cc USING (cid) GROUP BY span, cid) GROUP BY span),
+  {p}sy AS (SELECT {key}, pos, sym FROM {p}sp JOIN {p}nn USING (span))"""
+
+
+_RECEIVED = f"""tk AS ({_TASKS}),
+  sm AS (SELECT doc_id, id AS task, i AS variant, 'Context:' || chr(10) || substr(trim(text, {O.WS}), 1, 400) || chr(10) || chr(10) || 'Task:' || chr(10) || input || chr(10) || 'Variant-' || i || ': focus angle ' || i || '.' AS text
+    FROM lt CROSS JOIN tk CROSS JOIN (SELECT unnest(range(4)) AS i)),
+  sq AS (SELECT doc_id, task, variant, unnest(spans) AS span FROM ({O.spans('sm', 'doc_id, task, variant')})),
+  {_encoded('r_', 'sq')},
+  cnt AS (SELECT doc_id, task, variant, count(*) AS k FROM sq GROUP BY ALL),
+  me AS (SELECT doc_id, task, variant, idx, sum(val) / any_value(k) AS val FROM sq JOIN r_en USING (span) JOIN cnt USING (doc_id, task, variant) GROUP BY ALL),
+  x2 AS (SELECT doc_id, task, variant, sum(val * val) AS n2 FROM me GROUP BY ALL),
+  dt AS (SELECT doc_id, task, variant, cid, sum(val * cv) AS xc FROM me JOIN ce USING (idx) GROUP BY ALL),
+  dd AS (SELECT doc_id, task, variant, cid, sqrt(greatest(0, n2 + c2 - 2 * xc)) AS d FROM dt JOIN x2 USING (doc_id, task, variant) JOIN cc USING (cid)),
+  sf AS (SELECT doc_id, task, cid, exp(-d) / sum(exp(-d)) OVER (PARTITION BY doc_id, task, variant) AS p FROM dd),
+  sg AS (SELECT doc_id, task, -sum(q * ln(q + 1e-12)) AS h FROM (SELECT doc_id, task, cid, avg(p) AS q FROM sf GROUP BY ALL) GROUP BY ALL),
+  rb AS (SELECT doc_id, greatest(0, least(1, avg(h) / ln((SELECT count(*) FROM cc)))) AS r_b FROM sg GROUP BY doc_id)"""
+
+_TEAMS = """tw AS (SELECT conv_id, turn, role, max(turn) OVER (PARTITION BY conv_id) AS last, ln(greatest(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')), 1) + 1) AS h FROM conversations),
+  tg AS (SELECT conv_id AS doc_id, coalesce(greatest(0.0, max(h) FILTER (turn = last) - max(h) FILTER (role = 'assistant' AND turn < last)), 0.0) AS g_k FROM tw GROUP BY conv_id)"""
+
+
+@query(f"""WITH ce AS (SELECT cid, unnest(range(64)) AS idx, unnest(c) AS cv FROM ({_CENTROIDS})), cc AS (SELECT cid, sum(cv * cv) AS c2 FROM ce GROUP BY cid),
+  lt AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id)), {_book('d_', 'lt', 'doc_id')}, sy AS (SELECT * FROM d_sy), {_book('b_', 'benchmark', 'item_id')}, ps AS (SELECT * FROM b_sy),
+  pt AS ({O.padded('ps', 'item_id', '<s>')}),{O.model('pt')}, pp AS ({O.padded('ps', 'item_id')}), {O.TAILS}, {O.NOVELTY}, {O.BELIEFS}, {_RECEIVED}, {_TEAMS},
+  sc AS (SELECT doc_id, domain, cue, round(coalesce(r_d, 0.0), 9) AS r_d, coalesce(r_b, 0.0) AS r_b, coalesce(g_k, 0.0) AS g_k, CASE WHEN g_k IS NULL THEN 0.0 ELSE 0.001 END::DOUBLE AS lam FROM cu LEFT JOIN rd USING (doc_id) LEFT JOIN rb USING (doc_id) LEFT JOIN tg USING (doc_id))
+  SELECT doc_id, domain, round(cue, 9) AS cue, round(r_d, 4) AS r_d, round(r_b, 6) AS r_b, round(g_k, 6) AS g_k, round((cue > 0)::INT * (r_d > 0)::INT * (cue * (1 + r_b) + lam * g_k), 9) AS score FROM sc""")
+def team_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole score of labelled documents: novelty of codebook symbols, expansion by the receiver, and the team's gain,
+    for which the conversation of the same number stands."""
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("doc_id", "text")
+    e = table(spark, sf_dir, "embeddings")
+    centroids = materialize(ideas.centroids_by(e, "label").coalesce(1), "codebook")
+    syms = materialize(ideas.idea_symbols(labelled, "doc_id", "text", centroids), "symbols")
+    probes = materialize(ideas.idea_symbols(table(spark, sf_dir, "benchmark"), "item_id", "text", centroids), "probes")
+    model = C.train(probes, "item_id")
+    r_d = lm.structural_novelty(lm.tails(syms), probes, model.p, model.b)
+    r_b = C.receiver_expansion(labelled, C.battery(spark), centroids, centroids.count(), "doc_id")
+    c = table(spark, sf_dir, "conversations")
+    c = c.join(c.groupBy("conv_id").agg(F.max("turn").alias("last")), "conv_id")
+    g = records.length_gain(c, "conv_id", (F.col("role") == "assistant") & (F.col("turn") < F.col("last")), F.col("turn") == F.col("last")).select(F.col("conv_id").alias("doc_id"), "g_k")
+    rows = scores.with_cue(C.beliefs(spark, sf_dir)).select("doc_id", F.col("lang").alias("domain"), "cue")
+    rows = rows.join(r_d, "doc_id", "left").join(r_b, "doc_id", "left").join(g, "doc_id", "left")
+    lam = M.effective_lambda(F.col("g_k").isNotNull(), 0.0, 0.001)
+    rows = rows.select("doc_id", "domain", "cue", F.round(F.coalesce("r_d", F.lit(0.0)), 9).alias("r_d"), F.coalesce("r_b", F.lit(0.0)).alias("r_b"), F.coalesce("g_k", F.lit(0.0)).alias("g_k"), lam.alias("lam"))
+    one = M.cue_gate(F.col("cue")) * M.novelty_gate(F.col("r_d"), 0.0) * (F.col("cue") * (1 + F.col("r_b")) + F.col("lam") * F.col("g_k"))
+    return rows.select("doc_id", "domain", F.round("cue", 9).alias("cue"), F.round("r_d", 4).alias("r_d"), F.round("r_b", 6).alias("r_b"), F.round("g_k", 6).alias("g_k"), F.round(one, 9).alias("score"))
+
+
 @query(f"""WITH d AS (SELECT lang AS domain, count(*) AS prompts, sum(ceil(length(text) / 4)::BIGINT)::BIGINT AS input_tokens, sum(ceil((length(text) + 200 + 3200) / 4)::BIGINT)::BIGINT AS judge_in FROM documents GROUP BY lang),
   g AS (SELECT domain, sum(input_tokens * p_in + prompts * 5 * 800 * p_out) AS gen_usd, max(prompts) AS prompts, any_value(judge_in) AS judge_in FROM d CROSS JOIN {_CATALOG_SQL} GROUP BY domain),
   j AS (SELECT *, judge_in * 5 * 1.5e-07::DOUBLE + prompts * 5 * 80 * 6e-07::DOUBLE AS judge_usd FROM g)
