@@ -45,7 +45,7 @@ from .common import Scratch, components, whole_row
 
 WIDTH, PLACES, ROWS, N_BANDS, BITS = 5, 32, 6, 16, 26
 LANES, AGREE, AGREE_SHORT, LONG, SHORT = 7, 20, 12, 64, 16
-CROWD, FURTHER, DEEPER, DEPTH = 50, 6, 4, 3
+CROWD, FURTHER, DEEPER, DEPTH = 250, 6, 4, 2
 _rnd = random.Random(20_240_601)
 TURN = _rnd.getrandbits(62)
 
@@ -185,7 +185,9 @@ def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def linked(members: DataFrame, sig: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, crowd: int = CROWD, known: DataFrame | None = None) -> DataFrame:
     """(a, root): the components of the items that have a near copy. ``check`` keeps the pairs (x, y) that are near
     copies; ``known`` are links found elsewhere."""
-    sketch = sketches(sig)
+    # the rounds read the signatures of members only
+    sig = scratch.keep(sig.join(members.select("a").distinct(), "a", "left_semi"), "member_signatures")
+    sketch = scratch.keep(sketches(sig), "sketches")
     groups = merged(None, known, scratch, "known_groups")
     for deal in range(DEPTH + 1):
         pairs = scratch.keep(leader_pairs(members, sketch), f"pairs{deal}")
