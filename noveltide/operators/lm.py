@@ -70,6 +70,20 @@ def backoffs(c: DataFrame, p: DataFrame, normalized: bool = False) -> DataFrame:
     return mass.join(context_totals(c), ["n", "ctx"]).select((F.col("n") - 1).alias("n"), "ctx", bow.alias("bow"))
 
 
+def closed(p: DataFrame) -> DataFrame:
+    """``p`` plus an entry of no mass for each context that is no n-gram of its own, as readers of back-off files expect."""
+    contexts = p.where("n > 1").select((F.col("n") - 1).alias("n"), F.when(F.col("n") == 2, "").otherwise(F.substring_index("ctx", " ", 1)).alias("ctx"), F.substring_index("ctx", " ", -1).alias("w")).distinct()
+    return p.unionByName(contexts.join(p, ["n", "ctx", "w"], "left_anti").withColumn("p", F.lit(UNK_P)))
+
+
+def arpa_entries(p: DataFrame, b: DataFrame) -> DataFrame:
+    """(n, gram, log10p, log10bow): the entries of an ARPA file; the longest n-grams have no back-off weight."""
+    gram = F.trim(F.concat_ws(" ", "ctx", "w"))
+    rows = closed(p).select("n", gram.alias("gram"), F.log10(F.greatest("p", F.lit(UNK_P))).alias("log10p"))
+    bow = b.select("n", F.col("ctx").alias("gram"), F.log10(F.greatest("bow", F.lit(UNK_P))).alias("log10bow"))
+    return rows.join(bow, ["n", "gram"], "left").withColumn("log10bow", F.when(F.col("n") < 3, F.coalesce("log10bow", F.lit(0.0))))
+
+
 def token_bits(tokens: DataFrame, p: DataFrame, b: DataFrame) -> DataFrame:
     """``tokens`` (with w, c1, c2) plus bits: the longest n-gram known, times the backoffs passed on the way.
 

@@ -242,6 +242,16 @@ def mean_input_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("domain", "prompts", F.round("mean_tokens", 6).alias("mean_tokens"))
 
 
+@query(f"""WITH sy AS ({O.symbols('documents', 'doc_id')}), pd AS ({O.padded('sy', 'doc_id', '<s>')}),{O.model('pd')},
+  cx AS (SELECT DISTINCT n - 1 AS n, CASE WHEN n = 2 THEN '' ELSE string_split(ctx, ' ')[1] END AS ctx, string_split(ctx, ' ')[-1] AS w FROM pr WHERE n > 1),
+  al AS (SELECT n, ctx, w, p FROM pr UNION ALL SELECT n, ctx, w, 1e-99 FROM cx WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.n = cx.n AND pr.ctx = cx.ctx AND pr.w = cx.w)),
+  gr AS (SELECT n, trim(ctx || ' ' || w) AS gram, greatest(p, 1e-99) AS p FROM al)
+  SELECT gr.n::INTEGER AS n, gram, round(log10(p), 6) AS log10p, CASE WHEN gr.n < 3 THEN round(coalesce(log10(bow), 0.0), 6) END AS log10bow FROM gr LEFT JOIN bo ON bo.n = gr.n AND bo.ctx = gram""")
+def arpa_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = C.train(ideas.symbols(table(spark, sf_dir, "documents"), buckets=C.BUCKETS))
+    return rounded(lm.arpa_entries(m.p, m.b), "log10p", "log10bow")
+
+
 # --- streams, what the watermark has closed
 
 

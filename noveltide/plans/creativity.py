@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,14 @@ class Model:
     p: DataFrame
     b: DataFrame
 
+    def save(self, path: str) -> None:
+        self.p.coalesce(1).write.mode("overwrite").parquet(f"{path}/p")
+        self.b.coalesce(1).write.mode("overwrite").parquet(f"{path}/b")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Model":
+        return Model(spark.read.parquet(f"{path}/p"), spark.read.parquet(f"{path}/b"))
+
 
 def train(symbols: DataFrame, key: str = "doc_id") -> Model:
     c = materialize(lm.counts(symbols, key).coalesce(1), "ngrams")
@@ -101,11 +110,22 @@ def receiver_samples(outputs: DataFrame, tasks: DataFrame, n: int, key: str, tex
     return ideas.exploded(grid, [key, F.col("id").alias("task"), "variant"], split_ideas(sample), "pos", "span").drop("pos")
 
 
-def receiver_expansion(outputs: DataFrame, tasks: DataFrame, centroids: DataFrame, k: int, key: str, n: int = 4, dim: int = 64, temperature: float = 1.0) -> DataFrame:
+#: Receivers by name: (outputs, tasks, n, key) -> (key, task, variant, span). Encoders by name: (spans, dim) -> (span, embedding).
+RECEIVERS: dict[str, Callable[..., DataFrame]] = {"hash": receiver_samples}
+ENCODERS: dict[str, Callable[..., DataFrame]] = {"hash": lambda spans, dim: ideas.dense(ideas.hash_encode(spans, ["span"], "span", dim), ["span"], dim)}
+
+
+def chosen(registry: dict[str, Callable[..., DataFrame]], name: str) -> Callable[..., DataFrame]:
+    if name not in registry:
+        raise ValueError(f"{name!r} is not registered; there are {sorted(registry)}")
+    return registry[name]
+
+
+def receiver_expansion(outputs: DataFrame, tasks: DataFrame, centroids: DataFrame, k: int, key: str, n: int = 4, dim: int = 64, temperature: float = 1.0, receiver: str = "hash", encoder: str = "hash") -> DataFrame:
     """(key, r_b). Each distinct span is encoded once."""
-    spans = receiver_samples(outputs, tasks, n, key)
+    spans = chosen(RECEIVERS, receiver)(outputs, tasks, n, key)
     unique = spans.select("span").distinct()
-    vectors = ideas.dense(ideas.hash_encode(unique, ["span"], "span", dim), ["span"], dim)
+    vectors = chosen(ENCODERS, encoder)(unique, dim)
     grouped = spans.join(vectors, "span").groupBy(key, "task", "variant").agg(F.collect_list("embedding").alias("e"))
     mean = F.transform(F.aggregate("e", F.array_repeat(F.lit(0.0), dim), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)), lambda v: v / F.size("e"))
     h = ideas.soft_entropy(grouped.select(key, "task", mean.alias("embedding")), [key, "task"], centroids, temperature)

@@ -53,12 +53,13 @@ def revise_loop(verdicts: DataFrame, max_rounds: int = 2) -> DataFrame:
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, done = state.get if state.exists else (0, False)
         rows = []
-        for _, r in pd.concat(list(batches)).sort_values("seq").iterrows():
+        x = pd.concat(list(batches)).sort_values("seq")
+        for approved, text in zip(x["approved"], x["text"]):
             if done:
                 break
-            n, ok = n + 1, bool(r["approved"])
+            n, ok = n + 1, bool(approved)
             done = ok or n >= most
-            rows.append((key[0], n, ok, r["text"], done))
+            rows.append((key[0], n, ok, text, done))
         state.update((n, done))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in REVISED.split(", ")])
 

@@ -78,3 +78,21 @@ def test_idea_symbols_and_materialize(spark):
     first = ideas.dense(ideas.hash_encode(spark.createDataFrame([(7, "alpha beta"), (8, "gamma")], "cid int, t string"), ["cid"], "t"), ["cid"], 64)
     got = materialize(ideas.idea_symbols(texts, "id", "text", first.withColumnRenamed("embedding", "centroid")), "test")
     assert sorted(map(tuple, got.collect())) == [(1, 0, "c7"), (1, 1, "c7"), (1, 2, "c8")]
+
+
+def test_model_files_closure_and_registries(spark, tmp_path):
+    import pytest
+
+    from noveltide.operators import lm
+    from noveltide.plans import creativity as C
+
+    syms = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a")], "doc_id int, pos int, sym string")
+    m = C.train(syms)
+    m.save(str(tmp_path))
+    back = C.Model.load(spark, str(tmp_path))
+    assert sorted(map(tuple, back.p.collect())) == sorted(map(tuple, m.p.collect()))
+    cut = m.p.where("not (n = 2 and ctx = 'a' and w = 'b')")
+    entries = {(r.n, r.gram): r.log10p for r in lm.arpa_entries(cut, m.b).collect()}
+    assert entries[2, "a b"] == -99.0 and all(g.rsplit(" ", 1)[0] in {x for k, x in entries if k == n - 1} for n, g in entries if n > 1)
+    with pytest.raises(ValueError, match="not registered"):
+        C.receiver_expansion(syms, syms, syms, 2, "doc_id", receiver="none")
