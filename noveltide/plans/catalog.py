@@ -635,14 +635,19 @@ def response_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", records.response_text(c, "1").alias("response"))
 
 
-@query()
+_MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query(f"""SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS value_sum FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, value FROM (SELECT event_id, min(ts) AS ts, any_value(event_type) AS event_type, any_value(value) AS value FROM events GROUP BY event_id))
+  WHERE start + INTERVAL 1 HOUR <= {_MARK} GROUP BY 1, 2""")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly windows from a stream without repeats; the last ones wait for the watermark."""
+    """Hourly windows from a stream without repeats: those that the watermark has closed; later ones wait for it."""
     import uuid
 
     e = streams.without_repeats(streams.event_stream(spark, f"{sf_dir}/events.parquet*"))
     g = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value_sum"))
-    return rounded(streams.run_available(g.select(F.col("window.start").alias("start"), "event_type", "n", "value_sum"), f"windows_{uuid.uuid4().hex[:8]}"), "value_sum", places=4)
+    out = streams.run_available(g.select(F.col("window.start").alias("start"), "event_type", "n", "value_sum"), f"windows_{uuid.uuid4().hex[:8]}")
+    return rounded(out, "value_sum", places=4).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # --- pages
@@ -663,22 +668,26 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(streams.windowed(e, late=None), "value_sum", places=4).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+_SESSIONS = """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS value_sum FROM s GROUP BY user_id, k""")
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS value_sum FROM s GROUP BY user_id, k"""
+
+
+@query(_SESSIONS)
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     s = rounded(streams.sessions(e, late=None), "value_sum", places=4)
     return s.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query()
+@query(f'SELECT * FROM ({_SESSIONS}) WHERE "end" <= {_MARK}')
 def stream_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sessions from a stream with a watermark; the last ones wait for it."""
+    """The same sessions from a stream: those that the watermark has closed; later ones wait for it."""
     import uuid
 
     e = streams.event_stream(spark, f"{sf_dir}/events.parquet*")
-    return rounded(streams.run_available(streams.sessions(e), f"sessions_{uuid.uuid4().hex[:8]}"), "value_sum", places=4)
+    s = rounded(streams.run_available(streams.sessions(e), f"sessions_{uuid.uuid4().hex[:8]}"), "value_sum", places=4)
+    return s.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 # --- plain relational work
