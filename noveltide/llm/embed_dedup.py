@@ -11,7 +11,9 @@ adds up link counts and reduces the links it has seen to a spanning forest. Comp
 ``common.components``.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors of different
-length never link. Rows that repeat a vec_id stay separate rows. Labels are not read.
+length never link. Rows that repeat a vec_id stay separate rows; those of a component's smallest vec_id are all kept. A
+null vec_id is never kept. A cosine of exactly the threshold links. An empty table gives an empty table. Labels and other
+columns are not read.
 """
 
 from __future__ import annotations

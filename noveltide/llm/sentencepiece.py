@@ -14,7 +14,8 @@ continues another exactly when merging their joined text from scratch gives thos
 running the merges, and remembered. (A search for the best sum of scores would give other pieces than the model's own
 merges do.) Characters without a piece are edges of their own and become byte pieces.
 
-Null text gives null ids, empty text none. Only identity-normalised byte-pair models with byte fallback and a dummy
+Null text gives null ids, empty text none. Repeated rows get the same ids each, an empty table gives an empty table.
+Other columns pass through; one with the name of a result is replaced by it. No ties arise: merges decide all. Only identity-normalised byte-pair models with byte fallback and a dummy
 prefix are read; others raise ValueError. The model is read once, on the driver; executors get its piece list.
 """
 

@@ -15,7 +15,8 @@ triangle bound excludes no branch, and trees would compare all pairs. So the tre
 bits, bands of minimum hashes those that differ by more, and every pair is verified by the exact similarity.
 
 A null or empty text has fingerprint zero and is linked like any other. Rows that repeat a doc_id stay separate
-rows. A component's id is its smallest non-null doc_id (null if it has none).
+rows. A component's id is its smallest non-null doc_id (null if it has none). A bit set in exactly half of the shingles
+is 0. An empty table gives an empty table. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
