@@ -11,7 +11,7 @@ null items match nothing. Repeated rows get the same result each; an empty table
 leaves all clean. Benchmark rows that share an item_id are searched one by one, under a key of the row. Of overlaps of
 one length the items are all listed. Other columns pass through; one with the name of a result is replaced by it.
 
-The benchmark side is joined inside the scan while its seeds number at most ``MOST_SEEDS`` (its size is counted
+The benchmark side is joined inside the scan while its seeds and its items number at most ``MOST_SEEDS`` each (counted
 first); beyond that seeds of both sides meet in a shuffled join. Both ways run the same hashing and verification.
 """
 
@@ -136,7 +136,8 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, most_s
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     items = items.withColumn("key", F.xxhash64("item_id", "text"))
     bench = item_seeds(items)
-    if bench.limit(most_seeds + 1).count() > most_seeds:
+    # items without a seed, which are short, count as well
+    if bench.limit(most_seeds + 1).count() > most_seeds or items.limit(most_seeds + 1).count() > most_seeds:
         return _shuffled(spark, docs, items, bench, prefix)
     found = bench.toPandas()
     order = np.lexsort((found["pos"], found["item"], found["seed"]))
