@@ -1,7 +1,9 @@
 """A corpus pipeline: language ID, line dedup, SimHash near-dedup, decontamination, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it returns is written as
-Parquet and reread as the next one's ``docs``. All but the last return the columns of ``documents``.
+Parquet and reread as the next one's ``docs``. All but the last return the columns of ``documents``. Null
+and repeated doc_ids stay rows of their own in every stage; language ID drops null texts, the other stages take them (a null
+text has no lines and no words, is clean, and has null ids). Empty tables give empty tables.
 """
 
 from __future__ import annotations
