@@ -194,7 +194,8 @@ def scan_hot(batches: Iterator[pd.DataFrame], hot: Hot, leave_out: bool) -> Iter
                 out.append((d, float((np.log(two[ok]) - np.log(one[ok])).sum()), int(ok.sum()), None))
                 u, n = np.unique(w[at & ~ok], return_counts=True)
                 out += [(d, 0.0, k, h) for h, k in zip(u.view(np.int64).tolist(), n.tolist())]
-        yield pd.DataFrame(out, columns=["doc_id", "score", "n", "w"]).astype({"doc_id": "Int64", "w": "Int64"})
+        d, s, n, w = zip(*out) if out else ((), (), (), ())  # hashes beside nulls must not become floats
+        yield pd.DataFrame({"doc_id": pd.array(d, "Int64"), "score": np.array(s, float), "n": np.array(n, np.int64), "w": pd.array(w, "Int64")})
 
 
 def join_bucket(x: pd.DataFrame, hot: Hot) -> pd.DataFrame:
