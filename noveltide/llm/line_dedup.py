@@ -72,6 +72,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.where("line <> ''").select("d", "k", "p", F.btrim("line", F.lit(" \t\r")).alias("form"))
 
 
+def shingles(form: str) -> str:
+    """SQL for the set of a form's shingles, as 64-bit hashes, from its UTF-16 bytes."""
+    return f"array_distinct(transform(sequence(0, cast(length({form}) / 2 as int) - {WIDTH}), i -> xxhash64(substring({form}, 2 * i + 1, {2 * WIDTH}))))"
+
+
 def windows(rows: DataFrame, form: str, *keep: str) -> DataFrame:
     """(keep..., x): the 64-bit hash of every shingle of a form, repeats included. One row a shingle stays inside generated code."""
     u = rows.select(*keep, F.encode(form, "UTF-16BE").alias("u"))
@@ -161,13 +166,12 @@ def dealt_again(rows: DataFrame, sig: DataFrame, deal: int) -> DataFrame:
 
 def verify(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     """The (x, y) of ``pairs`` whose forms have exact Jaccard similarity >= threshold; forms: (a, form), one row per a."""
-    both = pairs.withColumnRenamed("y", "l").join(forms.select(F.col("a").alias("l"), F.col("form").alias("fl")), "l")
-    both = both.withColumnRenamed("x", "r").join(forms.select(F.col("a").alias("r"), F.col("form").alias("fr")), "r")
-    sides = both.select("l", "r", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("fl").alias("form")), F.struct(F.lit(2).alias("side"), F.col("fr").alias("form")))).alias("f")).select("l", "r", "f.side", "f.form")
-    # the exchange of the second join, by r, serves both aggregates: r is a member of many, l a leader of few
-    each = windows(sides, "form", "l", "r", "side").groupBy("l", "r", "x").agg(F.bit_or("side").alias("of"))
-    sizes = each.groupBy("l", "r").agg(F.sum(F.when(F.col("of") == 3, 1).otherwise(0)).alias("k"), F.count("*").alias("n"))
-    return sizes.where(F.col("k") >= F.lit(threshold) * F.col("n")).select(F.col("r").alias("x"), F.col("l").alias("y"))
+    # leaders of many first, so that the texts are compared where the second join deals them, by member
+    both = pairs.join(forms.select(F.col("a").alias("y"), F.col("form").alias("fy")), "y").join(forms.select(F.col("a").alias("x"), F.col("form").alias("fx")), "x")
+    # texts and sets are bound to variables of lambdas so that each is made once
+    sets = f"transform(array(struct(encode(fx, 'UTF-16BE') as x, encode(fy, 'UTF-16BE') as y)), u -> struct({shingles('u.x')} as x, {shingles('u.y')} as y))"
+    sizes = f"transform({sets}, t -> struct(size(array_intersect(t.x, t.y)) as k, size(t.x) + size(t.y) as n))"
+    return both.where(f"exists({sizes}, r -> r.k >= {threshold}D * (r.n - r.k))").select("x", "y")
 
 
 def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:

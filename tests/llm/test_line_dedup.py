@@ -114,8 +114,10 @@ def test_plan_has_no_python(spark, tmp_path):
 
 @pytest.mark.parametrize("form", ["a b c", "one  two", "x" * 30, "ab " * 10, "été là-bas, où ça"])
 def test_shingles(spark, form):
-    got = [r.x for r in L.windows(spark.createDataFrame([(form,)], "form string"), "form").collect()]
+    df = spark.createDataFrame([(form,)], "form string")
+    got = [r.x for r in L.windows(df, "form").collect()]
     assert len(got) == len(form) - L.WIDTH + 1 and len(set(got)) == len(shingle_set(form))
+    assert set(df.selectExpr("encode(form, 'UTF-16BE') AS u").selectExpr(f"{L.shingles('u')} AS s").first().s) == set(got)
 
 
 def test_pairs_without_a_leader_in_crowded_buckets(spark):
