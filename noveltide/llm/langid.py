@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import beside
 
-TOP, PER_LANG, PIECE = 400, 2000, 1 << 20
+TOP, PER_LANG, PIECE, MOST_SENT = 400, 2000, 1 << 20, 10_000
 OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -67,7 +67,8 @@ def train_profiles(rows: DataFrame, per_lang: int = PER_LANG, top: int = TOP) ->
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     # a share of the hash's range, in doubles, which no number of rows overflows
     share = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(sizes, "lang").where(share * F.col("n") < float(per_lang))
+    few = sizes.limit(MOST_SENT + 1).count() <= MOST_SENT  # the sizes are sent to the scan only where they are few
+    picked = rows.join(F.broadcast(sizes) if few else sizes, "lang").where(share * F.col("n") < float(per_lang))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
