@@ -14,10 +14,10 @@ each).
 Hot contexts (over ``BUCKET`` / 4 tokens and a ``SHARE`` of all, so at most 1 / SHARE of them) are counted beforehand
 by a pre-aggregated sum; their bigrams are spread over all buckets by both words, with the row's own count of the
 context. Hot bigrams (the same bounds) are counted likewise and scored inside the scan, so no bucket receives them. What
-the driver gets is those hot counts, at most 2 / SHARE of them.
+the driver gets is those hot counts, at most 3 / SHARE of them.
 
-What backs off meets the table of single words in a join by hash; words of more than a ``SHARE_ONE`` of all tokens (at
-most 1 / SHARE_ONE of them) meet it by broadcast.
+What backs off to a word of more than a ``SHARE`` of all tokens (at most 1 / SHARE of them, whose counts go with the tasks)
+is scored in its bucket; other words meet the table of single words in a join by hash.
 
 Null and empty texts have no tokens, a score of 0 and a null mean. Rows that share a doc_id (null included) are parts
 of one document, scored each without itself and summed. Repeated rows are rows of their own, so copies know each other.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ALPHA, BUCKET, SHARE, SHARE_ONE, SLICE = 0.4, 1_200_000, 1e-5, 1e-3, 6_000_000
+ALPHA, BUCKET, SHARE, SLICE = 0.4, 1_200_000, 1e-5, 6_000_000
 BEGIN = xxhash.xxh64_intdigest(b"begin of document", 1)
 
 
@@ -98,9 +98,12 @@ def heavy(texts: DataFrame, pair: bool, only: np.ndarray | None, scratch: Scratc
 
 
 class Hot:
-    """Sorted arrays of hot contexts and bigrams with their counts."""
+    """Sorted arrays of hot contexts, bigrams and words with their counts, and the number of tokens."""
 
-    def __init__(self, one: dict, two: dict):
+    def __init__(self, one: dict, two: dict, words: dict, total: int):
+        self.total = max(1, total)
+        self.word = np.array(sorted(words), np.uint64)
+        self.word_n = np.array([words[int(k)] for k in self.word], np.int64)
         self.v = np.array(sorted(one), np.uint64)
         self.n = np.array([one[int(k)] for k in self.v], np.int64)
         a, b = (np.array([k[i] for k in two], np.uint64) for i in (0, 1))
@@ -115,6 +118,13 @@ class Hot:
         at = np.minimum(np.searchsorted(self.v, v), len(self.v) - 1)
         return np.where(self.v[at] == v, self.n[at], 0)
 
+    def single(self, w: np.ndarray) -> np.ndarray:
+        """Counts of hot words, 0 for others."""
+        if not len(self.word):
+            return np.zeros(len(w), np.int64)
+        at = np.minimum(np.searchsorted(self.word, w), len(self.word) - 1)
+        return np.where(self.word[at] == w, self.word_n[at], 0)
+
     def bigram(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Counts of hot bigrams, 0 for others."""
         if not len(self.key):
@@ -231,10 +241,15 @@ def join_bucket(x: pd.DataFrame, hot: Hot) -> pd.DataFrame:
             one[both] -= own_counts(group_v[both] * len(docs) + at[both])
         one = np.where(hot_one > 0, hot_one - own, one)
         ok = scored & (two > 0)
-        sums = np.bincount(at[ok], np.log(two[ok]) - np.log(one[ok]), len(docs))
+        gain, left = np.zeros(len(v)), scored & (two == 0)
+        gain[ok] = np.log(two[ok]) - np.log(one[ok])
+        c = np.where(left, hot.single(w), 0)
+        gain[c > 0] = np.log(ALPHA * c[c > 0] / hot.total)
+        ok |= c > 0
+        left &= c == 0
+        sums = np.bincount(at[ok], gain[ok], len(docs))
         counts = np.bincount(at[ok], minlength=len(docs)).astype(np.uint32)
         out += [(int(k), 1, docs[i:j].tobytes(), sums[i:j].tobytes(), counts[i:j].tobytes()) for k, i, j, s in zip(x["slice"], base[:-1], base[1:], x["scored"]) if s]
-        left = scored & (two == 0)
         if left.any():
             part = np.searchsorted(base, at[left], "right") - 1
             more = pd.DataFrame({"slice": x["slice"].to_numpy()[part], "d": docs[at[left]], "w": w[left].view(np.int64)})
@@ -271,7 +286,15 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
     corpus = texts if train is None else train.select(F.lit(0).cast("long").alias("doc_id"), "text")
     one, total = heavy(corpus, False, None, scratch, "contexts", bucket, None)
     two = heavy(corpus, True, np.array(sorted(one), np.uint64), scratch, "bigrams", bucket, total)[0] if one else {}
-    hot, buckets = Hot(one, two), max(1, -(-total // bucket))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in slices(batches):
+            u, n = np.unique(np.concatenate([token_hashes(t) for t in x["text"]] or [np.empty(0, np.uint64)]), return_counts=True)
+            yield pd.DataFrame({"w": u.view(np.int64), "c": n})
+
+    single = scratch.keep(corpus.mapInPandas(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    often = {int(np.int64(w).view(np.uint64)): c for w, c in single.where(F.col("c") > int(total * SHARE)).collect()}
+    hot, buckets = Hot(one, two, often, total), max(1, -(-total // bucket))
     own = train is None
     packed = corpus.mapInPandas(lambda b: pack(b, buckets, hot, True, own), PACKED)
     if train is not None:
@@ -283,20 +306,10 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
     if two:
         parts = parts.union(texts.mapInPandas(lambda b: scan_hot(b, hot, own), SCORED))
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in slices(batches):
-            u, n = np.unique(np.concatenate([token_hashes(t) for t in x["text"]] or [np.empty(0, np.uint64)]), return_counts=True)
-            yield pd.DataFrame({"w": u.view(np.int64), "c": n})
-
-    # what backs off meets the table of single words
-    single = scratch.keep(corpus.mapInPandas(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
-    common = F.col("c") > int(total * SHARE_ONE)
-    low = parts.where("w is not null").select("doc_id", "w", "n")
-    low = low.join(F.broadcast(single.where(common).withColumnRenamed("c", "much")), "w", "left")
-    often = low.where("much is not null").select("doc_id", "n", F.col("much").alias("c"))
-    seldom = low.where("much is null").select("doc_id", "n", "w").join(single.where(~common), "w", "left").select("doc_id", "n", "c")
+    # what else backs off meets the table of single words
+    low = parts.where("w is not null").select("doc_id", "w", "n").join(single, "w", "left")
     gain = F.when(F.col("c").isNull(), F.lit(float(np.log(ALPHA / (total + 1))))).otherwise(F.log(F.lit(ALPHA) * F.col("c") / F.lit(max(1, total))))
-    low = often.union(seldom).select("doc_id", (gain * F.col("n")).alias("score"), "n")
+    low = low.select("doc_id", (gain * F.col("n")).alias("score"), "n")
     sums = parts.where("w is null").select("doc_id", "score", "n").union(low).groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
     out = texts.select("doc_id").distinct().join(sums, "doc_id", "left")
     n, s = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("score", F.lit(0.0))
