@@ -154,6 +154,17 @@ SUMMED = "slice long, kind int, docs binary, sums binary, counts binary"
 SCORED = "doc_id long, score double, n long, w long"
 
 
+def narrow(n: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    top = int(n.max(initial=0))
+    return n.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+
+
+def widened(b: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts of ``narrow``."""
+    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(b) // n] if n else np.uint32).astype(np.int64)
+
+
 def names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -249,12 +260,12 @@ def join_bucket(x: pd.DataFrame, hot: Hot) -> pd.DataFrame:
         left &= c == 0
         sums = np.bincount(at[ok], gain[ok], len(docs))
         counts = np.bincount(at[ok], minlength=len(docs)).astype(np.uint32)
-        out += [(int(k), 1, docs[i:j].tobytes(), sums[i:j].tobytes(), counts[i:j].tobytes()) for k, i, j, s in zip(x["slice"], base[:-1], base[1:], x["scored"]) if s]
+        out += [(int(k), 1, docs[i:j].tobytes(), sums[i:j].tobytes(), narrow(counts[i:j])) for k, i, j, s in zip(x["slice"], base[:-1], base[1:], x["scored"]) if s]
         if left.any():
             part = np.searchsorted(base, at[left], "right") - 1
             more = pd.DataFrame({"slice": x["slice"].to_numpy()[part], "d": docs[at[left]], "w": w[left].view(np.int64)})
             more = more.groupby(["slice", "d", "w"]).size().reset_index(name="n")
-            out += [(int(k), 2, g["d"].to_numpy(np.uint32).tobytes(), g["w"].to_numpy(np.int64).tobytes(), g["n"].to_numpy(np.uint32).tobytes()) for k, g in more.groupby("slice")]
+            out += [(int(k), 2, g["d"].to_numpy(np.uint32).tobytes(), g["w"].to_numpy(np.int64).tobytes(), narrow(g["n"].to_numpy(np.uint32))) for k, g in more.groupby("slice")]
     return pd.DataFrame(out, columns=names(SUMMED))
 
 
@@ -264,12 +275,16 @@ def add_up(x: pd.DataFrame) -> pd.DataFrame:
     def joined(kind: int, column: str, type_) -> np.ndarray:
         return np.concatenate([np.frombuffer(b, type_) for b in x.loc[x["kind"] == kind, column]] or [np.empty(0, type_)])
 
+    def counted(kind: int) -> np.ndarray:
+        rows = x.loc[x["kind"] == kind]
+        return np.concatenate([widened(b, len(d) // 4) for b, d in zip(rows["counts"], rows["docs"])] or [np.empty(0, np.int64)])
+
     ids = np.frombuffer(x.loc[x["kind"] == 0, "docs"].iloc[0], np.int64)
     at = joined(1, "docs", np.uint32)
-    sums, counts = np.bincount(at, joined(1, "sums", np.float64), len(ids)), np.bincount(at, joined(1, "counts", np.uint32), len(ids)).astype(np.int64)
+    sums, counts = np.bincount(at, joined(1, "sums", np.float64), len(ids)), np.bincount(at, counted(1), len(ids)).astype(np.int64)
     out = pd.DataFrame({"doc_id": ids, "score": sums, "n": counts, "w": pd.array([None] * len(ids), "Int64")})
     if (x["kind"] == 2).any():
-        rest = {"doc_id": ids[joined(2, "docs", np.uint32)], "score": 0.0, "n": joined(2, "counts", np.uint32).astype(np.int64), "w": pd.array(joined(2, "sums", np.int64), "Int64")}
+        rest = {"doc_id": ids[joined(2, "docs", np.uint32)], "score": 0.0, "n": counted(2), "w": pd.array(joined(2, "sums", np.int64), "Int64")}
         out = pd.concat([out, pd.DataFrame(rest)])
     return out
 
@@ -294,6 +309,7 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
 
     single = scratch.keep(corpus.mapInPandas(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
     often = {int(np.int64(w).view(np.uint64)): c for w, c in single.where(F.col("c") > int(total * SHARE)).collect()}
+    scratch.release()
     hot, buckets = Hot(one, two, often, total), max(1, -(-total // bucket))
     own = train is None
     packed = corpus.mapInPandas(lambda b: pack(b, buckets, hot, True, own), PACKED)
