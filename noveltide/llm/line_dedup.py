@@ -24,9 +24,15 @@ share a bucket are candidates. Of pairs of similarity 0.8 about 0.96 share a buc
 2. What leaders leave apart in a bucket: where at most ``crowd`` members lie outside the bucket's largest component, they
    are compared with all members of other components. Larger buckets are dealt again, by ``FURTHER`` keys of ``DEEPER``
    more places each, and go through steps 1 and 2 as buckets of their own, until none is larger or ``DEPTH`` deals were made;
-   then all are compared. Pairs whose signatures agree in fewer than ``AGREE`` places are passed over (one of similarity
-   0.8 does with probability 0.005), with a form of fewer than ``LONG`` shingles in fewer than ``AGREE_SHORT``, of fewer than
-   ``SHORT`` none; all others are verified, each once.
+   then all are compared.
+
+Sieves. A member and its leader are passed over where their signatures agree in fewer than ``AGREE`` places (of pairs of
+similarity 0.8 0.005 do), with a form of fewer than ``LONG`` shingles in fewer than ``AGREE_SHORT``, of fewer than
+``SHORT`` none. What leaders leave apart is mostly similar by 0.6 to 0.78, which signatures cannot tell from 0.8. So those
+members get their set's size and odd sketch: ``WORDS`` x 64 bits, each the parity of the shingles that fall there. A
+shingle that only one of two sets holds turns one bit, so sketches differ in no more bits than sets differ in shingles, and
+a pair whose sketches differ in more than sets of their sizes may at the threshold is not similar enough. This loses no
+link. All pairs that pass are verified, each once.
 
 Nulls and ties: a null text is returned as null; an empty text and blank lines stay. Rows that repeat a doc_id and its
 text are one document and get the same result; rows that share only the doc_id are documents of their own. An empty
@@ -46,6 +52,7 @@ from .common import Scratch, components, whole_row
 WIDTH, PLACES, ROWS, N_BANDS, BITS = 5, 32, 6, 16, 26
 LANES, AGREE, AGREE_SHORT, LONG, SHORT = 7, 20, 12, 64, 16
 CROWD, FURTHER, DEEPER, DEPTH = 250, 6, 4, 2
+WORDS = 32
 _rnd = random.Random(20_240_601)
 TURN = _rnd.getrandbits(62)
 
@@ -130,6 +137,21 @@ def agree(l: str, r: str) -> str:
     return f"{differ} <= {PLACES} - case when least({l}.n, {r}.n) >= {LONG} then {AGREE} when least({l}.n, {r}.n) >= {SHORT} then {AGREE_SHORT} else 0 end"
 
 
+def parities(forms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, m, o0..): size and odd sketch of the shingle set of each form (a, form) that is ``wanted`` (a)."""
+    s = forms.join(wanted, "a", "left_semi")
+    s = s.select("a", F.explode(F.expr(f"transform(array(encode(form, 'UTF-16BE')), u -> {shingles('u')})[0]")).alias("x"))
+    s = s.groupBy("a", F.expr(f"cast(shiftrightunsigned(x, 40) % {WORDS} as int)").alias("w")).agg(F.count("*").alias("m"), F.expr("bit_xor(shiftleft(1L, cast(x & 63 as int)))").alias("o"))
+    return s.groupBy("a").agg(F.sum("m").alias("m"), *[F.expr(f"coalesce(max(case when w = {k} then o end), 0L)").alias(f"o{k}") for k in range(WORDS)])
+
+
+def may_reach(threshold: float, l: str, r: str) -> str:
+    """SQL for whether two odd sketches leave it open that the similarity is ``threshold`` or more."""
+    differ = " + ".join(f"bit_count({l}.o{k} ^ {r}.o{k})" for k in range(WORDS))
+    # sets of similarity t differ in (1 - t) / (1 + t) of their joint size; the sizes alone may rule it out
+    return f"least({l}.m, {r}.m) >= {threshold}D * greatest({l}.m, {r}.m) - 1e-6D and ({differ}) * {1 + threshold}D <= {1 - threshold}D * ({l}.m + {r}.m) + 1e-6D"
+
+
 def leader_pairs(members: DataFrame, sketch: DataFrame) -> DataFrame:
     """(x, y), x > y: each member of a bucket with its leaders, where their sketches agree."""
     turned = F.col("a").bitwiseXOR(F.lit(TURN))
@@ -151,11 +173,11 @@ def apart(members: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(most, "band")
 
 
-def other_pairs(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(x, y), x > y: pairs in a bucket that are of different components and whose sketches agree."""
+def other_pairs(rows: DataFrame, sketch: DataFrame, passes: str) -> DataFrame:
+    """(x, y), x > y: pairs in a bucket that are of different components and whose sketches pass."""
     rows = rows.join(sketch, "a")
     few, every = rows.where("root <> most").alias("l"), rows.alias("r")
-    on = F.expr(f"l.band = r.band and l.root <> r.root and (l.a < r.a or r.root = r.most) and {agree('l', 'r')}")
+    on = F.expr(f"l.band = r.band and l.root <> r.root and (l.a < r.a or r.root = r.most) and {passes}")
     return few.join(every, on).select(F.greatest("l.a", "r.a").alias("x"), F.least("l.a", "r.a").alias("y")).distinct()
 
 
@@ -187,9 +209,10 @@ def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("word", F.shiftright(at, 6)).join(F.broadcast(words), "word", "left").withColumn("maybe", hit).drop("word", "bits")
 
 
-def linked(members: DataFrame, sig: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, crowd: int = CROWD, known: DataFrame | None = None) -> DataFrame:
+def linked(members: DataFrame, sig: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, crowd: int = CROWD, known: DataFrame | None = None, sieve: tuple[Callable[[DataFrame], DataFrame], str] | None = None) -> DataFrame:
     """(a, root): the components of the items that have a near copy. ``check`` keeps the pairs (x, y) that are near
-    copies; ``known`` are links found elsewhere."""
+    copies; ``known`` are links found elsewhere. ``sieve`` makes finer sketches (a, ...) of the items (a) that leaders leave
+    apart, and tells in SQL whether those of l and r pass."""
     # the rounds read the signatures of members only
     sig = scratch.keep(sig.join(members.select("a").distinct(), "a", "left_semi"), "member_signatures")
     sketch = scratch.keep(sketches(sig), "sketches")
@@ -199,7 +222,9 @@ def linked(members: DataFrame, sig: DataFrame, check: Callable[[DataFrame], Data
         groups = merged(groups, scratch.keep(check(pairs), f"edges{deal}"), scratch, f"groups{deal}")
         rows = scratch.keep(apart(members, groups), f"apart{deal}")
         crowded = F.col("others") > (crowd if deal < DEPTH else 1 << 62)
-        others = other_pairs(rows.where(~crowded), sketch).join(pairs, ["x", "y"], "left_anti")
+        few = rows.where(~crowded)
+        fine, passes = (scratch.keep(sieve[0](few.select("a").distinct()), f"fine{deal}"), sieve[1]) if sieve else (sketch, agree("l", "r"))
+        others = other_pairs(few, fine, passes).join(pairs, ["x", "y"], "left_anti")
         groups = merged(groups, scratch.keep(check(others), f"more{deal}"), scratch, f"all_groups{deal}")
         scratch.release()
         rest = rows.where(crowded)
@@ -239,7 +264,8 @@ def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, thresh
     lines = marked(lines, members.select(F.col("a").alias("key")).distinct()).withColumnRenamed("key", "a")
     occ = scratch.keep(lines.select("d", "k", "p", "a", "b", F.when(F.col("maybe"), F.col("form")).alias("form")), "lines")
     forms = scratch.keep(occ.where("form is not null").groupBy("a").agg(F.min("form").alias("form")), "forms")
-    groups = linked(members, sig, lambda pairs: verify(pairs, forms, threshold), scratch, crowd)
+    sieve = (lambda wanted: parities(forms, wanted), may_reach(threshold, "l", "r"))
+    groups = linked(members, sig, lambda pairs: verify(pairs, forms, threshold), scratch, crowd, sieve=sieve)
     for name in ("signatures", "members", "forms"):
         scratch.drop(name)
     scratch.release()

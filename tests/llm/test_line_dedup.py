@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from noveltide.llm import line_dedup as L
 
@@ -190,3 +191,45 @@ def test_repeated_ids_and_clashing_names(spark):
     got = L.dedup_lines(spark, df, prefix="ld_").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, a), (0, b), (0, b), (4, ""), (4, "")])
     assert all(r.k == ("k" if r.doc_id is None else None) for r in got)
+
+
+def near_pairs(rnd, shares, length):
+    return [p for share in shares for p in pairs_of_similarity(rnd, 12, share, length)]
+
+
+@pytest.mark.parametrize("length", [20, 120, 450, 2500])
+def test_odd_sketches_lose_no_pair(spark, length):
+    """What the sieve passes over is below the threshold, and most of what is well below it is passed over."""
+    pairs = near_pairs(random.Random(length), (0.8, 0.83, 0.9), length) + (far := near_pairs(random.Random(length + 1), (0.62, 0.68), length))
+    forms = spark.createDataFrame([(2 * k + i, form) for k, p in enumerate(pairs) for i, form in enumerate(p)], "a long, form string")
+    fine = L.parities(forms, forms.select("a")).collect()
+    assert {r.a: r.m for r in fine} == {2 * k + i: len(shingle_set(form)) for k, p in enumerate(pairs) for i, form in enumerate(p)}
+    fine = spark.createDataFrame(fine)
+    got = fine.alias("l").join(fine.alias("r"), F.expr(f"l.a = r.a + 1 and r.a % 2 = 0 and {L.may_reach(0.8, 'l', 'r')}"))
+    passed = {r[0] // 2 for r in got.select("r.a").collect()}
+    alike = {k for k, (x, y) in enumerate(pairs) if len(shingle_set(x) & shingle_set(y)) >= 0.8 * len(shingle_set(x) | shingle_set(y))}
+    assert len(alike) >= 30 and alike <= passed
+    if length in (120, 450):
+        assert len(passed & set(range(len(pairs) - len(far), len(pairs)))) <= 0.2 * len(far)
+
+
+def test_crowd_that_is_no_copy_makes_few_pairs(spark, tmp_path):
+    """Of lines that share buckets but are similar by 0.7 only, the pairs to be verified do not grow with the square."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(6))
+    common = [word() for _ in range(60)]
+    forms = []
+    for _ in range(150):
+        x = list(common)
+        for at in rnd.sample(range(60), 6):
+            x[at] = word()
+        forms.append(" ".join(x))
+    rows = spark.createDataFrame(list(enumerate(forms)), "a long, form string")
+    bucket = rows.selectExpr("1L as band", "a", "a as root", "0L as most")
+    pairs = L.other_pairs(bucket, L.parities(rows, rows.select("a")), L.may_reach(0.8, "l", "r")).collect()
+    alike = lambda x, y: len(shingle_set(x) & shingle_set(y)) >= 0.8 * len(shingle_set(x) | shingle_set(y))
+    want = {(x, y) for x in range(150) for y in range(x) if alike(forms[x], forms[y])}
+    got = {(r.x, r.y) for r in pairs}
+    assert want <= got and len(got) <= len(want) + 150
+    many = L.other_pairs(bucket, L.sketches(L.signatures(rows.select(F.lit(0).alias("d"), F.lit(0).alias("k"), F.lit(0).alias("p"), "form")).join(rows.select(F.xxhash64("form").alias("a"), F.col("a").alias("b")), "a").drop("a").withColumnRenamed("b", "a")), L.agree("l", "r"))
+    assert many.count() > 10 * len(got)  # what signatures leave
