@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,12 +64,14 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(self.path(name))
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    def release(self) -> None:
-        """Let Spark's context cleaner remove the shuffle files of finished phases now, not at its next half-hourly run."""
+    def release(self, wait: float = 0) -> None:
+        """Let Spark's context cleaner remove the shuffle files of finished phases now, not at its next half-hourly run.
+        It works beside the driver; ``wait`` gives it so many seconds before the next phase writes its own."""
         import gc
 
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(wait)
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:

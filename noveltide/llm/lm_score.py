@@ -7,16 +7,17 @@ before, or the document's begin) scores c(v w) / c(v ...), or ``ALPHA`` * c(w) /
 row that is scored, so that a text is not its own model and bigrams that it alone holds back off.
 
 Exploded bigrams are dealt to buckets by the hash of v, so that a bucket holds the count tables of its contexts and
-the bigrams to be joined with them; both meet in one shuffle, packed by bucket and batch (token hashes, runs of the
-context, a document number), about 11 bytes a token. A bucket returns sums packed by slice of the input. Buckets are sized by the corpus (``BUCKET`` tokens
-each).
+the bigrams to be joined with them; both meet in one shuffle, packed by bucket and batch (tokens, runs of the
+context, a document number), about 8 bytes a token: the ``CODES`` most frequent of the words of more than ``OFTEN`` of all
+tokens travel as codes of two bytes, others as hashes. A bucket returns sums packed by slice of the input. Buckets are sized
+by the corpus (``BUCKET`` tokens each).
 
 Hot contexts (over ``BUCKET`` / 4 tokens and a ``SHARE`` of all, so at most 1 / SHARE of them) are counted beforehand
 by a pre-aggregated sum; their bigrams are spread over all buckets by both words, with the row's own count of the
 context. Hot bigrams (the same bounds) are counted likewise and scored inside the scan, so no bucket receives them. What
-the driver gets is those hot counts, at most 3 / SHARE of them.
+the driver gets is those hot counts, at most 3 / SHARE of them, and 1 / OFTEN counts of words.
 
-What backs off to a word of more than a ``SHARE`` of all tokens (at most 1 / SHARE of them, whose counts go with the tasks)
+What backs off to a word of more than ``OFTEN`` of all tokens (at most 1 / OFTEN of them, whose counts go with the tasks)
 is scored in its bucket; other words meet the table of single words in a join by hash.
 
 Null and empty texts have no tokens, a score of 0 and a null mean. Rows that share a doc_id (null included) are parts
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ALPHA, BUCKET, SHARE, SLICE = 0.4, 1_200_000, 1e-5, 6_000_000
+ALPHA, BUCKET, SHARE, OFTEN, SLICE, CODES = 0.4, 1_200_000, 1e-5, 2e-6, 6_000_000, 65_535
 BEGIN = xxhash.xxh64_intdigest(b"begin of document", 1)
 
 
@@ -66,35 +67,42 @@ def mix(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def tallied(batches: Iterator[pd.DataFrame], pair: bool, only: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """Counts of contexts (or of the bigrams whose context is in ``only``) of each batch."""
+def flat(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts and the words of all texts of a batch."""
+    w = [token_hashes(t) for t in x["text"]]
+    v = np.concatenate([contexts(t) for t in w] or [np.empty(0, np.uint64)])
+    return v, np.concatenate(w or [np.empty(0, np.uint64)])
+
+
+def tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each hash is a context (n) and a word (c), by batch."""
     for x in slices(batches):
-        w = [token_hashes(t) for t in x["text"]]
-        v = np.concatenate([contexts(t) for t in w] or [np.empty(0, np.uint64)])
-        w = np.concatenate(w or [np.empty(0, np.uint64)])
-        if not pair:
-            u, n = np.unique(v, return_counts=True)
-            # w = 1 marks the number of tokens
-            yield pd.DataFrame({"v": np.append(u.view(np.int64), 0), "w": np.append(np.zeros(len(u), np.int64), 1), "n": np.append(n, len(v))})
+        v, w = flat(x)
+        if not len(w):
             continue
-        keep = np.isin(v, only)
+        u, c = np.unique(w, return_counts=True)
+        at, n = np.unique(v, return_counts=True)
+        own = at != BEGIN  # every other context is a word
+        of = np.zeros(len(u), np.int64)
+        of[np.searchsorted(u, at[own])] = n[own]
+        yield pd.DataFrame({"v": np.append(u, at[~own]).view(np.int64), "n": np.append(of, n[~own]), "c": np.append(c, np.zeros((~own).sum(), np.int64))})
+
+
+def tallied_pairs(batches: Iterator[pd.DataFrame], first_in: np.ndarray, second_in: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Counts of the bigrams whose words are in these, by batch."""
+    for x in slices(batches):
+        v, w = flat(x)
+        keep = np.isin(v, first_in)
+        v, w = v[keep], w[keep]
+        keep = np.isin(w, second_in)
         order = np.lexsort((w[keep], v[keep]))
         v, w = v[keep][order], w[keep][order]
         first = np.nonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))[0] if len(v) else np.empty(0, np.int64)
         yield pd.DataFrame({"v": v[first].view(np.int64), "w": w[first].view(np.int64), "n": np.diff(np.append(first, len(v)))})
 
 
-def heavy(texts: DataFrame, pair: bool, only: np.ndarray | None, scratch: Scratch, name: str, bucket: int, total: int | None) -> tuple[dict, int]:
-    """({key: count} of the heavy ones, number of tokens counted)."""
-    part = texts.mapInPandas(lambda b: tallied(b, pair, only), "v long, w long, n long")
-    most = F.col("n") > bucket // 4
-    sums = scratch.keep(part.groupBy("v", "w").agg(F.sum("n").alias("n")).where(most if pair else most | (F.col("w") == 1)), name)
-    if not pair:
-        row = sums.where("w = 1").first()
-        total, sums = row[2] if row else 0, sums.where("w = 0")
-    got = sums.where(F.col("n") > int(total * SHARE)).collect()
-    unsigned = lambda k: int(np.int64(k).view(np.uint64))
-    return {((unsigned(r[0]), unsigned(r[1])) if pair else unsigned(r[0])): r[2] for r in got}, total
+def unsigned(k: int) -> int:
+    return int(np.int64(k).view(np.uint64))
 
 
 class Hot:
@@ -104,6 +112,8 @@ class Hot:
         self.total = max(1, total)
         self.word = np.array(sorted(words), np.uint64)
         self.word_n = np.array([words[int(k)] for k in self.word], np.int64)
+        #: The words that travel as codes of two bytes, the most frequent ones.
+        self.coded = np.array(sorted(sorted(words, key=words.get, reverse=True)[:CODES]), np.uint64)
         self.v = np.array(sorted(one), np.uint64)
         self.n = np.array([one[int(k)] for k in self.v], np.int64)
         a, b = (np.array([k[i] for k in two], np.uint64) for i in (0, 1))
@@ -125,6 +135,20 @@ class Hot:
         at = np.minimum(np.searchsorted(self.word, w), len(self.word) - 1)
         return np.where(self.word[at] == w, self.word_n[at], 0)
 
+    def codes(self, w: np.ndarray) -> np.ndarray:
+        """Codes of words from 1 on, 0 for those that have none."""
+        if not len(self.coded):
+            return np.zeros(len(w), np.uint16)
+        at = np.minimum(np.searchsorted(self.coded, w), len(self.coded) - 1)
+        return np.where(self.coded[at] == w, at + 1, 0).astype(np.uint16)
+
+    def words(self, codes: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The words of ``codes``, those that have none taken from ``rest`` in turn."""
+        out = np.empty(len(codes), np.uint64)
+        out[codes > 0] = self.coded[codes[codes > 0].astype(np.int64) - 1]
+        out[codes == 0] = rest
+        return out
+
     def bigram(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Counts of hot bigrams, 0 for others."""
         if not len(self.key):
@@ -147,7 +171,7 @@ def own_counts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-PACKED = "bucket int, slice long, docs binary, runs binary, v binary, w binary, doc binary, own binary, counted boolean, scored boolean"
+PACKED = "bucket int, slice long, docs binary, runs binary, v binary, w binary, rest binary, doc binary, own binary, counted boolean, scored boolean"
 #: What a bucket returns, by slice: kind 0 has the slice's doc_ids; kind 1 documents (by number in the slice), sums and
 #: counts; kind 2 the same of bigrams never counted, with token hashes for sums.
 SUMMED = "slice long, kind int, docs binary, sums binary, counts binary"
@@ -186,17 +210,18 @@ def pack(batches: Iterator[pd.DataFrame], buckets: int, hot: Hot, counted: bool,
         at[spread] = (mix(v[spread], w[spread]) % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((v, at))
         v, w, doc, at, spread, own_context = v[order], w[order], doc[order], at[order], spread[order], own_context[order]
+        codes = hot.codes(w)
         cut = np.nonzero(np.concatenate(([True], at[1:] != at[:-1])))[0] if len(at) else np.empty(0, np.int64)
         out = []
         for i, j in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist()):
             first = np.nonzero(np.concatenate(([True], v[i + 1 : j] != v[i : j - 1])))[0]
             own, number = np.unique(doc[i:j], return_inverse=True)
             number = number.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
-            of_spread = own_context[i:j][spread[i:j]]
-            of_spread = of_spread.astype(np.uint16 if not len(of_spread) or of_spread.max() < 1 << 16 else np.uint32)
-            out.append((int(at[i]), int(key), own.tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), v[i:j][first].tobytes(), w[i:j].tobytes(), number.tobytes(), of_spread.tobytes(), counted, scored))
+            of_spread = narrow(own_context[i:j][spread[i:j]])
+            runs = narrow(np.diff(np.append(first, j - i)))
+            out.append((int(at[i]), int(key), own.tobytes(), runs, v[i:j][first].tobytes(), codes[i:j].tobytes(), w[i:j][codes[i:j] == 0].tobytes(), number.tobytes(), of_spread, counted, scored))
         if scored:  # the slice's doc_ids travel once; elsewhere documents are numbered within the slice
-            out.append((int(key) % buckets, int(key), ids.astype(np.int64).tobytes(), b"", b"", b"", b"", b"", False, True))
+            out.append((int(key) % buckets, int(key), ids.astype(np.int64).tobytes(), b"", b"", b"", b"", b"", b"", False, True))
         yield pd.DataFrame(out, columns=names(PACKED))
 
 
@@ -226,14 +251,14 @@ def join_bucket(x: pd.DataFrame, hot: Hot) -> pd.DataFrame:
     x = x[full]
     v, w, at, own, counted, scored, docs, base = [], [], [], [], [], [], [], [0]
     for r in x.itertuples(index=False):
-        context = np.repeat(np.frombuffer(r.v, np.uint64), np.frombuffer(r.runs, np.uint32))
+        context = np.repeat(np.frombuffer(r.v, np.uint64), widened(r.runs, len(r.v) // 8))
         docs.append(np.frombuffer(r.docs, np.uint32))
         v.append(context)
         spread, of_spread = hot.context(context) > 0, np.zeros(len(context), np.int64)
         if spread.any():
-            of_spread[spread] = np.frombuffer(r.own, np.uint16 if len(r.own) == 2 * spread.sum() else np.uint32)
+            of_spread[spread] = widened(r.own, int(spread.sum()))
         own.append(of_spread)
-        w.append(np.frombuffer(r.w, np.uint64))
+        w.append(hot.words(np.frombuffer(r.w, np.uint16), np.frombuffer(r.rest, np.uint64)))
         at.append(base[-1] + np.frombuffer(r.doc, np.uint16 if len(r.doc) == 2 * len(context) else np.uint32).astype(np.int64))
         counted.append(np.full(len(context), r.counted))
         scored.append(np.full(len(context), r.scored))
@@ -299,17 +324,20 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC))
     texts = docs.select(key.alias("doc_id"), "text")
     corpus = texts if train is None else train.select(F.lit(0).cast("long").alias("doc_id"), "text")
-    one, total = heavy(corpus, False, None, scratch, "contexts", bucket, None)
-    two = heavy(corpus, True, np.array(sorted(one), np.uint64), scratch, "bigrams", bucket, total)[0] if one else {}
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in slices(batches):
-            u, n = np.unique(np.concatenate([token_hashes(t) for t in x["text"]] or [np.empty(0, np.uint64)]), return_counts=True)
-            yield pd.DataFrame({"w": u.view(np.int64), "c": n})
-
-    single = scratch.keep(corpus.mapInPandas(words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
-    often = {int(np.int64(w).view(np.uint64)): c for w, c in single.where(F.col("c") > int(total * SHARE)).collect()}
-    scratch.release()
+    # one scan counts contexts and words
+    table = scratch.keep(corpus.mapInPandas(tallied, "v long, n long, c long").groupBy("v").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "words")
+    total = table.agg(F.sum("c")).first()[0] or 0
+    least = max(bucket // 4, int(total * SHARE))
+    one = {unsigned(v): n for v, n in table.where(F.col("n") > least).select("v", "n").collect()}
+    two = {}
+    if one:
+        # a bigram is not more frequent than its words
+        only, last = np.array(sorted(one), np.uint64), np.array([unsigned(r[0]) for r in table.where(F.col("c") > least).select("v").collect()], np.uint64)
+        pairs = corpus.mapInPandas(lambda b: tallied_pairs(b, only, last), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+        two = {(unsigned(v), unsigned(w)): n for v, w, n in pairs.where(F.col("n") > least).collect()}
+    single = table.where("c > 0").select(F.col("v").alias("w"), "c")
+    often = {unsigned(w): c for w, c in single.where(F.col("c") > int(total * OFTEN)).collect()}
+    scratch.release(wait=1)
     hot, buckets = Hot(one, two, often, total), max(1, -(-total // bucket))
     own = train is None
     packed = corpus.mapInPandas(lambda b: pack(b, buckets, hot, True, own), PACKED)
@@ -318,7 +346,7 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
     got = packed.groupBy("bucket").applyInPandas(lambda x: join_bucket(x, hot), SUMMED)
     parts = got.groupBy("slice").applyInPandas(add_up, SCORED)
     parts = scratch.keep(parts, "parts")
-    scratch.release()
+    scratch.release(wait=1)
     if two:
         parts = parts.union(texts.mapInPandas(lambda b: scan_hot(b, hot, own), SCORED))
 

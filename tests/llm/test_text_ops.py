@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,37 @@ def test_backoff_on_other_texts(spark):
             assert got[k].n_tokens == n and got[k].log_score == pytest.approx(s, abs=1e-6), k
 
 
+@pytest.mark.parametrize("codes", [0, 3, 65_535])
+def test_words_with_and_without_codes(spark, monkeypatch, codes):
+    monkeypatch.setattr(M, "CODES", codes)
+    monkeypatch.setattr(M, "SLICE", 500)
+    docs = lm_corpus()
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in M.score(spark, rows, bucket=60).collect()}
+    for k, (n, s) in enumerate(brute_scores(docs, docs, leave_out=True)):
+        assert got[k].n_tokens == n and got[k].log_score == pytest.approx(s, abs=1e-6), k
+
+
+def test_pairs_of_hot_words_only():
+    """A bigram is counted beforehand only if both its words are hot; the count of rows stays that of hot words."""
+    x = pd.DataFrame({"doc_id": range(200), "text": [f"the w{k} the of rare{k} the" for k in range(200)]})
+    the, of = M.token_hashes("the of")
+    got = pd.concat(M.tallied_pairs(iter([x]), np.array([the]), np.array([the, of])))
+    assert [(M.unsigned(v), M.unsigned(w), n) for v, w, n in got.itertuples(index=False)] == [(the, of, 200)]
+
+
+def test_packed_bytes_a_token():
+    """Words of a large share travel in two bytes, and counts in as few as they need."""
+    rnd = random.Random(2)
+    word = [f"w{k}" for k in range(3000)]
+    x = pd.DataFrame({"doc_id": range(300), "text": [" ".join(rnd.choices(word, [1 / (k + 1) for k in range(3000)], k=400)) for _ in range(300)]})
+    words = {int(w): c for w, c in zip(*np.unique(np.concatenate([M.token_hashes(t) for t in x["text"]]), return_counts=True))}
+    often = {w: c for w, c in words.items() if c > 100}
+    sent = pd.concat(M.pack(iter([x]), 4, M.Hot({}, {}, often, 120_000), True, True))
+    size = sum(len(b) for c in sent.columns for b in sent[c] if isinstance(b, bytes))
+    assert size < (4 + 8 * (1 - sum(often.values()) / 120_000) + 1) * 120_000  # 12 bytes a token when every word was a hash
+
+
 def test_lm_edges(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in M.score(spark, rows).collect()}
