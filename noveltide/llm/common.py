@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 import uuid
 
@@ -32,6 +33,17 @@ def beside(docs: DataFrame, value: F.Column, names: dict[str, str], **others: F.
     return rows.select(*kept, *[F.col(f"other_{n}").alias(n) for n in others], *[F.col("value").getField(f).alias(n) for f, n in names.items()])
 
 
+def give_back() -> None:
+    """Returns to the system what the allocators of a Python worker keep: it stays idle beside later phases for a minute."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library other than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Tables written under the shared checkpoint folder, so that a lost executor loses no intermediate result.
 

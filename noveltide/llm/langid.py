@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import beside
+from .common import beside, give_back
 
 TOP, PER_LANG, PIECE, MOST_SENT = 400, 2000, 1 << 20, 10_000
 OTHER = re.compile(r"[\W\d_]+")
@@ -107,6 +107,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, pre
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
             yield pd.DataFrame([one(t) for t in x], columns=["lang_pred", "score"])
+            del x
+        give_back()
 
     guess = F.pandas_udf(run, "lang_pred string, score double")
     return beside(docs, guess(F.col("text")), {"lang_pred": f"{prefix}lang_pred", "score": f"{prefix}score"})

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside
+from .common import beside, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, PART, MOST_WORDS, MOST_PAIRS, TEXTS = "▁", 400_000, 400_000, 1 << 21, 1250
@@ -408,6 +408,8 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 for t, g in zip(texts, index.encode(texts)):
                     rows.append((None, None, None) if g is None else (len(g), hashlib.sha256(g.astype("<i4").tobytes()).hexdigest(), decode_ids(g, pieces) == t))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "round_trip"]).astype({"n_tokens": "Int64"})
+        x = rows = texts = t = g = index = spec = pieces = None
+        give_back()
 
     both = F.pandas_udf(run, "n_tokens long, ids_sha256 string, round_trip boolean")
     return beside(docs, both(F.col("text")), {c: c for c in ("n_tokens", "ids_sha256", "round_trip")})

@@ -114,3 +114,23 @@ def test_every_operator_has_its_query():
     names = entry.queries()
     assert set(queries.queries()) < set(names) and [sum(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)] == [1] * 10
     assert names["pipeline"] is P.run and P.ORACLE_SQL is None and "op6_lm_score" in entry.oracle_sql()
+
+
+def test_workers_give_memory_back(spark, tmp_path, monkeypatch):
+    """Idle workers stay beside the next stage; the stages that fill them return what their allocators keep."""
+    import uuid
+
+    from noveltide.llm import common, langid, sentencepiece
+
+    common.give_back()
+    for module, run in ((langid, lambda d: langid.identify(spark, d)), (sentencepiece, sentencepiece.round_trip)):
+        seen = tmp_path / module.__name__
+        seen.mkdir()
+
+        def told(at=str(seen)):
+            open(f"{at}/{uuid.uuid4().hex}", "w").close()
+
+        monkeypatch.setattr(module, "give_back", told)
+        docs = spark.createDataFrame([(k, f"the cat and the dog {k}", "en") for k in range(20)], "doc_id long, text string, lang string")
+        assert run(docs).count() == 20 and len(run(docs).collect()) == 20
+        assert list(seen.iterdir())
