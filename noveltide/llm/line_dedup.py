@@ -81,23 +81,26 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def shingles(form: str) -> str:
     """SQL for the set of a form's shingles, as 64-bit hashes, from its UTF-16 bytes."""
-    return f"array_distinct(transform(sequence(0, cast(length({form}) / 2 as int) - {WIDTH}), i -> xxhash64(substring({form}, 2 * i + 1, {2 * WIDTH}))))"
+    return f"array_distinct(transform(sequence(1, length({form}) - {2 * WIDTH - 1}, 2), i -> xxhash64(substring({form}, i, {2 * WIDTH}))))"
 
 
 def windows(rows: DataFrame, form: str, *keep: str) -> DataFrame:
     """(keep..., x): the 64-bit hash of every shingle of a form, repeats included. One row a shingle stays inside generated code."""
     u = rows.select(*keep, F.encode(form, "UTF-16BE").alias("u"))
-    u = u.select(*keep, "u", F.explode(F.expr(f"sequence(0, cast(length(u) / 2 as int) - {WIDTH})")).alias("i"))
-    return u.select(*keep, F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * WIDTH}))").alias("x"))
+    u = u.select(*keep, "u", F.explode(F.expr(f"sequence(1, length(u) - {2 * WIDTH - 1}, 2)")).alias("i"))
+    return u.select(*keep, F.expr(f"xxhash64(substring(u, i, {2 * WIDTH}))").alias("x"))
 
 
 def signatures(forms: DataFrame) -> DataFrame:
     """(a, n, v): one row per distinct form that has shingles, n of them, with the 16-bit values of its places."""
     s = forms.where(F.length("form") >= WIDTH).groupBy(F.xxhash64("form").alias("a")).agg(F.min("form").alias("form"))
-    s = windows(s, "form", "a")  # the exchange by a serves the aggregates that follow
-    s = s.select("a", F.expr(f"cast(x & {PLACES // 4 - 1} as int)").alias("q"), F.expr("cast(shiftright(x, 5) & 3 as int)").alias("r"), F.expr("cast(shiftrightunsigned(x, 33) as int)").alias("y"))
-    s = s.groupBy("a", "q").agg(F.count("*").alias("c"), *[F.min(F.expr(f"case when r = {i} then y end")).alias(f"y{i}") for i in range(4)])
-    s = s.groupBy("a").agg(F.sum("c").cast("int").alias("n"), *[F.min(F.expr(f"case when q = {j // 4} then y{j % 4} end")).alias(f"v{j}") for j in range(PLACES)])
+    s = s.withColumn("n", F.expr(f"cast(length(encode(form, 'UTF-16BE')) / 2 as int) - {WIDTH - 1}"))
+    s = windows(s, "form", "a", "n")  # the exchange by a serves the aggregates that follow
+    # the number of windows travels in the key: no window is counted
+    s = s.select("a", F.expr(f"cast(n as bigint) * {PLACES // 4} + (x & {PLACES // 4 - 1})").alias("nq"), F.expr("cast(shiftright(x, 5) & 3 as int)").alias("r"), F.expr("cast(shiftrightunsigned(x, 33) as int)").alias("y"))
+    s = s.groupBy("a", "nq").agg(*[F.min(F.expr(f"case when r = {i} then y end")).alias(f"y{i}") for i in range(4)])
+    s = s.select("a", F.expr(f"nq div {PLACES // 4}").cast("int").alias("n"), F.expr(f"nq % {PLACES // 4}").alias("q"), *[f"y{i}" for i in range(4)])
+    s = s.groupBy("a").agg(F.max("n").alias("n"), *[F.min(F.expr(f"case when q = {j // 4} then y{j % 4} end")).alias(f"v{j}") for j in range(PLACES)])
     s = s.select("a", "n", F.array(*[F.expr(f"(v{j} ^ shiftright(v{j}, 15)) & 65535") for j in range(PLACES)]).alias("v"))
     # an empty place j borrows from j + t * (2 j + 1) for the first t that holds a value
     borrowed = f"aggregate(sequence(1, {PLACES - 1}), cast(null as int), (s, t) -> coalesce(s, (v[(j + t * (2 * j + 1)) % {PLACES}] + 2039 * t) & 65535))"
@@ -118,7 +121,7 @@ def bands_of(sig: DataFrame) -> DataFrame:
 
 def shared(bands: DataFrame) -> DataFrame:
     """(band, a): the members of each bucket of two or more. A hot bucket shrinks in the map side of the aggregate."""
-    lead = bands.groupBy("band").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("band")
+    lead = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")  # a form is in a bucket once
     maybe = marked(bands.select("a", F.col("band").alias("key")), lead.select(F.col("band").alias("key"))).where("maybe").select("a", F.col("key").alias("band"))
     return maybe.join(lead, "band").select("band", "a")
 
@@ -141,8 +144,9 @@ def parities(forms: DataFrame, wanted: DataFrame) -> DataFrame:
     """(a, m, o0..): size and odd sketch of the shingle set of each form (a, form) that is ``wanted`` (a)."""
     s = forms.join(wanted, "a", "left_semi")
     s = s.select("a", F.explode(F.expr(f"transform(array(encode(form, 'UTF-16BE')), u -> {shingles('u')})[0]")).alias("x"))
-    s = s.groupBy("a", F.expr(f"cast(shiftrightunsigned(x, 40) % {WORDS} as int)").alias("w")).agg(F.count("*").alias("m"), F.expr("bit_xor(shiftleft(1L, cast(x & 63 as int)))").alias("o"))
-    return s.groupBy("a").agg(F.sum("m").alias("m"), *[F.expr(f"coalesce(max(case when w = {k} then o end), 0L)").alias(f"o{k}") for k in range(WORDS)])
+    s = s.select("a", F.expr(f"cast(shiftrightunsigned(x, 40) & {WORDS - 1} as int)").alias("w"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
+    s = s.groupBy("a", F.expr("shiftright(w, 2)").alias("q")).agg(F.count("*").alias("m"), *[F.expr(f"bit_xor(case when (w & 3) = {i} then bit end)").alias(f"o{i}") for i in range(4)])
+    return s.groupBy("a").agg(F.sum("m").alias("m"), *[F.expr(f"coalesce(max(case when q = {k // 4} then o{k % 4} end), 0L)").alias(f"o{k}") for k in range(WORDS)])
 
 
 def may_reach(threshold: float, l: str, r: str) -> str:
@@ -209,21 +213,31 @@ def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("word", F.shiftright(at, 6)).join(F.broadcast(words), "word", "left").withColumn("maybe", hit).drop("word", "bits")
 
 
+def of_members(sig: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """The signatures of members only, which is what the rounds read."""
+    sig = scratch.keep(sig.join(members.select("a").distinct(), "a", "left_semi"), "member_signatures")
+    scratch.release()
+    return sig
+
+
 def linked(members: DataFrame, sig: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, crowd: int = CROWD, known: DataFrame | None = None, sieve: tuple[Callable[[DataFrame], DataFrame], str] | None = None) -> DataFrame:
     """(a, root): the components of the items that have a near copy. ``check`` keeps the pairs (x, y) that are near
     copies; ``known`` are links found elsewhere. ``sieve`` makes finer sketches (a, ...) of the items (a) that leaders leave
-    apart, and tells in SQL whether those of l and r pass."""
-    # the rounds read the signatures of members only
-    sig = scratch.keep(sig.join(members.select("a").distinct(), "a", "left_semi"), "member_signatures")
+    apart, and tells in SQL whether those of l and r pass. ``sig`` has the signatures of members (``of_members``). Shuffles
+    are let go after each step, since those of several steps together are larger than any table."""
     sketch = scratch.keep(sketches(sig), "sketches")
     groups = merged(None, known, scratch, "known_groups")
     for deal in range(DEPTH + 1):
         pairs = scratch.keep(leader_pairs(members, sketch), f"pairs{deal}")
+        scratch.release()
         groups = merged(groups, scratch.keep(check(pairs), f"edges{deal}"), scratch, f"groups{deal}")
+        scratch.release()
         rows = scratch.keep(apart(members, groups), f"apart{deal}")
+        scratch.release()
         crowded = F.col("others") > (crowd if deal < DEPTH else 1 << 62)
         few = rows.where(~crowded)
         fine, passes = (scratch.keep(sieve[0](few.select("a").distinct()), f"fine{deal}"), sieve[1]) if sieve else (sketch, agree("l", "r"))
+        scratch.release(wait=0.5)
         others = other_pairs(few, fine, passes).join(pairs, ["x", "y"], "left_anti")
         groups = merged(groups, scratch.keep(check(others), f"more{deal}"), scratch, f"all_groups{deal}")
         scratch.release()
@@ -255,18 +269,21 @@ def merged(groups: DataFrame | None, edges: DataFrame | None, scratch: Scratch,
 def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, threshold: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """(d, k, gone): for each document that loses lines, the places of those lines."""
     sig = scratch.keep(signatures(lines_of(docs)), "signatures")
-    scratch.release()
+    scratch.release(wait=0.5)
     members = scratch.keep(shared(bands_of(sig)), "members")
-    scratch.release()
+    scratch.release(wait=0.5)
+    sig = of_members(sig, members, scratch)
+    scratch.drop("signatures")
     # one pass writes all occurrences, with the form where it is to be verified; the second hash, independent of the
     # first, keeps apart the copies of forms that share the first
     lines = lines_of(docs).where("form <> ''").select("d", "k", "p", F.xxhash64("form").alias("key"), F.xxhash64(F.lit(1), "form").alias("b"), "form")
     lines = marked(lines, members.select(F.col("a").alias("key")).distinct()).withColumnRenamed("key", "a")
     occ = scratch.keep(lines.select("d", "k", "p", "a", "b", F.when(F.col("maybe"), F.col("form")).alias("form")), "lines")
     forms = scratch.keep(occ.where("form is not null").groupBy("a").agg(F.min("form").alias("form")), "forms")
+    scratch.release()
     sieve = (lambda wanted: parities(forms, wanted), may_reach(threshold, "l", "r"))
     groups = linked(members, sig, lambda pairs: verify(pairs, forms, threshold), scratch, crowd, sieve=sieve)
-    for name in ("signatures", "members", "forms"):
+    for name in ("member_signatures", "members", "forms"):
         scratch.drop(name)
     scratch.release()
     # only forms that were verified can have a root; the others need no join

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
-from .line_dedup import PLACES, bands_of, linked, shared
+from .line_dedup import PLACES, bands_of, linked, of_members, shared
 
 SEED, BLOCK = 42, 1 << 16
 SHARD, LEAF, SAMPLE_LEAF, SAMPLE_MOST = 4096, 64, 64, 1 << 20
@@ -251,7 +251,7 @@ def similar_rows(spark: SparkSession, docs: DataFrame, width: int = 5, threshold
     texts = scratch.keep(texts, "texts")
     check = lambda pairs: verified(pairs, texts, width, threshold)
     known = scratch.keep(check(close), "known")
-    groups = scratch.keep(linked(members, sig, check, scratch, known=known), "linked")
+    groups = scratch.keep(linked(members, of_members(sig, members, scratch), check, scratch, known=known), "linked")
     comp = scratch.keep(nodes.select("a", "low").join(groups, "a", "left").select("a", "low", F.coalesce("root", "a").alias("root")), "comp")
     lows = comp.groupBy("root").agg(F.min("low").alias("component_id"))
     scratch.keep_only("rows", "comp")

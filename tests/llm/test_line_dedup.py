@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -233,3 +234,35 @@ def test_crowd_that_is_no_copy_makes_few_pairs(spark, tmp_path):
     assert want <= got and len(got) <= len(want) + 150
     many = L.other_pairs(bucket, L.sketches(L.signatures(rows.select(F.lit(0).alias("d"), F.lit(0).alias("k"), F.lit(0).alias("p"), "form")).join(rows.select(F.xxhash64("form").alias("a"), F.col("a").alias("b")), "a").drop("a").withColumnRenamed("b", "a")), L.agree("l", "r"))
     assert many.count() > 10 * len(got)  # what signatures leave
+
+
+def shuffles_on_disk(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {int(x.split("_")[1]) for x in names if x.startswith("shuffle_")}
+
+
+def test_shuffles_of_earlier_steps_are_let_go(spark, monkeypatch):
+    """When the last verification of a round begins, disk holds no shuffles of earlier steps but what the step just done may hold."""
+    keep, at_more = L.Scratch.keep, []
+
+    def watched(self, df, name):
+        if name == "more0":
+            end = time.time() + 10  # the cleaner works beside the driver
+            while (left := len(shuffles_on_disk(spark) - before)) > 2 and time.time() < end:
+                time.sleep(0.2)
+            at_more.append(left)
+        return keep(self, df, name)
+
+    rows = spark.createDataFrame(corpus(), "doc_id long, text string")
+    before = shuffles_on_disk(spark)
+    monkeypatch.setattr(L.Scratch, "keep", watched)
+    L.dedup_lines(spark, rows).collect()
+    assert len(at_more) == 1 and at_more[0] <= 2
+
+
+def test_signatures_know_the_number_of_windows(spark):
+    forms = ["x" * 300, "short line", "12345", "漢字 𝒳 été là-bas", "a line of words " * 40]
+    sig = L.signatures(spark.createDataFrame([(f,) for f in forms], "form string"))
+    want = {r.a: r.n for r in spark.createDataFrame([(f, len(f.encode("utf-16-be")) // 2 - L.WIDTH + 1) for f in forms], "form string, n int").select(F.xxhash64("form").alias("a"), "n").collect()}
+    assert {r.a: r.n for r in sig.collect()} == want
