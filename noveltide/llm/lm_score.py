@@ -52,8 +52,8 @@ def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def token_hashes(text: str | None) -> np.ndarray:
-    xx = xxhash.xxh64_intdigest
-    return np.array([xx(w) for w in text.encode("utf-8", "surrogatepass").lower().split()], np.uint64) if text else np.empty(0, np.uint64)
+    # digests are joined as bytes, which is cheaper than a Python number for each token
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, (text or "").encode("utf-8", "surrogatepass").lower().split())), ">u8").astype(np.uint64)
 
 
 def contexts(w: np.ndarray) -> np.ndarray:
@@ -81,11 +81,12 @@ def tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(w):
             continue
         u, c = np.unique(w, return_counts=True)
-        at, n = np.unique(v, return_counts=True)
-        own = at != BEGIN  # every other context is a word
-        of = np.zeros(len(u), np.int64)
-        of[np.searchsorted(u, at[own])] = n[own]
-        yield pd.DataFrame({"v": np.append(u, at[~own]).view(np.int64), "n": np.append(of, n[~own]), "c": np.append(c, np.zeros((~own).sum(), np.int64))})
+        begin = np.nonzero(v == BEGIN)[0]
+        # a word is a context wherever it is not the last of its text
+        last, k = np.unique(w[np.append(begin[1:], len(w)) - 1], return_counts=True)
+        of = c.copy()
+        of[np.searchsorted(u, last)] -= k
+        yield pd.DataFrame({"v": np.append(u, np.uint64(BEGIN)).view(np.int64), "n": np.append(of, len(begin)), "c": np.append(c, 0)})
 
 
 def tallied_pairs(batches: Iterator[pd.DataFrame], first_in: np.ndarray, second_in: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -161,7 +162,7 @@ def own_counts(*keys: np.ndarray) -> np.ndarray:
     """How often each element's combination of keys occurs."""
     if not len(keys[0]):
         return np.empty(0, np.int64)
-    by = np.lexsort(keys)
+    by = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(by), bool)
     new[0] = True
     for k in keys:
@@ -193,6 +194,17 @@ def names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def by_bucket(at: np.ndarray, v: np.ndarray, buckets: int) -> np.ndarray:
+    """An order by bucket, then context, then place. Bucket, a context's first bits and the place fill one number, whose
+    sort is far cheaper than one by two keys; contexts that share those bits may mix, which only makes more runs."""
+    high, low = buckets.bit_length(), len(v).bit_length()
+    if high + low > 40:
+        return np.lexsort((v, at))
+    key = at.astype(np.uint64) << np.uint64(64 - high) | v >> np.uint64(high + low) << np.uint64(low) | np.arange(len(v), dtype=np.uint64)
+    key.sort()
+    return (key & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
 def pack(batches: Iterator[pd.DataFrame], buckets: int, hot: Hot, counted: bool, scored: bool) -> Iterator[pd.DataFrame]:
     for x in slices(batches):
         ids = x["doc_id"].to_numpy()
@@ -208,7 +220,7 @@ def pack(batches: Iterator[pd.DataFrame], buckets: int, hot: Hot, counted: bool,
         v, w, doc, spread, own_context = v[rare], w[rare], doc[rare], spread[rare], own_context[rare]
         at = (mix(v) % np.uint64(buckets)).astype(np.int32)
         at[spread] = (mix(v[spread], w[spread]) % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((v, at))
+        order = by_bucket(at, v, buckets)
         v, w, doc, at, spread, own_context = v[order], w[order], doc[order], at[order], spread[order], own_context[order]
         codes = hot.codes(w)
         cut = np.nonzero(np.concatenate(([True], at[1:] != at[:-1])))[0] if len(at) else np.empty(0, np.int64)

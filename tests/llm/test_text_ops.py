@@ -183,6 +183,23 @@ def test_packed_bytes_a_token():
     assert size < (4 + 8 * (1 - sum(often.values()) / 120_000) + 1) * 120_000  # 12 bytes a token when every word was a hash
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 6000, 1 << 30])
+def test_order_by_bucket_and_context(buckets):
+    """One sort of one number gives the order of a sort by bucket, context and place."""
+    rnd = np.random.default_rng(buckets)
+    v = rnd.choice(rnd.integers(0, 1 << 64, 400, dtype=np.uint64), 5000)
+    at = (M.mix(v) % np.uint64(buckets)).astype(np.int32)
+    assert M.by_bucket(at, v, buckets).tolist() == np.lexsort((v, at)).tolist()
+    assert len(M.by_bucket(at[:0], v[:0], buckets)) == 0
+
+
+def test_tallies_of_contexts_and_words():
+    texts = ["a b a", None, "b", "", "a a c b", " "]
+    got = {M.unsigned(v): (n, c) for v, n, c in pd.concat(M.tallied(iter([pd.DataFrame({"text": texts})]))).itertuples(index=False)}
+    a, b, c = M.token_hashes("a b c")
+    assert got == {a: (3, 4), b: (2 - 1, 3), c: (1, 1), M.BEGIN: (3, 0)}
+
+
 def test_lm_edges(spark):
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in M.score(spark, rows).collect()}
