@@ -86,25 +86,36 @@ class Scratch:
         time.sleep(wait)
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def gathered(few: int, *tables: DataFrame) -> list[DataFrame]:
+    """``tables`` of ``few`` rows at most together as one partition each, so that what reads them runs in one task without
+    a shuffle; larger ones as they are. They are counted, so they should be files."""
+    if few and sum(t.count() for t in tables) <= few:
+        return [t.coalesce(1) for t in tables]
+    return list(tables)
+
+
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60, few: int = 0) -> DataFrame:
     """Connected components of an undirected graph, as (id, root) with root the smallest id reachable.
 
     ``edges`` has two columns of one orderable type; nulls and loops are ignored and nodes without an edge
     do not appear. Alternating large-star and small-star rounds: every step is an aggregate and an equi-join
     (adaptive execution splits the hot ones), each round's edges are written to the shared scratch folder, and
-    the driver sees three numbers a round.
+    the driver sees three numbers a round. Where a file of edges holds ``few`` at most, each round is one task, since its
+    shuffles would take as many tasks as those of a large one.
     """
     a, b = edges.columns[:2]
+    given, [edges] = edges, gathered(few, edges)
+    one = (lambda df: df) if edges is given else (lambda df: df.coalesce(1))  # files and unions have more partitions
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") > F.col("v")).distinct()
     e = scratch.keep(e, "cc0")
     seen = None
     for k in range(1, max_rounds + 1):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = one(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
-        e = scratch.keep(small.distinct(), f"cc{k}")
+        e = scratch.keep(one(small).distinct(), f"cc{k}")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
         scratch.drop(f"cc{k - 1}")
         if tuple(state) == seen:
@@ -112,4 +123,5 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         seen = tuple(state)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    e = one(e)
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

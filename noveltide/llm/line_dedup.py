@@ -12,7 +12,9 @@ verification, then distributed union-find (``common.components``), one line kept
 Shingles are all windows of ``WIDTH`` characters; forms that are shorter have none and are only matched as copies.
 
 Signatures. Every window is hashed once and falls into one of ``PLACES`` places by its hash; a place holds the smallest
-value of its windows (one-permutation MinHash). A place without windows borrows from another by fixed steps, and the
+value of its windows (one-permutation MinHash). Only windows with a value below ``LOW`` times what a place's smallest is
+expected to be are gathered, of forms of any length about ``LOW`` a place at most: the others are a place's smallest with
+probability exp(-LOW) (0.0025), and the place then counts as one without windows. A place without windows borrows from another by fixed steps, and the
 number of steps is mixed into what it borrows. Two signatures agree in a place with the probability of their sets'
 similarity. ``BANDS`` bands of ``ROWS`` places each, every place in three bands, make a form's buckets; two forms that
 share a bucket are candidates. Of pairs of similarity 0.8 about 0.96 share a bucket, of 0.85 0.99, whatever the length
@@ -47,12 +49,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, whole_row
+from .common import Scratch, components, gathered, whole_row
 
 WIDTH, PLACES, ROWS, N_BANDS, BITS = 5, 32, 6, 16, 26
+LOW = 6
 LANES, AGREE, AGREE_SHORT, LONG, SHORT = 7, 20, 12, 64, 16
 CROWD, FURTHER, DEEPER, DEPTH = 250, 6, 4, 2
 WORDS = 32
+#: Links and groups that number so many at most are joined to components in one task.
+FEW = 1 << 19
 _rnd = random.Random(20_240_601)
 TURN = _rnd.getrandbits(62)
 
@@ -79,9 +84,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.where("line <> ''").select("d", "k", "p", F.btrim("line", F.lit(" \t\r")).alias("form"))
 
 
+def hashes(u: str) -> str:
+    """SQL for the 64-bit hashes of a form's windows in order, repeats included, from its UTF-16 bytes."""
+    return f"transform(sequence(1, length({u}) - {2 * WIDTH - 1}, 2), i -> xxhash64(substring({u}, i, {2 * WIDTH})))"
+
+
 def shingles(form: str) -> str:
     """SQL for the set of a form's shingles, as 64-bit hashes, from its UTF-16 bytes."""
-    return f"array_distinct(transform(sequence(1, length({form}) - {2 * WIDTH - 1}, 2), i -> xxhash64(substring({form}, i, {2 * WIDTH}))))"
+    return f"array_distinct({hashes(form)})"
 
 
 def windows(rows: DataFrame, form: str, *keep: str) -> DataFrame:
@@ -97,14 +107,21 @@ def signatures(forms: DataFrame) -> DataFrame:
     s = s.withColumn("n", F.expr(f"cast(length(encode(form, 'UTF-16BE')) / 2 as int) - {WIDTH - 1}"))
     s = windows(s, "form", "a", "n")  # the exchange by a serves the aggregates that follow
     # the number of windows travels in the key: no window is counted
-    s = s.select("a", F.expr(f"cast(n as bigint) * {PLACES // 4} + (x & {PLACES // 4 - 1})").alias("nq"), F.expr("cast(shiftright(x, 5) & 3 as int)").alias("r"), F.expr("cast(shiftrightunsigned(x, 33) as int)").alias("y"))
+    s = s.select("a", "n", "x", F.expr("shiftrightunsigned(x, 33)").alias("y")).where(F.col("y") * F.col("n") < PLACES * LOW << 31)
+    groups = PLACES // 4
+    s = s.select("a", F.expr(f"cast(n as bigint) * {groups} + (x & {groups - 1})").alias("nq"), F.expr("cast(shiftright(x, 5) & 3 as int)").alias("r"), F.col("y").cast("int").alias("y"))
     s = s.groupBy("a", "nq").agg(*[F.min(F.expr(f"case when r = {i} then y end")).alias(f"y{i}") for i in range(4)])
-    s = s.select("a", F.expr(f"nq div {PLACES // 4}").cast("int").alias("n"), F.expr(f"nq % {PLACES // 4}").alias("q"), *[f"y{i}" for i in range(4)])
-    s = s.groupBy("a").agg(F.max("n").alias("n"), *[F.min(F.expr(f"case when q = {j // 4} then y{j % 4} end")).alias(f"v{j}") for j in range(PLACES)])
-    s = s.select("a", "n", F.array(*[F.expr(f"(v{j} ^ shiftright(v{j}, 15)) & 65535") for j in range(PLACES)]).alias("v"))
+    # the four places of a group travel in one long, with a bit for each that is filled
+    long = " | ".join(f"shiftleft(cast(coalesce((y{i} ^ shiftright(y{i}, 15)) & 65535, 0) as bigint), {16 * i})" for i in range(4))
+    full = " | ".join(f"case when y{i} is null then 0 else {1 << i} end" for i in range(4))
+    s = s.select("a", F.expr(f"cast(nq div {groups} as int)").alias("n"), F.expr(f"cast(nq % {groups} as int)").alias("q"), F.expr(long).alias("p"), F.expr(full).alias("f"))
+    s = s.groupBy("a").agg(F.max("n").alias("n"), F.bit_or(F.expr("shiftleft(f, 4 * q)")).alias("f"), *[F.bit_or(F.expr(f"case when q = {k} then p end")).alias(f"p{k}") for k in range(groups)])
+    v = [f"cast(shiftright(p{j // 4}, {16 * (j % 4)}) & 65535 as int)" for j in range(PLACES)]
+    some = [f"case when (f & {(1 << j) - (1 << 32 if j == 31 else 0)}) <> 0 then {x} end" for j, x in enumerate(v)]
+    s = s.select("a", "n", "f", F.when(F.col("f") == -1, F.expr(f"array({', '.join(v)})")).otherwise(F.expr(f"array({', '.join(some)})")).alias("v"))
     # an empty place j borrows from j + t * (2 j + 1) for the first t that holds a value
     borrowed = f"aggregate(sequence(1, {PLACES - 1}), cast(null as int), (s, t) -> coalesce(s, (v[(j + t * (2 * j + 1)) % {PLACES}] + 2039 * t) & 65535))"
-    return s.select("a", "n", F.when(F.expr("exists(v, x -> x is null)"), F.expr(f"transform(v, (x, j) -> coalesce(x, {borrowed}))")).otherwise(F.col("v")).alias("v"))
+    return s.select("a", "n", F.when(F.col("f") == -1, F.col("v")).otherwise(F.expr(f"transform(v, (x, j) -> coalesce(x, {borrowed}))")).alias("v"))
 
 
 def keyed(rows: DataFrame, deals: list[list[int]], *parts: str) -> DataFrame:
@@ -143,7 +160,8 @@ def agree(l: str, r: str) -> str:
 def parities(forms: DataFrame, wanted: DataFrame) -> DataFrame:
     """(a, m, o0..): size and odd sketch of the shingle set of each form (a, form) that is ``wanted`` (a)."""
     s = forms.join(wanted, "a", "left_semi")
-    s = s.select("a", F.explode(F.expr(f"transform(array(encode(form, 'UTF-16BE')), u -> {shingles('u')})[0]")).alias("x"))
+    # only the hashes are made in a lambda: the set is made by generated code
+    s = s.select("a", F.explode(F.expr(f"array_distinct(transform(array(encode(form, 'UTF-16BE')), u -> {hashes('u')})[0])")).alias("x"))
     s = s.select("a", F.expr(f"cast(shiftrightunsigned(x, 40) & {WORDS - 1} as int)").alias("w"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"))
     s = s.groupBy("a", F.expr("shiftright(w, 2)").alias("q")).agg(F.count("*").alias("m"), *[F.expr(f"bit_xor(case when (w & 3) = {i} then bit end)").alias(f"o{i}") for i in range(4)])
     return s.groupBy("a").agg(F.sum("m").alias("m"), *[F.expr(f"coalesce(max(case when q = {k // 4} then o{k % 4} end), 0L)").alias(f"o{k}") for k in range(WORDS)])
@@ -194,10 +212,12 @@ def verify(pairs: DataFrame, forms: DataFrame, threshold: float) -> DataFrame:
     """The (x, y) of ``pairs`` whose forms have exact Jaccard similarity >= threshold; forms: (a, form), one row per a."""
     # leaders of many first, so that the texts are compared where the second join deals them, by member
     both = pairs.join(forms.select(F.col("a").alias("y"), F.col("form").alias("fy")), "y").join(forms.select(F.col("a").alias("x"), F.col("form").alias("fx")), "x")
-    # texts and sets are bound to variables of lambdas so that each is made once
-    sets = f"transform(array(struct(encode(fx, 'UTF-16BE') as x, encode(fy, 'UTF-16BE') as y)), u -> struct({shingles('u.x')} as x, {shingles('u.y')} as y))"
-    sizes = f"transform({sets}, t -> struct(size(array_intersect(t.x, t.y)) as k, size(t.x) + size(t.y) as n))"
-    return both.where(f"exists({sizes}, r -> r.k >= {threshold}D * (r.n - r.k))").select("x", "y")
+    # texts are bound to a variable of a lambda, and windows are rows of a generator, so that each is made once; the sets
+    # are made and compared by generated code
+    each = f"transform(array(struct(encode(fx, 'UTF-16BE') as x, encode(fy, 'UTF-16BE') as y)), u -> struct({hashes('u.x')} as x, {hashes('u.y')} as y))"
+    both = both.select("x", "y", F.explode(F.expr(each)).alias("t"))
+    both = both.select("x", "y", F.expr("size(array_intersect(t.x, t.y))").alias("k"), F.expr("size(array_distinct(t.x)) + size(array_distinct(t.y))").alias("n"))
+    return both.where(f"k >= {threshold}D * (n - k)").select("x", "y")
 
 
 def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -252,18 +272,20 @@ def linked(members: DataFrame, sig: DataFrame, check: Callable[[DataFrame], Data
 
 
 def merged(groups: DataFrame | None, edges: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
-    """(a, root) with the components that ``edges`` (x, y) connect made one; only roots take part in the search."""
+    """(a, root) with the components that ``edges`` (x, y) connect made one; only roots take part in the search. Both are files."""
     if groups is None:
         if edges is None:
             return None
-        return scratch.keep(components(edges, scratch).select(F.col("id").alias("a"), "root"), name)
+        return scratch.keep(components(edges, scratch, few=FEW).select(F.col("id").alias("a"), "root"), name)
     if edges.isEmpty():
         return groups
-    new = edges.join(groups.select(F.col("a").alias("x"), F.col("root").alias("rx")), "x", "left").join(groups.select(F.col("a").alias("y"), F.col("root").alias("ry")), "y", "left")
+    edges, now = gathered(FEW, edges, groups)
+    new = edges.join(now.select(F.col("a").alias("x"), F.col("root").alias("rx")), "x", "left").join(now.select(F.col("a").alias("y"), F.col("root").alias("ry")), "y", "left")
     new = scratch.keep(new.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y")).where("x <> y").distinct(), f"{name}_new")
-    found = scratch.keep(components(new, scratch), f"{name}_found")
-    old = groups.join(found.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("a", F.coalesce("top", "root").alias("root"))
-    return scratch.keep(old.union(found.select(F.col("id").alias("a"), "root").join(groups.select("a"), "a", "left_anti")), name)
+    found = scratch.keep(components(new, scratch, few=FEW), f"{name}_found")
+    found, now = gathered(FEW, found, groups)
+    old = now.join(found.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("a", F.coalesce("top", "root").alias("root"))
+    return scratch.keep(old.union(found.select(F.col("id").alias("a"), "root").join(now.select("a"), "a", "left_anti")), name)
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, scratch: Scratch, threshold: float = 0.8, crowd: int = CROWD) -> DataFrame:

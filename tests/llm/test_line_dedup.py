@@ -266,3 +266,48 @@ def test_signatures_know_the_number_of_windows(spark):
     sig = L.signatures(spark.createDataFrame([(f,) for f in forms], "form string"))
     want = {r.a: r.n for r in spark.createDataFrame([(f, len(f.encode("utf-16-be")) // 2 - L.WIDTH + 1) for f in forms], "form string, n int").select(F.xxhash64("form").alias("a"), "n").collect()}
     assert {r.a: r.n for r in sig.collect()} == want
+
+
+def components_of(pairs):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for x, y in pairs:
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return {x: root(x) for x in up}
+
+
+def test_few_links_are_joined_without_a_task_for_each_partition(spark, monkeypatch):
+    """Rounds of components over few links start a handful of tasks however many partitions shuffles have; the result is that of shuffled rounds."""
+    rnd = random.Random(2)
+    pairs = [(x, x + 1) for x in range(0, 400) if x % 9] + [(rnd.randrange(500, 900), rnd.randrange(500, 900)) for _ in range(250)]
+    pairs = [(x, y) for x, y in pairs if x != y]
+    scratch = L.Scratch(spark, "test")
+    half = [scratch.keep(spark.createDataFrame(p, "x long, y long"), f"links{k}") for k, p in enumerate((pairs[::2], pairs[1::2]))]
+
+    def joined(label):
+        scratch = L.Scratch(spark, label)
+        return {r.a: r.root for r in L.merged(L.merged(None, half[0], scratch, "one"), half[1], scratch, "two").collect()}
+
+    tracker = spark.sparkContext.statusTracker()
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few", "few links")
+        got = joined("few")
+        jobs = tracker.getJobIdsForGroup("few")
+        stages = [s for i in map(tracker.getJobInfo, jobs) if i for s in i.stageIds]
+        assert stages and max(i.numTasks for i in map(tracker.getStageInfo, stages) if i) < 97
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    monkeypatch.setattr(L, "FEW", 0)
+    assert got == joined("many") == components_of(pairs)
