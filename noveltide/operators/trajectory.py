@@ -37,28 +37,36 @@ def fit_curve(t: np.ndarray, y: np.ndarray, steps: int = 500) -> tuple[float, fl
     """Least-squares c (1 - exp(-mu t)) + gamma t by damped Gauss-Newton steps from (last value or 1, 0.5, 0); (c, mu, gamma, rmse).
 
     c and gamma enter linearly, so each trial of mu solves for both exactly (variable projection); damping acts on mu.
+    A mu at which the curve overflows is refused; the values are not finite only where no curve can be had at all.
     """
     t, y = np.asarray(t, float), np.asarray(y, float)
 
     def solve(mu: float) -> tuple[np.ndarray, float]:
         a = np.stack([1 - np.exp(-mu * t), t], 1)
-        p = np.linalg.lstsq(a, y, rcond=None)[0]
+        if not np.isfinite(a).all():  # exp overflows: no curve, and a trial that is worse than any
+            return np.full(2, np.nan), np.inf
+        try:
+            p = np.linalg.lstsq(a, y, rcond=None)[0]
+        except np.linalg.LinAlgError:
+            return np.full(2, np.nan), np.inf
         return p, float(((a @ p - y) ** 2).sum())
 
     mu, best = 0.5, solve(0.5)
     for start in (0.5, 0.05, 2.0, 8.0):
         m, lam = start, 1e-3
         p, sse = solve(m)
+        slope = None
         for _ in range(steps):
-            h = max(1e-6, 1e-4 * abs(m))
-            up, down = solve(m + h)[1], solve(m - h)[1]
-            slope, bend = (up - down) / (2 * h), (up - 2 * sse + down) / (h * h)
+            if slope is None:  # a refused step leaves it as it was
+                h = max(1e-6, 1e-4 * abs(m))
+                up, down = solve(m + h)[1], solve(m - h)[1]
+                slope, bend = (up - down) / (2 * h), (up - 2 * sse + down) / (h * h)
             step = -slope / (abs(bend) + lam)
             if not np.isfinite(step) or abs(step) < 1e-12 * max(1, abs(m)):
                 break
             q, new = solve(m + step)
             if new < sse:
-                m, p, sse, lam = m + step, q, new, max(lam / 4, 1e-12)
+                m, p, sse, lam, slope = m + step, q, new, max(lam / 4, 1e-12), None
             else:
                 lam = max(lam, 1e-9) * 8
                 if lam > 1e12:
@@ -72,16 +80,16 @@ CURVE = "n_points int, c_inf double, mu double, gamma double, residual_rmse doub
 
 
 def step_cue_fit(points: DataFrame, key: str, value: str = "v") -> DataFrame:
-    """(key, curve...): nulls below three points, reliable from four. A key is one transcript, so a group is small."""
+    """(key, curve...): nulls below three points and where there is no fit, else reliable from four. A key is one transcript,
+    so a group is small. Few bytes hold much work, so the groups are dealt to all cores rather than by their size."""
     kind = dict(points.dtypes)[key]
+    points = points.repartition(4 * points.sparkSession.sparkContext.defaultParallelism, key)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.dropna(subset=[value]).sort_values("t")
-        if len(x) < 3:
-            row = [len(x), None, None, None, None, False]
-        else:
-            c, mu, gamma, rmse = fit_curve(x["t"].to_numpy(), x[value].to_numpy())
-            row = [len(x), c, mu, gamma, rmse, len(x) >= 4]
+        with np.errstate(over="ignore", invalid="ignore"):
+            fit = fit_curve(x["t"].to_numpy(), x[value].to_numpy()) if len(x) >= 3 else (np.nan,)
+        row = [len(x), *fit, len(x) >= 4] if np.isfinite(fit).all() else [len(x), None, None, None, None, False]
         return pd.DataFrame([row], columns=[c.split()[0] for c in CURVE.split(", ")])
 
     return points.groupBy(key).applyInPandas(lambda k, x: run(x).assign(**{key: k[0]})[[key, *[c.split()[0] for c in CURVE.split(", ")]]], f"{key} {kind}, {CURVE}")

@@ -214,6 +214,15 @@ def test_curve_fit(spark):
     assert got[2].c_inf is None and not got[2].reliable and not got[3].reliable and got[3].c_inf is not None
 
 
+def test_curve_fit_where_the_exponential_overflows(spark):
+    """Texts of 26, 297 and 122 words drive mu so far down that exp(-mu t) is infinite."""
+    series = [[math.log(n + 1) for n in (26, 297, 122)], (1.0, 2.0, math.inf), (2.0, 3.0, 3.5, 3.6)]
+    got = {r.k: r for r in trajectory.step_cue_fit(points(spark, *series), "k").collect()}
+    assert got[0].n_points == 3 and all(math.isfinite(x) for x in (got[0].c_inf, got[0].mu, got[0].gamma, got[0].residual_rmse))
+    assert got[1].n_points == 3 and got[1].c_inf is None and not got[1].reliable
+    assert got[2].reliable and got[2].residual_rmse < 0.05
+
+
 def test_step_order_and_records(spark):
     steps = [Row(role="p", step="draft", round=None, content="d"), Row(role="v", step="verify", round=1, content="x"), Row(role="p", step="revision", round=2, content="r2"), Row(role="p", step="revision", round=1, content="r1"), Row(role="p", step="draft", round=None, content="again")]
     df = spark.createDataFrame([(1, steps)], "id int, transcript array<struct<role:string,step:string,round:int,content:string>>")
