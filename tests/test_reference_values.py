@@ -366,3 +366,14 @@ def test_streams(spark, tmp_path):
     q = stream.writeStream.foreachBatch(sinks.append_batches(str(tmp_path / "good"), str(tmp_path / "bad"), "seq > 2")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "good")).count() == 4 and spark.read.parquet(str(tmp_path / "bad")).count() == 2
+
+
+def test_a_streams_rows_are_files_and_not_held_by_the_driver(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "t", False), ("a", 2, "t", True)], "key string, seq int, text string, approved boolean")
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for at, df in (("full", rows), ("empty", rows.limit(0))):
+        df.coalesce(1).write.parquet(str(tmp_path / at))
+        out = streams.run_available(streams.revise_loop(spark.readStream.schema(rows.schema).parquet(str(tmp_path / at))), at)
+        assert "MemoryPlan" not in out._jdf.queryExecution().toString() and (out.inputFiles() or at == "empty")
+        assert sorted((r.round, r.done) for r in out.collect()) == ([(1, False), (2, True)] if at == "full" else [])
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == store
