@@ -377,3 +377,16 @@ def test_a_streams_rows_are_files_and_not_held_by_the_driver(spark, tmp_path):
         assert "MemoryPlan" not in out._jdf.queryExecution().toString() and (out.inputFiles() or at == "empty")
         assert sorted((r.round, r.done) for r in out.collect()) == ([(1, False), (2, True)] if at == "full" else [])
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == store
+
+
+def test_vectors_and_tails_inside_rows(spark):
+    texts = ["red fox. red fox; blue", "...", "One. Two! 3?", "", "a a a a. b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for dim in (64, 48):
+        want = {r.id: r.embedding for r in ideas.dense(ideas.hash_encode(df, ["id"], "t", dim), ["id"], dim).collect()}
+        assert {r.id: r.v for r in df.select("id", ideas.unit_vector(F.col("t"), dim).alias("v")).collect()} == want
+    book = df.select(F.col("id").alias("cid"), ideas.unit_vector(F.col("t")).alias("centroid"))
+    full, tail = (ideas.idea_symbols(df, "id", "t", book, tail=x) for x in (False, True))
+    assert sorted(lm.tails(full, "id").collect()) == sorted(lm.tails(tail, "id").collect()) and 0 < tail.count() < full.count()
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (full, tail)):
+        assert "SortMergeJoin" not in plan and "Window" not in plan  # no span is grouped or sorted
